@@ -3,17 +3,16 @@ folder, Arrow helpers, and vectorised hashing of words and byte ranges."""
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.sources.tables import cut, new_folder, shared_folder, table  # noqa: F401
+
 U64 = np.uint64
 #: White space as the result contracts define it: space, and tab to carriage return.
 SPACE_TABLE = np.zeros(256, bool)
@@ -22,44 +21,6 @@ SPACE_TABLE[[0x20, *range(0x09, 0x0E)]] = True
 STEP_BYTES = 2 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-    A temporary local one is set only where the session has none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="turnloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, deleted when the driver ends."""
-    path = f"{shared_folder(spark)}/turnloom/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended already
-        pass
-
-
-def cut(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` and read it back: lineage ends here, and a lost executor
-    costs no more than its running tasks."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def worker_cache(name: str, make):
     """An object kept for the life of a Python worker process."""
     mod = sys.modules.setdefault("_turnloom_worker", types.ModuleType("_turnloom_worker"))
@@ -147,10 +108,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         codes = codes.copy()
         codes[65:91] = codes[97:123]
     sizes = ends - starts
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))), axis=0) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))])
+    lead = np.diff(starts, append=len(data))  # a word's bytes and the white space after it
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, lead)
+    data, starts = data[starts[0] :], starts - starts[0]
     with np.errstate(over="ignore"):
-        p = powers(int(place.max()) + 1, 0xD1342543DE82EF95 | 1)
-        value = codes[data] * p[place]
+        p = powers(int(sizes.max()) + 1, 0xD1342543DE82EF95)
+        value = codes[data] * p[np.minimum(place, len(p) - 1)]
         value[SPACE_TABLE[data]] = 0
         return mix(np.add.reduceat(value, starts) + sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
 

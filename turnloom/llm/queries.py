@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, exact_dedup, token_files
+from turnloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, token_files
 from turnloom.llm.common import new_folder, table
 
 
@@ -27,7 +27,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, digest_only=True).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_bpe, op10_token_files)}
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "n_shingles", "component_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminate.find_contamination(docs, items).select("row.doc_id", "item_id", "distance")
+
+
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op5_exact_dedup, op6_bpe, op9_decontamination, op10_token_files)}
 
 ORACLES = {
     "op5_exact_dedup": """
