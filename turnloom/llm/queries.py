@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, token_files
+from turnloom.llm import block_anchors, bpe, decontaminate, exact_dedup, jaccard_join, token_files
 from turnloom.llm.common import new_folder, table
 
 
+def op3_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_anchors.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -36,7 +40,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, items).select("row.doc_id", "item_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op5_exact_dedup, op6_bpe, op9_decontamination, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_block_anchors, op5_exact_dedup, op6_bpe, op9_decontamination, op10_token_files)}
 
 ORACLES = {
     "op5_exact_dedup": """
