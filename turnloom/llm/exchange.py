@@ -4,7 +4,7 @@ a share of the hash space.
 A scan cuts its Arrow batches into *units* of documents. For each unit it asks
 about an array of 64-bit hashes (with side arrays): the hashes are dealt to parts
 and shuffled as packed arrays. The owner of a part sees all askers of its hashes
-at once and answers each with one byte-packed bit. Answers are regrouped by unit
+at once, in the order of the scan, and answers each with a few packed bits. Answers are regrouped by unit
 and kept as one small file for each unit in the shared folder, where the next
 scan of the same rows picks them up. So texts are never shuffled, and an asker is
 never named in a record: it is known by its place.
@@ -45,25 +45,26 @@ def units(batches, unit_bytes: int) -> Iterator[Unit]:
             number += 1
 
 
-def answers(folder: str, number: int, h: np.ndarray, parts: int) -> np.ndarray:
-    """Bits for the questions ``h`` of a unit, in the order in which they were asked."""
+def answers(folder: str, number: int, h: np.ndarray, parts: int, width: int = 1) -> np.ndarray:
+    """Answers (booleans, or codes of ``width`` bits) to the questions ``h`` of a unit, in the order in which they were asked."""
     n = len(h)
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0, bool if width == 1 else np.uint8)
     place, root = fs.FileSystem.from_uri(folder)
     with place.open_input_file(f"{root}/{number % 997:03d}/{number}") as f:
         blob = f.read()
     if int.from_bytes(blob[:8], "little") != n:
         raise RuntimeError("SCAN_NOT_REPEATABLE")
-    out = np.zeros(n, bool)  # the file has them in order of part
-    out[np.argsort((h % U64(parts)).astype(np.int64), kind="stable")] = np.unpackbits(np.frombuffer(blob, np.uint8, offset=8), count=n)
-    return out
+    flat = np.unpackbits(np.frombuffer(blob, np.uint8, offset=8), count=n * width).reshape(n, width)
+    out = np.zeros(n, np.uint8)  # the file has them in order of part
+    out[np.argsort((h % U64(parts)).astype(np.int64), kind="stable")] = np.packbits(flat, axis=1, bitorder="little")[:, 0]
+    return out.astype(bool) if width == 1 else out
 
 
-def exchange(df: DataFrame, folder: str, parts: int, ask: Callable, answer: Callable, *, unit_bytes: int, hash_bytes: int = 8, side: tuple[str, ...] = ()) -> str:
+def exchange(df: DataFrame, folder: str, parts: int, ask: Callable, answer: Callable, *, unit_bytes: int, hash_bytes: int = 8, side: tuple[str, ...] = (), width: int = 1) -> str:
     """``ask(unit)`` gives hashes and the side arrays (by dtype, ``side``), one
-    entry for each question; ``answer(hashes, units, *side)`` gives a bit for each
-    question of a part. ``hash_bytes`` of a hash are sent: 4 are enough where a
+    entry for each question; ``answer(hashes, units, *side)`` gives a code of
+    ``width`` bits for each question of a part. ``hash_bytes`` of a hash are sent: 4 are enough where a
     clash only costs work. Returns the folder of the answers."""
     types = [np.dtype(t) for t in side]
     word = np.dtype("<u8")
@@ -91,15 +92,16 @@ def exchange(df: DataFrame, folder: str, parts: int, ask: Callable, answer: Call
             for part, *rest in zip(*cols, strict=True):
                 held.setdefault(part, []).append(rest)
         for part in list(held):
-            asked = held.pop(part)
+            asked = sorted(held.pop(part), key=lambda x: x[0])
             raw = np.frombuffer(b"".join(x[1] for x in asked), np.uint8).reshape(-1, hash_bytes)
             wide = np.zeros((len(raw), 8), np.uint8)
             wide[:, :hash_bytes] = raw
             more = [np.frombuffer(b"".join(x[2 + i] for x in asked), t) for i, t in enumerate(types)]
             ends = np.cumsum([0, *[len(x[1]) // hash_bytes for x in asked]])
             asker = np.repeat(np.array([x[0] for x in asked], np.int64), np.diff(ends))
-            bits = answer(wide.view(word).ravel(), asker, *more)
-            yield pa.RecordBatch.from_pydict({"unit": pa.array([x[0] for x in asked], pa.int64()), "part": pa.array([part] * len(asked), pa.int32()), "n": pa.array(np.diff(ends), pa.int64()), "bits": pa.array([np.packbits(bits[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
+            codes = np.asarray(answer(wide.view(word).ravel(), asker, *more)).astype(np.uint8)
+            bits = np.unpackbits(codes[:, None], axis=1, bitorder="little")[:, :width]
+            yield pa.RecordBatch.from_pydict({"unit": pa.array([x[0] for x in asked], pa.int64()), "part": pa.array([part] * len(asked), pa.int32()), "n": pa.array(np.diff(ends), pa.int64()), "bits": pa.array([np.packbits(bits[a:b].ravel()).tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
     sent = df.mapInArrow(send, ", ".join(["part int, unit long, h binary", *[f"s{i} binary" for i in range(len(types))]]))
     replies = sent.repartitionById(parts, "part").mapInArrow(own, "unit long, part int, n long, bits binary")
@@ -114,7 +116,7 @@ def exchange(df: DataFrame, folder: str, parts: int, ask: Callable, answer: Call
                 place.create_dir(where, recursive=True)
                 made.add(where)
             n = sum(k for k, _ in held.values())
-            flat = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=k) for _, (k, b) in sorted(held.items())])
+            flat = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=k * width) for _, (k, b) in sorted(held.items())])
             name = f"{where}/.{number}-{TaskContext.get().taskAttemptId()}"
             with place.open_output_stream(name) as f:
                 f.write(n.to_bytes(8, "little") + np.packbits(flat).tobytes())

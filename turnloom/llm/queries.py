@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import block_anchors, bpe, decontaminate, exact_dedup, importance, jaccard_join, token_files
+from turnloom.llm import block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, token_files
 from turnloom.llm.common import new_folder, table
 
 
@@ -35,6 +35,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "n_shingles", "component_id")
 
 
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = difference_cover.remove_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     return importance.Resampler(docs, labels).draw().select("row.doc_id", "log_weight", "key", "kept")
@@ -45,7 +50,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, items).select("row.doc_id", "item_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_block_anchors, op5_exact_dedup, op6_bpe, op8_importance, op9_decontamination, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_block_anchors, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files)}
 
 ORACLES = {
     "op5_exact_dedup": """
