@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, token_files
+from turnloom.llm import block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, revisits, token_files, transcripts
 from turnloom.llm.common import new_folder, table
 
 
@@ -31,6 +31,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, digest_only=True).withColumnRenamed("id", "doc_id")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = transcripts.recover_turns(turns, transcripts.fit(turns))
+    return rows.select("row.conv_id", "row.turn", F.array_join("roles", ",").alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve_revisits(revisits.records_of_pages(table(spark, sf_dir, "pages")))
+    fields = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(": "), e.value))), "\n")
+    return found.select("row.record_id", "canonical_url", "response_id", "status", F.sha2(fields, 256).alias("headers_sha256"), F.sha2("payload", 256).alias("payload_sha256"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "n_shingles", "component_id")
 
@@ -50,9 +62,31 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, items).select("row.doc_id", "item_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_block_anchors, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_jaccard_join, op3_block_anchors, op4_revisits, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files)}
 
 ORACLES = {
+    "op4_revisits": r"""
+        WITH p AS (
+          SELECT page_id, coalesce(html, '') AS html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+          FROM pages),
+        c AS (
+          SELECT page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+                 regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path, regexp_extract(bare, '\?(.*)$', 1) AS query
+          FROM p),
+        u AS (
+          SELECT page_id, html, CASE WHEN host <> '' THEN host || path || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END END AS canonical_url,
+                 substr(md5(html), 1, 16) AS tag
+          FROM c),
+        m AS (
+          SELECT u.page_id, u.canonical_url, u.tag, f.page_id AS response_page, f.tag AS response_tag, f.html AS payload
+          FROM u LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id DESC) AS n FROM u) f
+            ON u.canonical_url = f.canonical_url AND f.n = 1)
+        SELECT 2 * page_id + 1 AS record_id, canonical_url, 2 * response_page AS response_id,
+               CASE WHEN response_page IS NULL THEN 'orphan' WHEN tag = response_tag THEN 'resolved' ELSE 'mismatch' END AS status,
+               sha256(CASE WHEN tag = response_tag THEN concat_ws(chr(10), 'content-type: text/html', 'date: ' || (page_id + 1099511627776), 'etag: W/"' || tag || '"')
+                           ELSE concat_ws(chr(10), 'content-length: 0', 'date: ' || (page_id + 1099511627776), 'etag: W/"' || tag || '"') END) AS headers_sha256,
+               CASE WHEN tag = response_tag THEN sha256(payload) END AS payload_sha256
+        FROM m""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
