@@ -42,7 +42,9 @@ from turnloom.llm.common import worker_cache
 MAGIC = b"TLTOKEN1"
 FOOTER = "<QQQ32s8s"  # index offset, documents, width, dictionary hash, magic
 #: Distinct pieces of text whose ids a worker keeps.
-PIECES = 400_000
+PIECES = 1_000_000
+#: Signs that begin no match together with what follows a letter.
+CLOSING = set(".,;:!?")
 LEVEL = 3
 
 
@@ -67,27 +69,56 @@ class PieceEncoder:
     def __init__(self, path: str):
         import regex
 
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer, self.known, self.base = _tokenizer(path), {}, {}  # by key; by part
         self.split = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
         self.blank = regex.compile(r"\s[ ]|[ ][\s]|[\x1c-\x1f\x85]")
 
-    def pieces(self, text: str) -> list[str]:
+    def keys(self, text: str) -> tuple[list, bool]:
+        """A key for each piece, and whether every white space in them stands alone:
+        then a key is a word, which a space precedes, or a tuple of the first word;
+        else a key is a tuple of the piece and None."""
         if self.blank.search(text) or text[:1] == " " or text[-1:] == " ":
-            return self.split.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return [(p, None) for p in self.split.split(text)], False
+        words = text.split(" ")
+        words[0] = (words[0],)
+        return words, True
+
+    def parts(self, piece: str) -> list[str]:
+        """A piece cut where the pattern cuts it: around a lone line end, and
+        between a letter and one closing sign."""
+        if "\n" in piece:
+            head, *rest = piece.split("\n")
+            return [*self.parts(head), *[x for r in rest for x in ("\n", *self.parts(r))]]
+        if piece[-1:] in CLOSING and piece[-2:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return [piece] if piece else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > PIECES:
-            self.known.clear()
-        known, cut = self.known, [self.pieces(t) for t in texts]
-        new = list({p for parts in cut for p in parts if p not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
+        find, docs, lacking, new = self.known.get, [], {}, set()
+        for text in texts:
+            keys, alone = self.keys(text)
+            ids = list(map(find, keys))
+            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            for k in [keys[i] for i in holes]:
+                if k not in lacking:
+                    piece = " " + k if isinstance(k, str) else k[0]
+                    lacking[k] = parts = self.parts(piece) if alone else [piece]
+                    new.update(parts)
+            docs.append((keys, ids, holes))
+        missing, fresh = [x for x in new if x not in self.base], {}
+        for i in range(0, len(missing), 4096):
+            some = missing[i : i + 4096]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in parts]) for parts in cut]
+                fresh[p] = np.array(e.ids, "<u4").tobytes()
+        done = {k: b"".join([self.base[x] if x in self.base else fresh[x] for x in parts]) for k, parts in lacking.items()}
+        for keys, ids, holes in docs:
+            for i in holes:
+                ids[i] = done[keys[i]]
+        if len(self.known) < PIECES:  # what comes first is what comes often
+            self.known.update(done)
+            self.base.update((x, fresh[x]) for x in missing if x[-1:] not in CLOSING)
+        return [b"".join(ids) for _, ids, _ in docs]
 
 
 def _encode_texts(path: str, texts: list[str], end: int):
