@@ -13,7 +13,7 @@ S = f"'{SEED}'"
 
 
 def vec(values) -> str:
-    return "[" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[]"
+    return "([" + ", ".join(repr(float(v)) for v in values) + "]::DOUBLE[])"
 
 
 def dhi_sym(q) -> str:
