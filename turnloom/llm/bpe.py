@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import packed, worker_cache
+from turnloom.llm.common import packed, sliced, worker_cache
 
 #: Characters before a chunk's end in which a boundary may depend on what follows.
 TAIL = 8
@@ -52,7 +52,7 @@ def boundaries(pattern: str, text: str) -> np.ndarray:
 def _encode(path: str, pattern: str):
     def run(batches):
         enc = encoding(path, pattern)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             ids = [enc.encode_to_numpy(t).astype("<u4").tobytes() for t in texts]
             keep = [i for i, n in enumerate(b.schema.names) if n != "text"]
@@ -139,7 +139,7 @@ def _decode(path: str):
             return np.frombuffer(b"".join(t for _, t in parts), np.uint8), np.cumsum(sizes)
 
         blob, at = worker_cache(f"bytes_{path}", make)
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for ids in b.column(b.schema.get_field_index("ids")).to_pylist():
                 ids = np.frombuffer(ids, "<u4")

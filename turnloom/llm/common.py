@@ -56,6 +56,13 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
         i = min(j, n)
 
 
+def sliced(batches, rows: int = 500):
+    """Smaller batches, so that copies of texts in Python stay small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser."""
     with np.errstate(over="ignore"):
