@@ -75,3 +75,22 @@ def test_match_grows_with_cost():
 
     assert jj.choose_match(np.ones(100), jj.Rule()) == 1
     assert jj.choose_match(np.full(100, 50.0), jj.Rule()) > 1
+
+
+def split_matches():
+    """Documents 0 and 1 share two prefix shingles when two matches are demanded: one
+    in a bucket of their own, one in a bucket whose central member is document 2."""
+    own = lambda name, n: [f"{name}-{i}" for i in range(n)]
+    w, passage = own("w", 34), own("p", 60)
+    docs = [w, w + own("y", 10), w[1:6] + passage]
+    docs += [w[2:] + own(f"f{i}", 60) for i in range(5)] + [passage + own(f"g{i}", 60) for i in range(30)]
+    return [(i, " ".join(d)) for i, d in enumerate(docs)]
+
+
+def test_matches_in_buckets_of_two_and_of_more_add_up(spark, monkeypatch):
+    monkeypatch.setattr(jj, "choose_match", lambda counts, rule: 2)
+    rows = split_matches()
+    assert [c for _, _, c in brute(rows)][:3] == [0, 0, 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jj.near_duplicates(docs).select("row.doc_id", "n_shingles", "component_id").collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)

@@ -17,7 +17,8 @@ fingerprints), so copies never meet each other as pairs. For the classes:
    links are contracted to components.
 4. Links inside a component would change nothing; what is left are members of one
    bucket in different components. In buckets of up to ``SMALL`` members they all
-   meet, and again matches are counted before verification. Members of larger
+   meet, and again all matches of a pair, those in buckets of two included, are
+   counted before verification. Members of larger
    buckets are compared inside one task as a product of incidence matrices, in
    blocks, and the task returns only the links that join components, one for each
    at most. A second contraction ends it.
@@ -482,9 +483,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _still_open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Buckets of more than two members (those of two are settled) with members of
-    two components or more: their members with ``comp``, and a hash of the members."""
-    wide = buckets.where("size(c) > 2").withColumn("bucket", F.monotonically_increasing_id())
+    """Buckets with members of two components or more: their members with ``comp``,
+    and a hash of the members. Those of two members are settled only where one match
+    is enough: else theirs adds to the matches of the same pair in other buckets."""
+    wide = buckets.where("size(c) > 2 OR array_min(match) > 1").withColumn("bucket", F.monotonically_increasing_id())
     wide = cut(wide, new_folder(buckets.sparkSession, "jaccard-wide"))  # so that the numbers stay
     cells = wide.select("bucket", F.posexplode("c").alias("pos", "v"))
     cells = cells.join(comps.toDF("v", "comp"), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
