@@ -75,3 +75,15 @@ def test_dictionary_is_bound_to_the_shards(spark, tmp_path):
     (tmp_path / "d" / "dictionary.zstd").write_bytes(b"")
     assert token_files.read_document(folder, 1)
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_runs_of_line_ends_in_single_spaced_texts():
+    r = random.Random(5)
+    texts = ["One two.\n\n\nThree four.", "One two.\n\n", "\n\nOne", "\n", "\n\n", "a\nb.\n", "a\r\n\r\nb c", "a\t\n\nb", "x.\n\ny.\nz!\n\n\n"]
+    texts += [" ".join("".join(r.choice(["word", ".", "'s", "12", "\n", "\n\n", "\t\n", "é,", "\u00a0"]) for _ in range(6)).strip(" ") or "x" for _ in range(9)) for _ in range(300)]
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    enc = token_files.PieceEncoder(path)
+    for _ in range(2):  # encoded anew, then from what is kept
+        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]

@@ -72,9 +72,10 @@ class PieceEncoder:
         self.tokenizer, self.known, self.base = _tokenizer(path), {}, {}  # by key; by part
         self.split = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
         self.blank = regex.compile(r"\s[ ]|[ ][\s]|[\x1c-\x1f\x85]")
+        self.lone = regex.compile(r"(?<!\s)(\n)(?!\s)")
 
     def keys(self, text: str) -> tuple[list, bool]:
-        """A key for each piece, and whether every white space in them stands alone:
+        """A key for each piece, and whether every space in them stands alone:
         then a key is a word, which a space precedes, or a tuple of the first word;
         else a key is a tuple of the piece and None."""
         if self.blank.search(text) or text[:1] == " " or text[-1:] == " ":
@@ -84,11 +85,11 @@ class PieceEncoder:
         return words, True
 
     def parts(self, piece: str) -> list[str]:
-        """A piece cut where the pattern cuts it: around a lone line end, and
-        between a letter and one closing sign."""
-        if "\n" in piece:
-            head, *rest = piece.split("\n")
-            return [*self.parts(head), *[x for r in rest for x in ("\n", *self.parts(r))]]
+        """A piece cut where the pattern cuts it: around a line end without white
+        space beside it, and between a letter and one closing sign. Runs of line ends
+        stay whole: the pattern takes them together."""
+        if "\n" in piece and len(some := self.lone.split(piece)) > 1:
+            return [x for p in some for x in ([p] if p == "\n" else self.parts(p))]
         if piece[-1:] in CLOSING and piece[-2:-1].isalpha():
             return [piece[:-1], piece[-1]]
         return [piece] if piece else []
