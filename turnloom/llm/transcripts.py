@@ -128,13 +128,15 @@ def opening() -> np.ndarray:
     return out
 
 
-def fit(turns: DataFrame, *, fit_conversations: int = 500, fit_turns: int = 50, **options) -> Model:
+def fit(turns: DataFrame, *, fit_conversations: int = 500, fit_turns: int = 50, fit_chars: int | None = 10_000, **options) -> Model:
     """A model from labelled turns (conv_id, turn, role, text): of the
     ``fit_conversations`` with the lowest hash of their id, the turns below
-    ``fit_turns``."""
+    ``fit_turns``, each text up to ``fit_chars`` characters (None: whole). It bounds
+    what the driver holds for the model only; decoding takes whole texts."""
     known = turns.where(F.lower("role").isin(*NAMES) & F.col("conv_id").isNotNull() & F.col("turn").between(0, fit_turns - 1))
     some = known.select("conv_id").distinct().orderBy(F.xxhash64("conv_id")).limit(fit_conversations)
-    rows = known.join(F.broadcast(some), "conv_id").select("conv_id", "turn", "role", F.substring("text", 1, 10_000).alias("text")).dropDuplicates(["conv_id", "turn"]).orderBy("conv_id", "turn").collect()
+    text = F.col("text") if fit_chars is None else F.substring("text", 1, fit_chars)
+    rows = known.join(F.broadcast(some), "conv_id").select("conv_id", "turn", "role", text.alias("text")).dropDuplicates(["conv_id", "turn"]).orderBy("conv_id", "turn").collect()
     held: dict = {}
     for r in rows:
         held.setdefault(r.conv_id, []).append((NAMES[r.role.lower()], r.text or ""))

@@ -318,7 +318,7 @@ def plan_reserve(spark, sf):
 
 
 def csv_guard(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit(" =")).when(F.col("doc_id") % 3 == 1, F.lit("@")).otherwise(F.lit("")), F.substring("source", 1, 20)).alias("cell"))
+    t = table(spark, sf, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit(" =")).when(F.col("doc_id") % 3 == 1, F.lit("@")).otherwise(F.lit("")), F.col("source")).alias("cell"))
     return t.select("doc_id", C.csv_safe(F.col("cell")).alias("cell"))
 
 
