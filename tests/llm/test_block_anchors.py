@@ -47,3 +47,28 @@ def test_equals_brute_force(spark, tmp_path, window, seed):
 
 def test_no_rows(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_words_that_clash_modulo_powers_of_two(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, " ".join([a] * 20)), (2, " ".join([b] * 20)), (3, " ".join([b] * 20))]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_splits_may_change_between_scans(spark, tmp_path):
+    """Places do not depend on how Spark cuts the files."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(str(r.random()) for _ in range(30)) + (" " + passage if i % 3 else "")) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/d")
+    frame = remove_repeats(spark.read.parquet(f"{tmp_path}/d"))
+    for name, value in (("spark.sql.leafNodeDefaultParallelism", "2"), ("spark.sql.files.maxPartitionBytes", "1000")):
+        spark.conf.set(name, value)
+    try:
+        assert frame.where("n_removed > 0").count() == sum(i % 3 > 0 for i, _ in rows) - 1
+    finally:
+        for name in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(name)

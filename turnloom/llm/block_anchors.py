@@ -8,13 +8,14 @@ whole block of each document it occurs in. So:
 1. blocks are indexed by hash, and every rolling window of a block's length probes
    the index (4 bytes of a hash each; a clash costs work, never a result);
 2. only windows that hold a probe hit are extended: a hit block grows to the whole
-   windows around it, and equal windows are brought together by a 64-bit hash, of
-   which every occurrence but the first is marked;
+   windows around it, and equal windows are brought together by a 96-bit hash of
+   their words, of which every occurrence but the first is marked;
 3. marked windows that touch join to maximal repeats, whose words are removed.
 
-Windows are judged on the input. Questions and answers travel as packed arrays
-(see ``exchange``), so a passage that fills a third of the table is a long array in
-one part, not a group of rows, and parts grow in number with the input.
+Windows are judged on the input. The rows are frozen first (see ``frozen``), so a
+window is known by its place. Questions and answers travel as packed arrays (see
+``exchange``), each hash once for each unit, so a passage that fills a third of the
+table costs an entry for each unit, and parts grow in number with the input.
 
 Defined cases: null texts and texts without words have nothing to remove; a text
 of fewer words than a window keeps all; of repeated rows (same id) the one read
@@ -25,7 +26,6 @@ empty result; other columns travel in ``row``.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import new_folder, packed, window_hashes, word_hashes, word_spans
-from turnloom.llm.exchange import Unit, answers, exchange, units
-
-UNIT = 8 << 20
+from turnloom.llm.common import new_folder, window_hashes, word_hashes, word_spans
+from turnloom.llm.exchange import answers, distinct, exchange, parts_for
+from turnloom.llm.frozen import Unit, freeze
 
 
 def _probes(u: Unit, block: int):
@@ -51,68 +50,94 @@ def _probes(u: Unit, block: int):
     return (starts, ends, at, words, place, left), window_hashes(words, block)[where], where, place[where] % block == 0
 
 
-def _candidates(u: Unit, window: int, folder: str, parts: int):
+def _asked(h: np.ndarray, is_block: np.ndarray):
+    """Distinct probes of a unit, whether one is a block and whether there are several
+    (as a code), and the place of each probe among them."""
+    found, place = distinct(h)
+    code = (np.bincount(place, minlength=len(found)) > 1).astype(np.uint8) * 2
+    code[place[is_block]] |= 1
+    return found, code, place
+
+
+def _candidates(u: Unit, window: int, folder: str):
     """Windows that hold a hit: hashes and places."""
     block = window // 2
     shape, h, where, _ = _probes(u, block)
     starts, ends, at, words, place, left = shape
     hit = np.zeros(len(words) + 1, np.int64)
-    hit[where] = answers(folder, u.number, h, parts)
+    found, back = distinct(h)
+    hit[where] = answers(folder, u.number, found)[back]
     total = np.concatenate([[0], np.cumsum(hit)])
     where = np.flatnonzero(left[: max(0, len(words) - window + 1)] >= window)
     where = where[total[where + window - block + 1] > total[where]]
     return shape, window_hashes(words, window, seed=19)[where], where
 
 
-def _hits(h: np.ndarray, unit: np.ndarray, is_block: np.ndarray) -> np.ndarray:
+def _firsts(h: np.ndarray, doc: np.ndarray, where: np.ndarray):
+    """Order of a unit's windows by hash, document and place, and which of them, in
+    that order, are the unit's first with their hash."""
+    order = np.lexsort((where, doc, h))
+    first = np.ones(len(h), bool)
+    first[1:] = h[order][1:] != h[order][:-1]
+    return order, first
+
+
+def _hits(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Probes of a hash that the index holds and that occurs twice or more."""
     order = np.argsort(h)
-    s = h[order]
+    s, code = h[order], code[order]
     at = np.flatnonzero(np.diff(s, prepend=s[:1] + np.uint64(1)))
     n = np.diff(at, append=len(s))
-    good = (n > 1) & (np.add.reduceat(is_block[order].astype(np.int64), at) > 0)
+    several = (n > 1) | (np.maximum.reduceat(code & 2, at) > 0)
     out = np.zeros(len(h), bool)
-    out[order] = np.repeat(good, n)
+    out[order] = np.repeat(several & (np.maximum.reduceat(code & 1, at) > 0), n)
     return out
 
 
-def _later(h: np.ndarray, unit: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """All occurrences of a window but the earliest."""
-    order = np.lexsort((place, unit, doc, h))
-    s = h[order]
+def _later(h: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """All occurrences of a window but the earliest; the entries come by unit."""
+    order = np.lexsort((np.arange(len(h)), doc, check, h))
+    s, c = h[order], check[order]
     out = np.zeros(len(h), bool)
-    out[order[1:]] = s[1:] == s[:-1]
+    out[order[1:]] = (s[1:] == s[:-1]) & (c[1:] == c[:-1])
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 20, part_probes: int = 3_000_000, unit_bytes: int = UNIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 20, part_probes: int = 1_500_000, unit_bytes: int | None = None) -> DataFrame:
     """row, n_words, n_removed, kept_text (words joined by a space), spans (the
-    maximal repeats as pairs of first word and end) for every row of ``docs``. The
-    scan must be repeatable, as it is from files."""
+    maximal repeats as pairs of first word and end) for every row of ``docs``."""
     if window % 2 or window < 2:
         raise ValueError("WINDOW_NOT_EVEN")
-    path, df, block = new_folder(docs.sparkSession, "repeats"), packed(docs, text_col), window // 2
-    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, math.ceil(size / 6 / part_probes))
+    path, block = new_folder(docs.sparkSession, "repeats"), window // 2
+    rows = freeze(docs, f"{path}/rows", text_col, unit_bytes=unit_bytes)
+    parts = parts_for(rows, rows.n_bytes / 6, part_probes)
 
     def ask(u: Unit):
         _, h, _, is_block = _probes(u, block)
-        return h, is_block
+        return _asked(h, is_block)[:2]
 
-    hits = exchange(df, f"{path}/hits", parts, ask, _hits, unit_bytes=unit_bytes, hash_bytes=4, side=("u1",))
+    hits = exchange(rows, f"{path}/hits", parts, ask, _hits, hash_bytes=4, side=("u1",))
 
-    def ask_windows(u: Unit):
-        shape, h, where = _candidates(u, window, hits, parts)
+    def windows(u: Unit):
+        shape, h, where = _candidates(u, window, hits)
         ids = u.rows.field(id_col).cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-        n = np.diff(shape[2])
-        return h, np.repeat(ids, n)[where], where
+        doc = np.repeat(ids, np.diff(shape[2]))[where]
+        return shape, h, where, doc, *_firsts(h, doc, where)
 
-    later = exchange(df, f"{path}/later", parts, ask_windows, _later, unit_bytes=unit_bytes, side=("<i8", "<u4"))
-
-    def keep(batches):
-        for u in units(batches, unit_bytes):
-            (starts, ends, at, words, _, _), h, where = _candidates(u, window, hits, parts)
-            marked = where[answers(later, u.number, h, parts)]
+    def ask_windows(u: Unit):
+        shape, h, where, doc, order, first = windows(u)
+        own = order[first]
+        check = window_hashes(shape[3], window, seed=23)[where[own]] >> np.uint64(32)
+        return h[own], check, doc[own]
+
+    later = exchange(rows, f"{path}/later", parts, ask_windows, _later, side=("<u4", "<i8"))
+
+    def keep(some_units):
+        for u in some_units:
+            (starts, ends, at, words, _, _), h, where, _, order, first = windows(u)
+            gone_on = ~first  # in order: what the unit itself has earlier
+            gone_on[first] = answers(later, u.number, h[order[first]])
+            marked = where[order[gone_on]]
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, marked, 1)
             np.add.at(edge, marked + window, -1)
@@ -130,5 +155,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     f = T.StructField
     span = T.ArrayType(T.StructType([f("first", T.LongType()), f("end", T.LongType())]))
-    wire = T.StructType([df.schema["row"], f("n_words", T.LongType()), f("n_removed", T.LongType()), f("kept_text", T.BinaryType()), f("spans", span), f("kept_sha256", T.StringType())])
-    return df.mapInArrow(keep, wire).withColumn("kept_text", F.col("kept_text").cast("string"))
+    wire = T.StructType([f("row", rows.row_type), f("n_words", T.LongType()), f("n_removed", T.LongType()), f("kept_text", T.BinaryType()), f("spans", span), f("kept_sha256", T.StringType())])
+    return rows.scan(keep, wire).withColumn("kept_text", F.col("kept_text").cast("string"))

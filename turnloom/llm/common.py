@@ -18,7 +18,7 @@ U64 = np.uint64
 SPACE_TABLE = np.zeros(256, bool)
 SPACE_TABLE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes that one vectorised step works on; bounds a worker's memory.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def worker_cache(name: str, make):
@@ -106,22 +106,38 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Places of a word that share one table of codes; later places are mixed one by one.
+PLACES = 64
+
+
+def _place_codes(seed: int, lower: bool) -> np.ndarray:
+    """A code for each (place, byte) below PLACES, as one flat table."""
+    return worker_cache(f"places_{seed}_{lower}", lambda: _far_codes(np.tile(np.arange(256), PLACES), np.repeat(np.arange(PLACES), 256), seed, lower))
+
+
+def _far_codes(byte: np.ndarray, place: np.ndarray, seed: int, lower: bool) -> np.ndarray:
+    if lower:
+        byte = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+    with np.errstate(over="ignore"):
+        return mix(mix(place.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) + byte.astype(U64) * U64(0xD1342543DE82EF95))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of words; ``lower`` folds A-Z."""
+    """64-bit hashes of words; ``lower`` folds A-Z. Every (place, byte) has a mixed
+    code of its own and a word is the sum of its codes: no polynomial, so no family
+    of words of any length clashes by construction."""
     if not len(starts):
         return np.zeros(0, U64)
-    codes = _byte_codes(seed)
-    if lower:
-        codes = codes.copy()
-        codes[65:91] = codes[97:123]
     sizes = ends - starts
-    lead = np.diff(starts, append=len(data))  # a word's bytes and the white space after it
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, lead)
+    lead = np.diff(starts, append=len(data))  # a word's bytes and what follows until the next one
+    place = np.arange(starts[0], len(data), dtype=np.int32) - np.repeat(starts, lead).astype(np.int32)
     data, starts = data[starts[0] :], starts - starts[0]
+    value = _place_codes(seed, lower)[np.minimum(place, PLACES - 1) * 256 + data]
+    if sizes.max() > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        value[far] = _far_codes(data[far], place[far], seed, lower)
+    value[place >= np.repeat(sizes, lead)] = 0
     with np.errstate(over="ignore"):
-        p = powers(int(sizes.max()) + 1, 0xD1342543DE82EF95)
-        value = codes[data] * p[np.minimum(place, len(p) - 1)]
-        value[SPACE_TABLE[data]] = 0
         return mix(np.add.reduceat(value, starts) + sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
