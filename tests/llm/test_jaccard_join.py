@@ -55,7 +55,7 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, n, size, hot, sm
     monkeypatch.setattr(jj, "BLOCK", 5 if small == 2 else 1500)
     rows = make(seed, n, [f"w{i}" for i in range(size)], hot)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, c string, n int").repartition(5)
-    got = jj.near_duplicates(docs, part_postings=300).select("row.doc_id", "n_shingles", "component_id").collect()
+    got = jj.near_duplicates(docs, part_postings=300, unit_bytes=20_000).select("row.doc_id", "n_shingles", "component_id").collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
     if seed > 1:
         return
@@ -87,10 +87,33 @@ def split_matches():
     return [(i, " ".join(d)) for i, d in enumerate(docs)]
 
 
-def test_matches_in_buckets_of_two_and_of_more_add_up(spark, monkeypatch):
-    monkeypatch.setattr(jj, "choose_match", lambda counts, rule: 2)
+def test_matches_in_buckets_of_two_and_of_more_add_up(spark):
     rows = split_matches()
     assert [c for _, _, c in brute(rows)][:3] == [0, 0, 2]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jj.near_duplicates(docs).select("row.doc_id", "n_shingles", "component_id").collect()
+    for least in (1, 2, 4):
+        got = jj.near_duplicates(docs, rule=jj.Rule(min_match=least)).select("row.doc_id", "n_shingles", "component_id").collect()
+        assert sorted(tuple(r) for r in got) == brute(rows)
+
+
+def test_clashing_class_numbers(spark):
+    rows = make(7, 120, [f"w{i}" for i in range(60)], True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jj.near_duplicates(docs, rule=jj.Rule(class_bits=3)).select("row.doc_id", "n_shingles", "component_id").collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
+
+
+def test_long_words_that_clash_modulo_powers_of_two(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, " ".join([a] * 5)), (2, " ".join([b] * 5)), (3, a), (4, b)]
+    got = jj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_shingles", "component_id").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4)]
+
+
+def test_one_of_each_group_decides_by_row(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text), (5, text), (5, "something else that is unique to this row"), (1, text), (None, text), (None, None), (7, ""), (None, "alone by itself and without an id")]
+    kept = jj.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([(1, text), rows[2], (None, ""), (7, ""), rows[7]], "doc_id long, text string").collect()))

@@ -1,10 +1,12 @@
 """Near-duplicate join on word shingles with adaptive multi-match prefixes.
 
-Documents with the same set of shingles form a *class* at once (128-bit set
-fingerprints), so copies never meet each other as pairs. For the classes:
+Documents with the same set of shingles form a *class* at once (by two 64-bit set
+fingerprints), so copies never meet each other as pairs. Rows are frozen first (see
+``frozen``); a class is found again by the place of one of its rows. For the classes:
 
-1. A count sketch of fixed size over all documents estimates how many documents
-   hold a shingle; a set is ordered from rare to common.
+1. An exchange (see ``exchange``) tells how many documents hold each shingle, on a
+   scale of powers of two; a set is ordered from rare to common. A shingle that only
+   one document holds can meet nobody and is never posted.
 2. A set of n shingles that must share ``ceil(t * n)`` with any partner has a
    prefix of ``n - ceil(t * n) + L`` shingles, of which a partner must hold at
    least ``L``. Each set takes the L in 1..``max_match`` with the least estimated
@@ -30,7 +32,8 @@ Defined cases: null texts and texts without words have no shingle, link with
 nothing and are their own component; a text with fewer than k words has its whole
 word sequence as its shingle; repeated rows are linked by equal sets; a null id
 is never a component's name unless all ids of the component are null.
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes of their words' hashes, and by 48 bits of
+them where two given sets are verified.
 """
 
 from __future__ import annotations
@@ -44,19 +47,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import U64, cut, mix, new_folder, packed, steps, text_buffers, window_hashes, word_hashes, word_spans
+from turnloom.llm.common import U64, cut, mix, new_folder, steps, window_hashes, word_hashes, word_spans
+from turnloom.llm.exchange import answers, exchange, parts_for
+from turnloom.llm.frozen import Frozen, Unit, freeze, unpacked
 from turnloom.operators.components import connected_components
 
-#: Counters of the sketch: a fixed size, whatever the corpus.
-SKETCH_BITS = 20
 #: Cost of verifying a candidate, in shingles of its set, against reading a posting.
 VERIFY_COST = 0.05
 #: Members of a bucket that may all meet as pairs.
 SMALL = 24
 #: Members of a larger bucket that one task compares with as many others.
 BLOCK = 1500
-#: Bits of the filter that spares the shuffle sets nobody asks for: a fixed size.
-FILTER_BITS = 25
+#: Bits of the answer that tells how many documents hold a shingle: powers of two up to 2 ** 31.
+SCALE_BITS = 5
 
 
 @dataclass(frozen=True)
@@ -65,31 +68,59 @@ class Rule:
     num: int = 3  # threshold num / den
     den: int = 4
     max_match: int = 4
+    min_match: int = 1
+    class_bits: int = 64  # fewer force clashes of class numbers (tests)
 
     def need(self, n):
         return -(-self.num * n // self.den)
 
 
-def shingle_sets(batch: pa.RecordBatch, k: int):
-    """(document number, sorted distinct 64-bit shingles) of every document."""
-    data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text")))
-    for i, j in steps(offsets):
-        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+def shingle_sets(u: Unit, k: int):
+    """Sorted distinct 64-bit shingles of every document of a unit."""
+    for i, j in steps(u.offsets):
+        part, at = u.data[u.offsets[i] : u.offsets[j]], u.offsets[i : j + 1] - u.offsets[i]
         starts, ends, word_at = word_spans(part, at)
         words = word_hashes(part, starts, ends, lower=True)
         shingles = window_hashes(words, k)
         for d in range(j - i):
             a, b = word_at[d], word_at[d + 1]
             if b - a >= k:
-                yield i + d, np.unique(shingles[a : b - k + 1])
+                yield np.unique(shingles[a : b - k + 1])
             elif b > a:
-                yield i + d, mix(window_hashes(words[a:b], b - a) + U64(b - a))
+                yield mix(window_hashes(words[a:b], b - a) + U64(b - a))
             else:
-                yield i + d, np.zeros(0, U64)
+                yield np.zeros(0, U64)
+
+
+def _unit_shingles(u: Unit, k: int):
+    """The sets of a unit, its distinct shingles, and how many of the unit's sets hold each."""
+    sets = list(shingle_sets(u, k))
+    flat = np.concatenate([np.zeros(0, U64), *sets])
+    found, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    return sets, found, place, count
+
+
+def _holders(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Scale of the number of documents that hold each shingle: 0 for one, s for 2**s up
+    to twice as many."""
+    order = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.diff(h[order], prepend=h[order][:1] + U64(1)))
+    total = np.add.reduceat(count[order].astype(np.int64), at)
+    out = np.zeros(len(h), np.uint8)
+    out[order] = np.repeat(np.minimum(np.log2(total), (1 << SCALE_BITS) - 1).astype(np.uint8), np.diff(at, append=len(h)))
+    return out
+
+
+def class_of(s: np.ndarray, rule: Rule, renamed: dict) -> tuple[int, int]:
+    """Class number and check of a set; ``renamed`` holds numbers of their own for sets
+    whose numbers clash."""
+    a, b = fingerprints(s)
+    a >>= 64 - rule.class_bits
+    return renamed.get((a, b), a), b
 
 
 def fingerprints(s: np.ndarray) -> tuple[int, int]:
-    """Class number and check of a set, as signed 64-bit integers."""
+    """Two fingerprints of a set, as signed 64-bit integers."""
     if not len(s):
         return 0, 0
     with np.errstate(over="ignore"):
@@ -98,47 +129,13 @@ def fingerprints(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
-def _survey(k: int, schema: pa.Schema):
-    """Rows of sets (kind 0) and, last, this task's sketch (kind 1)."""
-
-    def run(batches):
-        sketch, row_type = np.zeros(1 << SKETCH_BITS, np.uint32), schema.field("row").type
-        for b in batches:
-            rows, n, cls, chk, pending = b.column(b.schema.get_field_index("row")), [], [], [], []
-            for _, s in shingle_sets(b, k):
-                a, c = fingerprints(s)
-                n.append(len(s))
-                cls.append(a)
-                chk.append(c)
-                pending.append(s)
-            if pending:
-                sketch += np.bincount((np.concatenate(pending) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), rows, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(chk, pa.int64()), pa.nulls(len(n), pa.binary())], schema=schema)
-        parts = 16  # so that the sums are taken in several tasks
-        size = len(sketch) // parts
-        cols = [pa.array([1] * parts, pa.int32()), pa.nulls(parts, row_type), pa.array(range(parts), pa.int64()), *[pa.array([0] * parts, pa.int64())] * 2, pa.array([sketch[i * size : (i + 1) * size].tobytes() for i in range(parts)], pa.binary())]
-        if sketch.any():
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
-
-    return run
-
-
-def _sum_sketches(batches):
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(blob, np.uint32).astype(np.uint64)
-            total[part] = total[part] + x if part in total else x
-    yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int64()), "blob": pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in total.values()], pa.binary())})
-
-
 def choose_match(counts: np.ndarray, rule: Rule) -> int:
     """L for a set whose estimated counts, rare to common, are given."""
     n = len(counts)
     base = n - rule.need(n) + 1
     seen = np.cumsum(counts[: base + rule.max_match - 1] - 1.0)
-    best, least = 1, math.inf
-    for m in range(1, rule.max_match + 1):
+    best, least = min(rule.min_match, n - base + 1), math.inf
+    for m in range(rule.min_match, rule.max_match + 1):
         if base + m - 1 > n:
             break
         read = seen[base + m - 2]
@@ -148,45 +145,69 @@ def choose_match(counts: np.ndarray, rule: Rule) -> int:
     return best
 
 
-def _postings(rule: Rule, sketch, parts: int, flush: int = 1_000_000):
-    """Blobs of (shingle, class, level + L, size) by part of the shingle space."""
-
-    def run(batches):
-        counts, seen, held, size = np.frombuffer(sketch.value, np.uint32), set(), [], 0
-
-        def emit():
-            s, c, m = (np.concatenate([h[i] for h in held]) for i in range(3))
-            part = (s % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            s, c, m, part = s[order], c[order], m[order], part[order]
-            at = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = np.append(at[1:], len(part))
-            # 40 bits of a shingle are enough here: a clash makes a candidate, never a link
-            five = (mix(s) >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part[at].astype(np.int32)), "s": pa.array([five[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), "c": pa.array([c[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), "m": pa.array([m[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
-
-        for b in batches:
-            for _, s in shingle_sets(b, rule.k):
-                cls = fingerprints(s)[0]
-                if not len(s) or cls in seen:
+def _posting(s: np.ndarray, scale: np.ndarray, rule: Rule):
+    """Shingles of a set's prefix that others hold too, and for each level + 16 L,
+    grade of the set's size and grade of its commonness."""
+    order = np.lexsort((s, scale))
+    est = np.exp2(scale[order].astype(float))
+    match = choose_match(est, rule)
+    base = len(s) - rule.need(len(s)) + 1
+    take = order[: base + match - 1]
+    level = np.maximum(np.arange(len(take)) - base + 2, 1)
+    shared = scale[take] > 0
+    take, level = take[shared], level[shared]
+    grade = min(255, int(8 * math.log2(len(s))))
+    centre = min(255, int(8 * math.log2(1 + float(est.mean()))))
+    return s[take], np.stack([(level + 16 * match).astype(np.uint8), np.full(len(take), grade, np.uint8), np.full(len(take), centre, np.uint8)], axis=1)
+
+
+def _survey(rule: Rule, scales: str, parts: int, renamed: dict, schema: pa.Schema, flush: int = 1_000_000):
+    """Rows of sets (kind 0) and blobs of (shingle, class, level + L, size) by part of
+    the shingle space (kind 1)."""
+
+    def block(count: int, **cols):
+        return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(count, f.type) for f in schema], schema=schema)
+
+    def emit(held):
+        s, c, m = (np.concatenate([h[i] for h in held]) for i in range(3))
+        part = (s % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        s, c, m, part = s[order], c[order], m[order], part[order]
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = np.append(at[1:], len(part))
+        # 40 bits of a shingle are enough here: a clash makes a candidate, never a link
+        five = (mix(s) >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+        blobs = {k: pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for k, x in (("s", five), ("c", c), ("m", m))}
+        return block(len(at), kind=pa.array([1] * len(at), pa.int32()), part=pa.array(part[at].astype(np.int32)), **blobs)
+
+    def run(units):
+        seen, held, size = set(), [], 0
+        for u in units:
+            sets, found, place, _ = _unit_shingles(u, rule.k)
+            scale = answers(scales, u.number, found, SCALE_BITS)[place]
+            n, cls, chk, at = [len(s) for s in sets], [], [], 0
+            for s in sets:
+                a, b = class_of(s, rule, renamed)
+                cls.append(a)
+                chk.append(b)
+                own = scale[at : at + len(s)]
+                at += len(s)
+                if not len(s) or (a, b) in seen:
                     continue
-                seen.add(cls)
-                est = counts[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.lexsort((s, est))
-                match = choose_match(est[order].astype(float), rule)
-                base = len(s) - rule.need(len(s)) + 1
-                take = order[: base + match - 1]
-                level = np.maximum(np.arange(len(take)) - base + 2, 1)
-                grade = min(255, int(8 * math.log2(len(s))))
-                centre = min(255, int(8 * math.log2(1 + float(est.mean()))))
-                meta = np.stack([(level + 16 * match).astype(np.uint8), np.full(len(take), grade, np.uint8), np.full(len(take), centre, np.uint8)], axis=1)
-                held.append((s[take], np.full(len(take), cls, np.int64), meta))
-                size += len(take)
+                seen.add((a, b))
+                take, meta = _posting(s, own, rule)
+                if len(take):
+                    held.append((take, np.full(len(take), a, np.int64), meta))
+                    size += len(take)
                 if size >= flush:
-                    yield from emit()
+                    yield emit(held)
                     held, size = [], 0
+            k = len(n)
+            at = {"unit": pa.array([u.number] * k, pa.int64()), "pos": pa.array(range(k), pa.int32()), "row": u.rows.cast(schema.field("row").type)}
+            own = {c: pa.array(x, pa.int64()) for c, x in (("n", n), ("cls", cls), ("chk", chk))}
+            yield block(k, kind=pa.array([0] * k, pa.int32()), **at, **own)
         if held:
-            yield from emit()
+            yield emit(held)
 
     return run
 
@@ -352,62 +373,23 @@ def _large(buckets: DataFrame) -> DataFrame:
     return cells.select(F.xxhash64(pair).alias("task"), (F.col("block") > F.col("other")).cast("int").alias("side"), "c", "comp")
 
 
-def _filter_bits(c: np.ndarray) -> list[np.ndarray]:
-    h = mix(c.view(U64))
-    return [(h >> U64(s)).astype(np.int64) & ((1 << FILTER_BITS) - 1) for s in (0, 37)]
+def _sets_of(k: int):
+    """c, sorted shingles (48 bits of each hash) of the rows asked for."""
 
-
-def _filter_of(wanted: DataFrame) -> bytes:
-    """A Bloom filter of fixed size over the classes in ``wanted`` (c)."""
-    size, parts = 1 << FILTER_BITS, 16
-
-    def fill(batches):
-        bits = np.zeros(size, bool)
-        for b in batches:
-            for x in _filter_bits(b.column(0).to_numpy()):
-                bits[x] = True
-        blobs = np.packbits(bits).reshape(parts, -1)
-        some = [i for i in range(parts) if blobs[i].any()]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int64()), "blob": pa.array([blobs[i].tobytes() for i in some], pa.binary())})
-
-    def join(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(blob, np.uint8)
-                total[part] = total[part] | x if part in total else x
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(total), pa.int64()), "blob": pa.array([x.tobytes() for x in total.values()], pa.binary())})
-
-    wire = "part long, blob binary"
-    held = {r.part: r.blob for r in wanted.mapInArrow(fill, wire).repartition(parts, "part").mapInArrow(join, wire).collect()}
-    return b"".join(bytes(held.get(i, bytes(size // 8 // parts))) for i in range(parts))
-
-
-def _sets_of(k: int, shared):
-    """c, sorted shingles of the classes that the filter lets through; each class
-    once in a task."""
-
-    def run(batches):
-        bits, done = np.frombuffer(shared.value, np.uint8), set()
-        for b in batches:
-            cls, out = [], []
-            for _, s in shingle_sets(b, k):
-                c = fingerprints(s)[0]
-                if not len(s) or c in done or not all(bits[x[0] >> 3] >> (7 - (x[0] & 7)) & 1 for x in _filter_bits(np.array([c], np.int64))):
-                    continue
-                done.add(c)
-                cls.append(c)
-                # 48 bits of a shingle's hash tell two sets' shingles apart
-                out.append(np.sort(mix(s) >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(out, pa.binary())], ["c", "s"])
+    def run(picked):
+        for u, pos, batch in picked:
+            sizes = np.diff(u.offsets)[pos]
+            data = np.concatenate([np.zeros(0, np.uint8), *[u.data[u.offsets[p] : u.offsets[p + 1]] for p in pos]])
+            some = Unit(u.number, u.rows, data, np.concatenate([[0], np.cumsum(sizes)]))
+            out = [np.sort(mix(s) >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(some, k)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("c")), pa.array(out, pa.binary())], ["c", "s"])
 
     return run
 
 
-def _sets(df: DataFrame, wanted: DataFrame, rule: Rule, path: str) -> DataFrame:
-    """c, s: the sets of ``wanted`` classes, each once."""
-    shared = df.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    return cut(df.mapInArrow(_sets_of(rule.k, shared), "c long, s binary").join(wanted, "c", "left_semi").groupBy("c").agg(F.first("s").alias("s")), path)
+def _sets(rows: Frozen, places: DataFrame, wanted: DataFrame, rule: Rule, path: str) -> DataFrame:
+    """c, s: the sets of ``wanted`` classes (c), read at their ``places`` (c, unit, pos)."""
+    return cut(rows.pick(wanted.join(places, "c").select("unit", "pos", "c"), _sets_of(rule.k), "c long, s binary"), path)
 
 
 def _verify(rule: Rule):
@@ -434,23 +416,44 @@ def _linked(sets: DataFrame, pairs: DataFrame, rule: Rule, path: str) -> DataFra
     return cut(rows.mapInArrow(_verify(rule), "src long, dst long, linked boolean").where("linked").select("src", "dst"), path)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rule: Rule | None = None, part_postings: int = 500_000, max_parts: int = 100_000) -> DataFrame:
-    """One row per row of ``docs``: row (its other columns), n_shingles,
-    class_id (fingerprint of the set) and component_id (smallest id linked)."""
+@dataclass(frozen=True)
+class Near:
+    """``named``: unit, pos, row, n, cls, comp (class that names the component; null
+    for a set of its own), component_id."""
+
+    frozen: Frozen
+    named: DataFrame
+
+
+def find_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rule: Rule | None = None, part_postings: int = 400_000, unit_bytes: int | None = None) -> Near:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rule, spark = rule or Rule(), docs.sparkSession
-    path, df = new_folder(spark, "jaccard"), packed(docs, text_col)
-    f = T.StructField
-    wire = T.StructType([f("kind", T.IntegerType()), f("row", df.schema["row"].dataType), f("n", T.LongType()), f("cls", T.LongType()), f("chk", T.LongType()), f("blob", T.BinaryType())])
-    survey = cut(df.mapInArrow(_survey(rule.k, to_arrow_schema(wire)), wire), f"{path}/survey")
-    sets = survey.where("kind = 0").select("row", "n", "cls", "chk")
-    blobs = survey.where("kind = 1").select(F.col("n").alias("part"), "blob").repartition(16, "part").mapInArrow(_sum_sketches, "part long, blob binary").collect()
-    sketch = spark.sparkContext.broadcast(b"".join(r.blob for r in sorted(blobs)) or bytes(4 << SKETCH_BITS))
-
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = min(max_parts, max(1, math.ceil(total * (1 - rule.num / rule.den) / part_postings)))
-    post = df.mapInArrow(_postings(rule, sketch, parts), "part int, s binary, c binary, m binary").repartitionById(parts, "part")
+    rule, path = rule or Rule(), new_folder(docs.sparkSession, "jaccard")
+    rows = freeze(docs, f"{path}/rows", text_col, unit_bytes=unit_bytes)
+    shingles = rows.n_bytes / 6
+
+    def ask(u: Unit):
+        _, found, _, count = _unit_shingles(u, rule.k)
+        return found, np.minimum(count, 255)
+
+    scales = exchange(rows, f"{path}/scales", parts_for(rows, shingles, 1_500_000), ask, _holders, hash_bytes=4, side=("u1",), width=SCALE_BITS)
+    f, long, blob = T.StructField, T.LongType(), T.BinaryType()
+    wire = T.StructType([f("kind", T.IntegerType()), f("unit", long), f("pos", T.IntegerType()), f("row", rows.row_type), f("n", long), f("cls", long), f("chk", long), f("part", T.IntegerType()), f("s", blob), f("c", blob), f("m", blob)])
+    parts = parts_for(rows, shingles * (1 - rule.num / rule.den), part_postings)
+
+    def survey_of(renamed: dict, name: str) -> tuple[DataFrame, DataFrame]:
+        survey = cut(rows.scan(_survey(rule, scales, parts, renamed, to_arrow_schema(wire)), wire), f"{path}/survey-{name}")
+        held = survey.where("kind = 0 AND n > 0").groupBy(F.col("cls").alias("c")).agg(F.min(F.struct("unit", "pos")).alias("at"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
+        return survey, cut(held.select("c", "at.unit", "at.pos", (F.col("lo") != F.col("hi")).alias("clash")), f"{path}/places-{name}")
+
+    survey, places = survey_of({}, "0")
+    clash = places.where("clash").select(F.col("c").alias("cls"))
+    if not clash.isEmpty():  # as rare as clashes of 64 bits: these sets get numbers of their own
+        found = survey.where("kind = 0 AND n > 0").join(clash, "cls", "left_semi").select("cls", "chk", F.xxhash64("cls", "chk").alias("own")).distinct()
+        survey, places = survey_of({(r.cls, r.chk): r.own for r in found.toLocalIterator()}, "1")
+    places = places.drop("clash")
+    sets = survey.where("kind = 0").select("unit", "pos", "row", "n", "cls")
+    post = survey.where("kind = 1").select("part", "s", "c", "m").repartitionById(parts, "part")
     buckets = cut(post.mapInArrow(_buckets, BUCKET), f"{path}/buckets")
 
     def candidates(source: DataFrame, all_pairs: bool) -> DataFrame:
@@ -461,7 +464,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c")))
 
     met = cut(candidates(buckets, False), f"{path}/met-0")
-    tokens = _sets(df, classes(met).distinct(), rule, f"{path}/sets-0")
+    tokens = _sets(rows, places, classes(met).distinct(), rule, f"{path}/sets-0")
     links = _linked(tokens, met, rule, f"{path}/links-0")
     comps = connected_components(links, path=f"{path}/comp-0")
     open_ = cut(_still_open(buckets, comps), f"{path}/open")
@@ -470,7 +473,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fresh = cut(candidates(small, True).join(met, ["a", "b"], "left_anti"), f"{path}/met-1")
         cells = cut(_large(large), f"{path}/cells")
         more = classes(fresh).union(cells.select("c")).distinct().join(tokens.select("c"), "c", "left_anti")
-        tokens = tokens.union(_sets(df, more, rule, f"{path}/sets-1"))
+        tokens = tokens.union(_sets(rows, places, more, rule, f"{path}/sets-1"))
         links = links.union(_linked(tokens, fresh, rule, f"{path}/links-1"))
         if not cells.isEmpty():
             tasks = cells.join(tokens, "c").repartition("task").sortWithinPartitions("task")
@@ -478,7 +481,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comps = connected_components(links, path=f"{path}/comp-1")
     named = sets.join(comps.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.where("n > 0").groupBy("comp").agg(F.min(F.col("row").getField(id_col)).alias("component_id"))
-    out = named.join(least, "comp", "left")
+    return Near(rows, named.join(least, "comp", "left"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: row (its other columns), n_shingles,
+    class_id (fingerprint of the set) and component_id (smallest id linked)."""
+    out = find_near(docs, id_col, text_col, **options).named
     return out.select("row", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("row").getField(id_col)).alias("component_id"))
 
 
@@ -495,9 +504,12 @@ def _still_open(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     return wide.join(lists, "bucket").withColumn("members", members)
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rule: Rule | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest (of rows with
-    that id, all that are in the component); rows with a null id stay."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, rule=rule)
-    gone = found.where("component_id <> row.`" + id_col + "`").select(F.col("row").getField(id_col).alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of each component of ``docs`` the row with the smallest id (null ids last; of
+    equal ids the row read first), and every row without a shingle; null texts come
+    back as empty ones. Decided by row, whatever the ids."""
+    near = find_near(docs, id_col, text_col, **options)
+    held = near.named.where("n > 0").select("comp", F.struct(F.col("row").getField(id_col).isNull().alias("lost"), F.col("row").getField(id_col).alias("id"), "unit", "pos").alias("at"))
+    first = held.groupBy("comp").agg(F.min("at").alias("first"))
+    gone = held.join(first, "comp").where("NOT at <=> first").select("at.unit", "at.pos")
+    return unpacked(near.frozen.without(gone), docs, text_col)
