@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -51,7 +52,6 @@ def test_token_files_round_trip(spark, texts, tmp_path):
     assert len(manifest["shards"]) > 1
     got = token_files.read_token_files(spark, folder).collect()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = sorted(((-1 if i is None else i), [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t, _ in rows)
     got.sort(key=lambda r: r.start)
     assert sorted((-1 if r.id is None else r.id, r.ids) for r in got) == want
@@ -77,13 +77,36 @@ def test_dictionary_is_bound_to_the_shards(spark, tmp_path):
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def test_runs_of_line_ends_in_single_spaced_texts():
+def test_ids_are_the_librarys_on_any_text():
+    """The ids of whole texts, on 10,000 random strings rich in what could tell them apart."""
     r = random.Random(5)
-    texts = ["One two.\n\n\nThree four.", "One two.\n\n", "\n\nOne", "\n", "\n\n", "a\nb.\n", "a\r\n\r\nb c", "a\t\n\nb", "x.\n\ny.\nz!\n\n\n"]
-    texts += [" ".join("".join(r.choice(["word", ".", "'s", "12", "\n", "\n\n", "\t\n", "é,", "\u00a0"]) for _ in range(6)).strip(" ") or "x" for _ in range(9)) for _ in range(300)]
+    texts = ["One two.\n\n\nThree four.", "a\n\n\nb", "\n\n", "", "a\r\n\r\nb c", "<|endoftext|>", "x<|endoftext|> y", "  ", "\u0085\x1c"]
+    signs = ["word", " word", ".", "'s", "12", "\n", "\n\n", "\t\n", "  ", "é,", "\u00a0", "<|endoftext|>", "\x1c", "\u2028", "漢", "🙂", "\u0301", "A" * 70]
+    texts += ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(9000)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0xD800), r.randrange(0xE000, 0x110000)])) for _ in range(r.randint(1, 30))) for _ in range(1000)]
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    enc = token_files.PieceEncoder(path)
+    texts += [" ".join(r.choice(["one", "two.", "three,\nfour", "(x)", "é", "naïve.", "a\n\nb", "x's", "5.", "Q?!", "w" * 80, "z\u00a0y", "\ta"]) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     for _ in range(2):  # encoded anew, then from what is kept
-        got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)]
-        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in token_files._encode_texts(path, pa.array(texts), 2)] == want
+    small = token_files.PieceEncoder(path, keep_bytes=2000)
+    assert [[*x.tolist(), 2] for x in small.encode(pa.array(texts))] == want and small.room >= 0
+
+
+def test_width_holds_every_id(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    folder, path = f"file://{tmp_path}/w", P.path("byte_bpe_50k.json")
+    assert token_files.write_token_files(docs, folder, path, end_id=70_000)["width"] == 4
+    assert token_files.read_document(folder, 1)[-1] == 70_000
+    with pytest.raises(ValueError):
+        token_files.write_token_files(docs, f"file://{tmp_path}/v", path, end_id=70_000, width=2)
+
+
+def test_a_long_text_without_white_space(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ab" * 300_000), (2, "x y " * 250_000)], "doc_id long, text string")
+    folder, path = f"file://{tmp_path}/l", P.path("byte_bpe_50k.json")
+    token_files.write_token_files(docs, folder, path)
+    tok = Tokenizer.from_file(path)
+    for i, t in ((1, "ab" * 300_000), (2, "x y " * 250_000)):
+        assert token_files.read_document(folder, i) == [*tok.encode(t, add_special_tokens=False).ids, 2]

@@ -9,15 +9,18 @@ SHA-256 of the dictionary. One document is read by the index and one frame.
 ids before each; ``dictionary.zstd`` is kept beside it.
 
 The dictionary is trained on a bounded sample (``sample_docs`` documents with the
-lowest hash of their id, ``sample_ids`` ids of each); it changes sizes only, and
-every document is written whole.
+lowest hash of their id, of each ``8 * sample_ids`` characters and ``sample_ids`` ids
+at most); it changes sizes only, and every document is encoded and written whole.
+
+Ids are the library's for the whole text, without special tokens added. Letters that
+spell a special token of the vocabulary become its id, as the library has it.
 
 Files are written and read through pyarrow's file systems, so the folder may be
 any store that both driver and executors reach. A shard is written under another
 name and moved into place: a task that is run again replaces it with the same.
 
 Defined cases: null text counts as empty, an empty text holds the end id only;
-null ids come first; rows with the same id stand side by side, in order of text
+null ids come first; rows with the same id stand side by side, in order of their frame's
 hash; an empty table gives an empty folder; further columns are not stored.
 """
 
@@ -26,25 +29,25 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import worker_cache
+from turnloom.llm.common import sliced, steps, text_buffers, worker_cache
 
 MAGIC = b"TLTOKEN1"
 FOOTER = "<QQQ32s8s"  # index offset, documents, width, dictionary hash, magic
-#: Distinct pieces of text whose ids a worker keeps.
-PIECES = 1_000_000
-#: Signs that begin no match together with what follows a letter.
-CLOSING = set(".,;:!?")
+#: Text bytes that are cut and encoded at once.
+SLICE_BYTES = 8 << 20
 LEVEL = 3
 
 
@@ -52,81 +55,132 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    def make():
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return t
+    return worker_cache(f"hf_{path}", lambda: Tokenizer.from_file(path))
+
 
-    return worker_cache(f"hf_{path}", make)
+#: Text in which a space has other white space beside it or stands at an end, text with
+#: white space that not all pattern engines take for such, and openings of special tokens.
+_BLANK = r"\t-\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000} "
+MIXED = rf"[{_BLANK}] | [{_BLANK}]|[\x{{1c}}-\x{{1f}}\x{{85}}]|^ | $|<\|"
+#: Runs without white space, with one line end between any two.
+LONE = re.compile(r"\S+(?:\n\S+)+")
+#: A word of ASCII letters and one closing sign.
+CLOSING = frozenset(".,;:!?")
+CLOSED = re.compile(r"[!-~]*[A-Za-z][.,;:!?]")
 
 
 class PieceEncoder:
-    """Encodes texts by the pieces that pre-tokenisation makes of them anyway: a
-    space between two characters that are not white space always begins a match
-    of the byte-level pattern, so ids of the pieces follow each other unchanged.
-    Each distinct piece is encoded by the library once and kept."""
-
-    def __init__(self, path: str):
-        import regex
-
-        self.tokenizer, self.known, self.base = _tokenizer(path), {}, {}  # by key; by part
-        self.split = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])")
-        self.blank = regex.compile(r"\s[ ]|[ ][\s]|[\x1c-\x1f\x85]")
-        self.lone = regex.compile(r"(?<!\s)(\n)(?!\s)")
-
-    def keys(self, text: str) -> tuple[list, bool]:
-        """A key for each piece, and whether every space in them stands alone:
-        then a key is a word, which a space precedes, or a tuple of the first word;
-        else a key is a tuple of the piece and None."""
-        if self.blank.search(text) or text[:1] == " " or text[-1:] == " ":
-            return [(p, None) for p in self.split.split(text)], False
-        words = text.split(" ")
-        words[0] = (words[0],)
-        return words, True
-
-    def parts(self, piece: str) -> list[str]:
-        """A piece cut where the pattern cuts it: around a line end without white
-        space beside it, and between a letter and one closing sign. Runs of line ends
-        stay whole: the pattern takes them together."""
-        if "\n" in piece and len(some := self.lone.split(piece)) > 1:
-            return [x for p in some for x in ([p] if p == "\n" else self.parts(p))]
-        if piece[-1:] in CLOSING and piece[-2:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return [piece] if piece else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        find, docs, lacking, new = self.known.get, [], {}, set()
-        for text in texts:
-            keys, alone = self.keys(text)
-            ids = list(map(find, keys))
-            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            for k in [keys[i] for i in holes]:
-                if k not in lacking:
-                    piece = " " + k if isinstance(k, str) else k[0]
-                    lacking[k] = parts = self.parts(piece) if alone else [piece]
-                    new.update(parts)
-            docs.append((keys, ids, holes))
-        missing, fresh = [x for x in new if x not in self.base], {}
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                fresh[p] = np.array(e.ids, "<u4").tobytes()
-        done = {k: b"".join([self.base[x] if x in self.base else fresh[x] for x in parts]) for k, parts in lacking.items()}
-        for keys, ids, holes in docs:
-            for i in holes:
-                ids[i] = done[keys[i]]
-        if len(self.known) < PIECES:  # what comes first is what comes often
-            self.known.update(done)
-            self.base.update((x, fresh[x]) for x in missing if x[-1:] not in CLOSING)
-        return [b"".join(ids) for _, ids, _ in docs]
-
-
-def _encode_texts(path: str, texts: list[str], end: int):
-    enc, tail = worker_cache(f"pieces_{path}", lambda: PieceEncoder(path)), np.array([end], "<u4").tobytes()
-    for i in range(0, len(texts), 256):
-        for ids in enc.encode(texts[i : i + 256]):
-            yield np.frombuffer(ids + tail, "<u4")
+    """The library's ids of whole texts, with each distinct piece encoded once.
+
+    A single space between two characters that are not white space always begins a
+    match of the byte-level pattern, and no match looks beyond its end there: ids of the
+    pieces that such spaces begin follow each other unchanged. So does a line end
+    without white space beside it, which is a match of its own, and one closing sign
+    between a letter and a piece's end. Other texts (MIXED) go to the library whole.
+
+    Arrow cuts a slice of texts and finds its distinct pieces; new ones are encoded as
+    one text, in which a token that begins with a space begins a piece. A worker keeps
+    pieces up to ``keep_bytes``, first come first kept; long ones are not kept."""
+
+    def __init__(self, path: str, keep_bytes: int = 96 << 20, longest: int = 64):
+        self.tokenizer, self.room, self.longest = _tokenizer(path), keep_bytes, longest
+        self.spaced: dict[str, bytes] = {}  # pieces that a space begins, without it
+        self.bare: dict[str, bytes] = {}  # pieces at the start of a text or a line
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True  # how the vocabulary writes a space
+        self.signs = {c: self._whole([c])[0] for c in (*CLOSING, "\n")}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of " " + word for each word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(words) or at[0]:
+            return self._whole([" " + w for w in words])
+        return [ids[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(ids)], strict=True)]
+
+    def _look_up(self, held: dict[str, bytes], words: list[str], make) -> list[bytes]:
+        """Ids of the words, from what is held or made now and then held."""
+        out = list(map(held.get, words))
+        if None not in out:
+            return out
+        holes = [i for i, x in enumerate(out) if x is None]
+        lacking = [words[i] for i in holes]
+        stems = [w[:-1] if w[-1:] in CLOSING and CLOSED.fullmatch(w) else w for w in lacking]
+        new = list(dict.fromkeys(w for w in stems if w not in held))
+        made = dict(zip(new, make(new), strict=True)) if new else {}
+        for i, word, stem in zip(holes, lacking, stems, strict=True):
+            ids = made.get(stem) or held.get(stem, b"")
+            out[i] = ids if stem is word else ids + self.signs[word[-1]]
+        for w, ids in made.items():
+            size = 160 + 2 * len(w) + len(ids)
+            if size > self.room:
+                break
+            if len(w) <= self.longest:
+                held[w] = ids
+                self.room -= size
+        return out
+
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces that a space begins; those with lone line ends are cut there."""
+        cut = {i: w.split("\n") for i, w in enumerate(words) if "\n" in w and LONE.fullmatch(w)}
+        words = words.copy()
+        for i, x in cut.items():
+            words[i] = x[0]
+        out = self._look_up(self.spaced, words, self._joined)
+        rest = iter(self._look_up(self.bare, [w for x in cut.values() for w in x[1:]], self._whole))
+        for i, x in cut.items():
+            out[i] = self.signs["\n"].join([out[i], *[next(rest) for _ in x[1:]]])
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text."""
+        mixed = pc.match_substring_regex(texts, MIXED).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        hard = np.flatnonzero(mixed)
+        for i, ids in zip(hard.tolist(), self._whole(texts.take(pa.array(hard)).to_pylist()) if len(hard) else [], strict=True):
+            out[i] = np.frombuffer(ids, "<u4")
+        if len(hard) == len(texts):
+            return out
+        lists = pc.split_pattern(texts.filter(pa.array(~mixed)), " ")
+        at = lists.offsets.to_numpy()
+        at = at - at[0]
+        words = lists.flatten()
+        coded = words.dictionary_encode()
+        blobs = self._pieces(coded.dictionary.to_pylist())
+        starts = words.take(pa.array(at[:-1])).to_pylist()
+        lines = [w.split("\n") if "\n" in w and LONE.fullmatch(w) else [w] for w in starts]
+        flat = iter(self._look_up(self.bare, [w for x in lines for w in x], self._whole))
+        heads = [self.signs["\n"].join([next(flat) for _ in x]) for x in lines]
+        index = coded.indices.to_numpy().copy()
+        index[at[:-1]] = len(blobs) + np.arange(len(heads), dtype=np.int32)
+        blobs += heads
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        pool, begin = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(sizes) - sizes
+        count = sizes[index]
+        ends = np.cumsum(count)
+        ids = pool[np.repeat(begin[index] - ends + count, count) + np.arange(ends[-1])]
+        edge = np.concatenate([[0], ends])[at]
+        for i, a, b in zip(np.flatnonzero(~mixed).tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            out[i] = ids[a:b]
+        return out
+
+
+def _encode_texts(path: str, texts: pa.Array, end: int):
+    """Ids of every whole text, as the library gives them, and the end id."""
+    enc, tail = worker_cache(f"pieces_{path}", lambda: PieceEncoder(path)), np.array([end], "<u4")
+    for i, j in steps(text_buffers(texts)[1], SLICE_BYTES):
+        for ids in enc.encode(texts.slice(i, j - i)):
+            yield np.concatenate([ids, tail])
+
+
+def id_width(path: str, end_id: int) -> int:
+    """Bytes that hold every id of the vocabulary and the end id."""
+    most = max(end_id, _tokenizer(path).get_vocab_size(with_added_tokens=True) - 1, *_tokenizer(path).get_vocab().values())
+    return 2 if most < 1 << 16 else 4
 
 
 def _compress(path: str, end: int, width: int, dictionary: bytes):
@@ -137,7 +191,7 @@ def _compress(path: str, end: int, width: int, dictionary: bytes):
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zdict, write_checksum=False, write_dict_id=False)
         for b in batches:
             frames, counts = [], []
-            for ids in _encode_texts(path, b.column(b.schema.get_field_index("text")).to_pylist(), end):
+            for ids in _encode_texts(path, b.column(b.schema.get_field_index("text")), end):
                 counts.append(len(ids))
                 frames.append(packer.compress(ids.astype(f"<u{width}").tobytes()))
             at = b.schema.get_field_index("id")
@@ -151,8 +205,8 @@ def _train(df: DataFrame, path: str, end: int, width: int, size: int, docs: int,
     rows = df.join(F.broadcast(sample), "id").orderBy("id").limit(2 * docs)
 
     def run(batches):
-        for b in batches:
-            out = [x[:ids].astype(f"<u{width}").tobytes() for x in _encode_texts(path, [t[: 8 * ids] for t in b.column(b.schema.get_field_index("text")).to_pylist()], end)]
+        for b in sliced(batches):
+            out = [x[:ids].astype(f"<u{width}").tobytes() for x in _encode_texts(path, pc.utf8_slice_codeunits(b.column(b.schema.get_field_index("text")), 0, 8 * ids), end)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["sample"])
 
     samples = [bytes(r.sample) for r in rows.mapInArrow(run, "sample binary").collect()]
@@ -198,10 +252,13 @@ def _close(place, out, name, final, index, offset, width, digest, shard):
     return pa.RecordBatch.from_pydict({"shard": [shard], "docs": [len(rows)], "tokens": [int(rows["n"].sum())]})
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, width: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 48 << 20, dictionary_bytes: int = 64 << 10, sample_docs: int = 1000, sample_ids: int = 2048) -> dict:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, width: int | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 48 << 20, dictionary_bytes: int = 64 << 10, sample_docs: int = 1000, sample_ids: int = 2048) -> dict:
     """Write ``docs`` under ``folder`` (a URI) and return the manifest. ``width``:
-    bytes of an id in the files (2 holds vocabularies of up to 65,536)."""
-    spark = docs.sparkSession
+    bytes of an id in the files, 2 or 4; by default what the vocabulary needs."""
+    needed = id_width(tokenizer_path, end_id)
+    width = width or needed
+    if width not in (2, 4) or width < needed:
+        raise ValueError("WIDTH_TOO_SMALL_FOR_THE_VOCABULARY")
     df = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     dictionary = _train(df, tokenizer_path, end_id, width, dictionary_bytes, sample_docs, sample_ids)
     digest = hashlib.sha256(dictionary).digest()
