@@ -56,5 +56,11 @@ def test_against_brute_force(spark):
     assert len({x.status for x in got}) == 4
 
 
+def test_dotted_column_and_a_long_body(spark):
+    df = spark.createDataFrame([(1, "a.org", 1, "response", {"etag": '"1"'}, "y" * 2_000_000, "s", "q"), (2, "a.org", 2, "revisit", {"etag": '"1"'}, None, "s", "q")], f"{SCHEMA}, `a.b` string")
+    (row,) = resolve_revisits(df).collect()
+    assert row.status == "resolved" and len(row.payload) == 2_000_000 and row.row["a.b"] == "q"
+
+
 def test_no_rows(spark):
     assert resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0

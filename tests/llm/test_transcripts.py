@@ -72,3 +72,8 @@ def test_rendering_and_odd_rows(spark):
     assert whole[1] == "<|im_start|>system\nBe kind.<|im_end|>\n<|im_start|>user\nHi?\nthere<|im_end|>\n<|im_start|>assistant\nHello.<|im_end|>\n<|im_start|>user\nAnd?<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert whole[7].count("<|im_start|>") == 300 == whole[7].count("<|im_end|>") and all(r in ROLES for x in got for r in x.roles)
     assert recover_turns(docs.limit(0), model()).count() == 0
+
+
+def test_dotted_column(spark):
+    docs = spark.createDataFrame([(1, 0, "user", "Hi?", "v"), (1, 1, None, "Hello.", "v")], "conv_id long, turn long, role string, text string, `a.b` string")
+    assert {r.row["a.b"] for r in recover_turns(docs, model()).collect()} == {"v"}

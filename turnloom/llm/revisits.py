@@ -9,19 +9,23 @@ taken. Where they differ it is a *mismatch*, and keeps no payload. Without an
 earlier response it is *orphan*. A resolved revisit takes the response's payload
 and headers, updated by those of its own that a 304 may carry.
 
-A URL may hold a third of all records: time is cut into ``slices``, windows run
-within (URL, slice), and one row for each (URL, slice) carries the last response
-over to later slices. Only keys travel until the response is known.
+A URL may hold a third of all records: time is cut into ``slices`` that hold about
+as many records each (by quantiles), windows run within (URL, slice), and one row for
+each (URL, slice) carries the last response over to later slices. Only keys travel
+until the response is known.
 
 Defined cases: at the same time a response is not earlier; of responses at one
 time the largest record_id is the latest; null URLs and times are orphans (a
 response without them is never found); null headers are empty; repeated rows are
 resolved each, and a repeated response record counts once; empty tables give empty
-results; further columns of the revisit travel in ``row``.
+results; further columns of the revisit, whatever their names, travel in ``row``.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +49,31 @@ def _tag(headers: str) -> Column:
     return F.regexp_replace(F.col(headers)["etag"], "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, *, slices: int = 1024) -> DataFrame:
+def _cuts(df: DataFrame, slices: int) -> list[float]:
+    """Quantiles of t that part ``df`` into ``slices`` at most."""
+    if slices < 2:
+        return []
+    return sorted(set(df.select(F.col("t").cast("double").alias("t")).stat.approxQuantile("t", [k / slices for k in range(1, slices)], 0.25 / slices)))
+
+
+def _sliced(df: DataFrame, cuts: list[float]) -> DataFrame:
+    """``df`` with slice: how many of ``cuts`` are not above t."""
+    if not cuts:
+        return df.withColumn("slice", F.lit(0).cast("long"))
+    named = df.withColumn("_t", F.col("t").cast("double"))
+    return Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_t", outputCol="_slice").transform(named).withColumn("slice", F.col("_slice").cast("long")).drop("_t", "_slice")
+
+
+def resolve_revisits(records: DataFrame, *, slices: int = 256) -> DataFrame:
     """One row for each revisit: row (its columns but the payload), canonical_url,
     response_id, status, headers (merged), payload."""
-    keys = [c for c in records.columns if c != "payload"]
-    base = records.select(F.struct(*keys).alias("row"), canonical_url(F.col("url")).alias("u"), F.col("ts").cast("long").alias("t"), (F.col("kind") == "response").alias("full"), F.col("record_id").alias("id"))
-    ends = base.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
-    first, width = (ends.a or 0), max(1, ((ends.b or 0) - (ends.a or 0)) // slices + 1)
-    base = base.withColumn("slice", F.floor((F.col("t") - first) / width).cast("long"))
-    light = base.where("u IS NOT NULL AND t IS NOT NULL AND full").select("u", "slice", "t", F.lit(True).alias("full"), "id", F.lit(None).cast(base.schema["row"].dataType).alias("row"))
-    asked = base.where("NOT full AND row.kind = 'revisit'")
-    lost = asked.where("u IS NULL OR t IS NULL").select("u", "row", F.lit(None).cast(base.schema["id"].dataType).alias("at"))
-    asked = asked.where("u IS NOT NULL AND t IS NOT NULL").select("u", "slice", "t", "full", "id", "row")
+    keys = [F.col(f"`{c}`") for c in records.columns if c != "payload"]
+    base = records.select(F.struct(*keys).alias("row"), canonical_url(F.col("url")).alias("u"), F.col("ts").cast("long").alias("t"), F.col("kind").alias("kind"), F.col("record_id").alias("id"))
+    placed = base.where("u IS NOT NULL AND t IS NOT NULL")
+    cuts = _cuts(placed, slices)
+    light = _sliced(placed.where("kind = 'response'"), cuts).select("u", "slice", "t", F.lit(True).alias("full"), "id", F.lit(None).cast(base.schema["row"].dataType).alias("row"))
+    lost = base.where("kind = 'revisit' AND (u IS NULL OR t IS NULL)").select("u", "row", F.lit(None).cast(base.schema["id"].dataType).alias("at"))
+    asked = _sliced(placed.where("kind = 'revisit'"), cuts).select("u", "slice", "t", F.lit(False).alias("full"), "id", "row")
     order = Window.partitionBy("u", "slice").orderBy("t", F.col("full").asc(), "id")
     seen = light.unionByName(asked).withColumn("at", F.last(F.when(F.col("full"), F.col("id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     # one row per URL and slice: its own last response, and the last one before it
@@ -76,12 +93,22 @@ def resolve_revisits(records: DataFrame, *, slices: int = 1024) -> DataFrame:
     return both.withColumn("status", status).select("row", F.col("u").alias("canonical_url"), "response_id", "status", F.when(taken, merged).otherwise(F.col("new")).alias("headers"), F.when(taken, F.col("body")).alias("payload"))
 
 
-def records_of_pages(pages: DataFrame, second_crawl: int = 1 << 40) -> DataFrame:
-    """Two crawls of ``pages``: a full response for each page at its page_id, and a
-    later visit to the same URL answered 'not modified', whose ETag names the body
-    that the page had."""
-    tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
-    full = pages.select((F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("kind"), F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("date"), F.col("page_id").cast("string")).alias("headers"), F.coalesce("html", F.lit("")).alias("payload"))
-    later = (F.col("page_id") + second_crawl).alias("ts")
-    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", later, F.lit("revisit").alias("kind"), F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"), (F.col("page_id") + second_crawl).cast("string"), F.lit("content-length"), F.lit("0")).alias("headers"), F.lit(None).cast("string").alias("payload"))
-    return full.unionByName(again)
+def records_of_pages(pages: DataFrame) -> DataFrame:
+    """Crawls of ``pages`` that interleave: a full response for each page, another one
+    up to 40,000 later, whose body has changed for two pages in three, and a visit
+    answered 'not modified' up to 60,000 later, whose ETag names the first body.
+    Some visits come before any response, some at the very time of the second one."""
+    tag = lambda body: F.concat(F.lit('"'), F.substring(F.md5(body), 1, 16), F.lit('"'))
+    key, first = F.col("page_id"), F.coalesce("html", F.lit(""))
+    second = F.when(key % 3 == 0, first).otherwise(F.concat(first, F.lit(" ")))
+    t0 = key * 10
+    t1 = t0 + 40 * (key * 31 % 1000) + 25
+    t2 = F.when(key % 29 == 0, t0 - 5).when(key % 23 == 0, t1).otherwise(t0 + 40 * (key * 17 % 1500) + 15)
+
+    def full(record, ts, body):
+        headers = F.create_map(F.lit("etag"), tag(body), F.lit("content-type"), F.lit("text/html"), F.lit("date"), ts.cast("string"))
+        return pages.select(record.alias("record_id"), "url", ts.alias("ts"), F.lit("response").alias("kind"), headers.alias("headers"), body.alias("payload"))
+
+    headers = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag(first)), F.lit("date"), t2.cast("string"), F.lit("content-length"), F.lit("0"))
+    again = pages.select((key * 3 + 2).alias("record_id"), "url", t2.alias("ts"), F.lit("revisit").alias("kind"), headers.alias("headers"), F.lit(None).cast("string").alias("payload"))
+    return full(key * 3, t0, first).unionByName(full(key * 3 + 1, t1, second)).unionByName(again)

@@ -25,7 +25,7 @@ its pieces in order, and no conversation is ever gathered in one place.
 Defined cases: null or empty text is one blank line; a null role column is a line
 without a marker; null conversation ids are one conversation; ties in turn are
 ordered by marker and text; repeated rows are rendered each; empty tables give empty
-results; further columns travel in ``row``.
+results; further columns, whatever their names, travel in ``row``.
 """
 
 from __future__ import annotations
@@ -143,6 +143,15 @@ def fit(turns: DataFrame, *, fit_conversations: int = 500, fit_turns: int = 50,
     return Model(list(held.values()), **options)
 
 
+def with_lost_markers(turns: DataFrame, lost: float, wrong: float, seed: int = 2045) -> DataFrame:
+    """``turns`` as transcripts with flaws: ``truth`` is the role as it was, and by a
+    hash of seed, conversation and turn a share ``lost`` of the rows names no speaker
+    and a share ``wrong`` names another one."""
+    u = F.pmod(F.xxhash64(F.lit(seed), "conv_id", "turn"), F.lit(1_000_000)) / 1_000_000
+    other = F.when(F.lower("role") == "user", "assistant").otherwise("user")
+    return turns.withColumn("truth", F.col("role")).withColumn("role", F.when(u < lost, F.lit(None)).when(u < lost + wrong, other).otherwise(F.col("role")))
+
+
 def _number(batches):
     pid, seq = TaskContext.get().partitionId(), 0
     for b in batches:
@@ -250,7 +259,7 @@ def recover_turns(rows: DataFrame, model: Model, *, partition_rows: int = 20_000
     starts of the turn pieces in it, and its rendered piece."""
     spark, path = rows.sparkSession, new_folder(rows.sparkSession, "chat")
     raw = F.concat(F.coalesce(F.concat(F.col("role"), F.lit(": ")), F.lit("")), F.coalesce("text", F.lit("")))
-    keyed = rows.select(F.col("conv_id").alias("c"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("turn").alias("t"), F.struct(*[c for c in rows.columns if c != "text"]).alias("row"), raw.alias("raw"))
+    keyed = rows.select(F.col("conv_id").alias("c"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("turn").alias("t"), F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "text"]).alias("row"), raw.alias("raw"))
     n = max(1, -(-keyed.count() // partition_rows))
     # a hash of the text breaks ties: a range bound should not carry a text
     keyed = keyed.withColumn("tie", F.xxhash64("raw"))
