@@ -49,7 +49,7 @@ def test_against_brute_force(spark):
     for i, t, _ in docs:
         for j, s in items:
             s, n = normalise(s), normalise(t)
-            if len(s) >= 20 and n and (x := least(s, n[:4000])) <= budget(len(s), 0.05):
+            if s and n and (x := least(s, n[:4000])) <= budget(len(s), 0.05):
                 want.append((i, j, x))
     got = [(x.row.doc_id, x.item_id, x.distance) for x in find_contamination(d, b).collect()]
     key = lambda x: (x[0], -1 if x[1] is None else x[1], x[2])
@@ -60,6 +60,14 @@ def test_against_brute_force(spark):
     assert sorted(x.doc_id for x in drop_contaminated(d, b).collect()) == sorted(i for i, _, _ in docs if i not in bad)
 
 
+def test_each_call_has_its_own_items(spark):
+    d = spark.createDataFrame([(i, f"some text about subject number{i} and more") for i in range(8)], "doc_id long, text string")
+    for i in range(8):
+        b = spark.createDataFrame([(i, f"about subject number{i} and")], "item_id long, text string")
+        assert (i, i) in [(x.row.doc_id, x.item_id) for x in find_contamination(d, b, rate=0.0).collect()]
+        assert drop_contaminated(d, b, rate=0.0).count() == 7
+
+
 def test_no_rows(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import packed, sliced, worker_cache
+from turnloom.llm.common import lean, packed, sliced, worker_cache
 
 #: Characters before a chunk's end in which a boundary may depend on what follows.
 TAIL = 8
@@ -64,14 +64,18 @@ def _encode(path: str, pattern: str):
 def _encode_rows(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """``df`` with ids (little-endian unsigned 32-bit) in place of text."""
     schema = df.drop("text").withColumn("ids", F.lit(b"")).schema
-    return df.mapInArrow(_encode(path, pattern), schema)
+    return df.mapInArrow(lean(_encode(path, pattern)), schema)
 
 
 def _chunks(chunk: int, overlap: int):
     def run(batches):
-        for b in batches:
+        done = set()  # keys of this task: copies leave a task once
+        for b in sliced(batches, 50):
             keys, texts = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("key", "text"))
             for key, text in zip(keys, texts, strict=True):
+                if key in done:
+                    continue
+                done.add(key)
                 at = list(range(0, max(1, len(text) - overlap), chunk))
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array(range(len(at)), pa.int32()), pa.array(at, pa.int64()), pa.array([text[s : s + chunk + overlap] if s != at[-1] else text[s:] for s in at], pa.string()), pa.array([s == at[-1] for s in at])], ["key", "k", "at", "part", "last"])
 
@@ -100,7 +104,7 @@ def _cuts(pattern: str, chunk: int, overlap: int):
 def _long_ids(texts: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """key, ids for distinct long texts (key, text)."""
     parts = texts.mapInArrow(_chunks(chunk, overlap), "key string, k int, at long, part string, last boolean")
-    parts = parts.repartition("key", "k").dropDuplicates(["key", "k"])
+    parts = parts.groupBy("key", "k").agg(*[F.first(c).alias(c) for c in ("at", "part", "last")])
     run = parts.mapInArrow(_cuts(pattern, chunk, overlap), "key string, k int, at long, part string, last boolean, left array<long>, right array<long>")
     order = Window.partitionBy("key").orderBy("k")
     common = F.array_min(F.array_intersect("left", F.lag("right").over(order)))
@@ -154,4 +158,4 @@ def _decode(path: str):
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` (with ids as bpe_encode makes them) and ``decoded``: the
     bytes of the ids, one after the other."""
-    return encoded.mapInArrow(_decode(ranks_path), encoded.withColumn("decoded", F.lit(b"")).schema)
+    return encoded.mapInArrow(lean(_decode(ranks_path)), encoded.withColumn("decoded", F.lit(b"")).schema)

@@ -3,12 +3,13 @@ folder, Arrow helpers, and vectorised hashing of words and byte ranges."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.sources.tables import cut, new_folder, shared_folder, table  # noqa: F401
@@ -29,9 +30,44 @@ def worker_cache(name: str, make):
     return getattr(mod, name)
 
 
+#: Bytes of a batch that travels between the JVM and Python, unless the session names another
+#: bound: a number of rows bounds nothing where texts may be long.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not getattr(spark, "_turnloom_batches", False):
+        if int(spark.conf.get(key).rstrip("bB")) == 64 << 20:  # as Spark has it
+            spark.conf.set(key, str(BATCH_BYTES))
+        spark._turnloom_batches = True
+
+
+def tidy() -> None:
+    """Give freed memory back: workers are kept, and one step's peak must not stay."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """``run``, and memory given back at the end of the task."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return inner
+
+
 def packed(docs: DataFrame, text_col: str = "text", **more) -> DataFrame:
     """``row`` (a struct of every other column, so that no name can clash),
     ``text`` (null becomes empty) and ``more``."""
+    bounded_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     row = F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("_"))
     return docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[c.alias(n) for n, c in more.items()])

@@ -7,23 +7,26 @@ the stretches around an item's hits are merged and verified with Myers'
 bit-parallel edit distance (semi-global: the item anywhere in the stretch).
 
 The items are a stated query set; they are handled in blocks of at most
-``block_chars`` characters, which bounds what is sent to the workers.
+``block_chars`` characters, which bounds what the driver and the workers hold; each
+block is one scan of the documents.
 
 Normalisation: lower case, white space runs become one space, none at the ends.
 Defined cases: null and empty texts match nothing; items shorter than
-``min_chars`` normalised characters are no evidence and match nothing; equal items
+``min_chars`` normalised characters (1: none is left out) match nothing; equal items
 are reported each; a null item id is reported as null; repeated rows are judged
 each; empty tables give empty results; other columns travel in ``row``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import packed, worker_cache
+from turnloom.llm.common import lean, packed, worker_cache
 
 
 def normalise(text: str | None) -> str:
@@ -119,24 +122,31 @@ class Finder:
         return out
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, min_chars: int, block_chars: int) -> list[list[tuple]]:
-    """The query set in blocks of bounded size."""
-    out, size = [[]], 0
+def blocks(items: DataFrame, id_col: str, text_col: str, min_chars: int, block_chars: int):
+    """The query set in blocks of bounded size, one after the other; one at least."""
+    out, size, first = [], 0, True
     for r in items.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).orderBy(*[f"`{id_col}`", f"`{text_col}`"]).toLocalIterator():
         text = normalise(r[1])
         if len(text) < max(1, min_chars):
             continue
-        if size + len(text) > block_chars and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], text))
+        if size + len(text) > block_chars and out:
+            yield out
+            out, size, first = [], 0, False
+        out.append((r[0], text))
         size += len(text)
-    return out
+    if out or first:
+        yield out
+
 
+def _scan(shared, rate: float, clean: bool):
+    token = uuid.uuid4().hex  # names this block's automaton; a worker keeps the last one only
 
-def _scan(shared, rate: float, token: str, clean: bool):
     def run(batches):
-        finder = worker_cache(f"finder_{token}", lambda: Finder(shared.value, rate))
+        held = worker_cache("finder", dict)
+        if token not in held:
+            held.clear()
+            held[token] = Finder(shared.value, rate)
+        finder = held[token]
         for b in batches:
             rows, texts = (b.column(b.schema.get_field_index(n)) for n in ("row", "text"))
             found = [finder.find(normalise(t)) for t in texts.to_pylist()]
@@ -150,25 +160,23 @@ def _scan(shared, rate: float, token: str, clean: bool):
     return run
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, rate: float = 0.05, min_chars: int = 20, block_chars: int = 4 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, rate: float = 0.05, min_chars: int = 1, block_chars: int = 4 << 20) -> DataFrame:
     """row, item_id, distance, match_end for every document and item that meet
     within the item's budget."""
     spark, df = docs.sparkSession, packed(docs, text_col)
     wire = T.StructType([df.schema["row"], *[T.StructField(n, T.IntegerType()) for n in ("k", "distance", "match_end")]])
     kind, out = items.schema[id_col].dataType, None
-    for n, block in enumerate(blocks(items, id_col, text_col, min_chars, block_chars)):
-        shared = spark.sparkContext.broadcast(block)
-        hits = df.mapInArrow(_scan(shared, rate, f"{id(shared)}_{n}_{spark.sparkContext.applicationId}", False), wire)
+    for block in blocks(items, id_col, text_col, min_chars, block_chars):
+        hits = df.mapInArrow(lean(_scan(spark.sparkContext.broadcast(block), rate, False)), wire)
         names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(block)], T.StructType([T.StructField("k", T.IntegerType()), T.StructField(id_col, kind)]))
         part = hits.join(F.broadcast(names), "k").select("row", id_col, "distance", "match_end")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, rate: float = 0.05, min_chars: int = 20, block_chars: int = 4 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, rate: float = 0.05, min_chars: int = 1, block_chars: int = 4 << 20) -> DataFrame:
     """The rows of ``docs`` that meet no item, with its columns."""
     spark, df = docs.sparkSession, packed(docs, text_col)
-    for n, block in enumerate(blocks(items, id_col, text_col, min_chars, block_chars)):
-        shared = spark.sparkContext.broadcast(block)
-        df = df.mapInArrow(_scan(shared, rate, f"{id(shared)}_{n}_{spark.sparkContext.applicationId}", True), df.schema)
+    for block in blocks(items, id_col, text_col, min_chars, block_chars):
+        df = df.mapInArrow(lean(_scan(spark.sparkContext.broadcast(block), rate, True)), df.schema)
     return df.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

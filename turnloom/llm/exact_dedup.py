@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import cut, new_folder, text_buffers
+from turnloom.llm.common import cut, lean, new_folder, text_buffers
 from turnloom.llm.frozen import Frozen, Unit, freeze, unpacked
 
 #: Leading key bits that one histogram pass tells apart (so many rows reach the driver at most per parent cell).
@@ -213,7 +213,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = T.StructType([f("unit", long), f("lead", whole), f("key", long), f("text", T.BinaryType()), f("best_pos", whole), f("best_id", id_type), f("n", long), f("bucket", whole), f("owner", whole)])
     owned = rows.scan(_texts(id_col, key_bits, firsts, owner, to_arrow_schema(sent)), sent).repartitionById(n, "owner")
     found = T.StructType([f("unit", long), f("lead", whole), f("keep_unit", long), f("keep_pos", whole), f("keep_id", id_type), f("group_size", long), f("bucket", whole), f("chain", whole)])
-    classes = cut(owned.mapInArrow(_own(to_arrow_schema(found)), found), f"{path}/classes")
+    classes = cut(owned.mapInArrow(lean(_own(to_arrow_schema(found))), found), f"{path}/classes")
     return ExactIndex(path, rows, entries, classes, [(a, b) for a, b, _ in directory.buckets])
 
 

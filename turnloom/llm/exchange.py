@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 
-from turnloom.llm.common import U64
+from turnloom.llm.common import U64, lean
 from turnloom.llm.frozen import UNIT_BYTES, Frozen, Unit
 
 SHIFT = U64(32)
@@ -110,7 +110,7 @@ def exchange(rows: Frozen, folder: str, parts: int, ask: Callable[[Unit], tuple]
             yield settle(part, held.pop(part))
 
     wire = ", ".join(["part int, unit long, total long, h binary", *[f"s{i} binary" for i in range(len(types))]])
-    replies = rows.scan(send, wire).repartitionById(parts, "part").mapInArrow(own, "unit long, part int, total long, n long, bits binary")
+    replies = rows.scan(send, wire).repartitionById(parts, "part").mapInArrow(lean(own), "unit long, part int, total long, n long, bits binary")
 
     def store(batches):
         place, root = fs.FileSystem.from_uri(folder)

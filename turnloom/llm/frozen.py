@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import packed, text_buffers
+from turnloom.llm.common import lean, packed, text_buffers
 
 #: Text bytes of a row group.
 GROUP_BYTES = 2 << 20
@@ -136,7 +136,7 @@ class Frozen:
         files = self.manifest().select("no", "name", "groups", "n_bytes")
         named = wanted.withColumn("no", F.shiftright("unit", 24).cast("int")).join(files, "no")
         dealt = named.select("no", "name", "groups", "n_bytes", "unit", "pos", *more).repartition("no").sortWithinPartitions("unit", "pos")
-        return dealt.mapInArrow(lambda batches: run(_picked(me, batches)), schema)
+        return dealt.mapInArrow(lean(lambda batches: run(_picked(me, batches))), schema)
 
     def without(self, gone: DataFrame) -> DataFrame:
         """row and text of all rows but those that ``gone`` (unit, pos, each once)
@@ -160,12 +160,12 @@ class Frozen:
                             yield pa.RecordBatch.from_arrays([u.rows.take(keep), text.take(keep).cast(pa.binary())], ["row", "text"])
 
         wire = T.StructType([T.StructField("row", self.row_type), T.StructField("text", T.BinaryType())])
-        return todo.mapInArrow(run, wire).select("row", F.col("text").cast("string").alias("text"))
+        return todo.mapInArrow(lean(run), wire).select("row", F.col("text").cast("string").alias("text"))
 
     def scan(self, run: Callable[[Iterator[Unit]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
         """``run`` over the units of each file."""
         me = _Reader(self.folder, self.unit_bytes)
-        return self.manifest().mapInArrow(lambda batches: run(Frozen.units(me, batches)), schema)
+        return self.manifest().mapInArrow(lean(lambda batches: run(Frozen.units(me, batches))), schema)
 
 
 def _picked(me: _Reader, batches):
@@ -194,7 +194,7 @@ def freeze(docs: DataFrame, folder: str, text_col: str = "text", *, group_bytes:
     """Write ``docs`` as packed rows under ``folder``. ``unit_bytes``: text bytes of a
     unit; by default it grows with the corpus."""
     df = packed(docs, text_col)
-    made = df.mapInArrow(_write(folder, min(group_bytes, unit_bytes or group_bytes)), "name string, groups long, n_rows long, n_bytes long").collect()
+    made = df.mapInArrow(lean(_write(folder, min(group_bytes, unit_bytes or group_bytes))), "name string, groups long, n_rows long, n_bytes long").collect()
     files = [(r.name, r.groups, r.n_rows, r.n_bytes) for r in sorted(made)]
     if unit_bytes is None:
         unit_bytes = min(MOST_BYTES, max(UNIT_BYTES, math.isqrt(GROWTH * sum(f[3] for f in files))))

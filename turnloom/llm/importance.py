@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import U64, cut, mix, new_folder, packed, steps, text_buffers, word_hashes
+from turnloom.llm.common import U64, cut, lean, mix, new_folder, packed, steps, text_buffers, word_hashes
 
 CLASSES = np.full(256, 3, np.uint8)  # 0 white space, 1 letters and bytes above ASCII, 2 digits, 3 other signs
 CLASSES[[0x20, *range(0x09, 0x0E)]] = 0
@@ -164,14 +164,14 @@ class Resampler:
         good = np.sort(np.array([r.id for r in sample if r.good], np.int64))
         self.share = share if share is not None else (len(good) / len(sample) if len(good) else 1.0)
         targets = spark.sparkContext.broadcast(good.tobytes())
-        blobs = self.df.mapInArrow(_count(bits, targets, id_col), "part int, blob binary").repartition(16, "part").mapInArrow(_sum, "part int, blob binary").collect()
+        blobs = self.df.mapInArrow(lean(_count(bits, targets, id_col)), "part int, blob binary").repartition(16, "part").mapInArrow(_sum, "part int, blob binary").collect()
         flat = b"".join(bytes(r.blob) for r in sorted(blobs, key=lambda r: r.part)) or bytes(16 << bits)
         raw, goal = np.frombuffer(flat, np.int64).reshape(2, -1)
         self.table = spark.sparkContext.broadcast(log_ratios(raw, goal, mass).tobytes())
 
     def scores(self) -> DataFrame:
         """row, log_weight, key for every document."""
-        return self.df.mapInArrow(_score(self.bits, self.table, self.id_col, self.seed, None), T.StructType([self.df.schema["row"], T.StructField("log_weight", T.DoubleType()), T.StructField("key", T.DoubleType())]))
+        return self.df.mapInArrow(lean(_score(self.bits, self.table, self.id_col, self.seed, None)), T.StructType([self.df.schema["row"], T.StructField("log_weight", T.DoubleType()), T.StructField("key", T.DoubleType())]))
 
     def draw(self) -> DataFrame:
         """scores() with kept."""
@@ -186,5 +186,5 @@ class Resampler:
     def kept_rows(self) -> DataFrame:
         """The documents that stay, with their columns (null texts empty)."""
         held = cut(self.scores().select("key"), new_folder(self.docs.sparkSession, "importance"))
-        df = self.df.mapInArrow(_score(self.bits, self.table, self.id_col, self.seed, self.least(held)), self.df.schema)
+        df = self.df.mapInArrow(lean(_score(self.bits, self.table, self.id_col, self.seed, self.least(held))), self.df.schema)
         return df.select(*[F.col("text").alias(c) if c == self.text_col else F.col("row").getField(c).alias(c) for c in self.docs.columns])

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnloom.llm.common import U64, cut, mix, new_folder, steps, window_hashes, word_hashes, word_spans
+from turnloom.llm.common import U64, cut, lean, mix, new_folder, steps, window_hashes, word_hashes, word_spans
 from turnloom.llm.exchange import answers, exchange, parts_for
 from turnloom.llm.frozen import Frozen, Unit, freeze, unpacked
 from turnloom.operators.components import connected_components
@@ -413,7 +413,7 @@ def _verify(rule: Rule):
 def _linked(sets: DataFrame, pairs: DataFrame, rule: Rule, path: str) -> DataFrame:
     """Pairs (a, b) that link, verified on whole sets."""
     rows = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    return cut(rows.mapInArrow(_verify(rule), "src long, dst long, linked boolean").where("linked").select("src", "dst"), path)
+    return cut(rows.mapInArrow(lean(_verify(rule)), "src long, dst long, linked boolean").where("linked").select("src", "dst"), path)
 
 
 @dataclass(frozen=True)
@@ -454,10 +454,10 @@ def find_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     places = places.drop("clash")
     sets = survey.where("kind = 0").select("unit", "pos", "row", "n", "cls")
     post = survey.where("kind = 1").select("part", "s", "c", "m").repartitionById(parts, "part")
-    buckets = cut(post.mapInArrow(_buckets, BUCKET), f"{path}/buckets")
+    buckets = cut(post.mapInArrow(lean(_buckets), BUCKET), f"{path}/buckets")
 
     def candidates(source: DataFrame, all_pairs: bool) -> DataFrame:
-        pairs = source.mapInArrow(_meet(rule, all_pairs), PAIRS)
+        pairs = source.mapInArrow(lean(_meet(rule, all_pairs)), PAIRS)
         return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
 
     def classes(pairs: DataFrame) -> DataFrame:
@@ -477,7 +477,7 @@ def find_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         links = links.union(_linked(tokens, fresh, rule, f"{path}/links-1"))
         if not cells.isEmpty():
             tasks = cells.join(tokens, "c").repartition("task").sortWithinPartitions("task")
-            links = links.union(cut(tasks.mapInArrow(_compare(rule), "src long, dst long"), f"{path}/links-2"))
+            links = links.union(cut(tasks.mapInArrow(lean(_compare(rule)), "src long, dst long"), f"{path}/links-2"))
         comps = connected_components(links, path=f"{path}/comp-1")
     named = sets.join(comps.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.where("n > 0").groupBy("comp").agg(F.min(F.col("row").getField(id_col)).alias("component_id"))
