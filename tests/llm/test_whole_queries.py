@@ -1,9 +1,12 @@
 """The registered queries and the pipeline against plain versions, on a small table."""
 
 import hashlib
+import math
 import os
+import re
 import sys
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -17,7 +20,8 @@ import corpus_pipeline
 from turnloom.llm import bpe
 from turnloom.llm.decontaminate import Myers, budget, normalise
 from turnloom.llm.importance import Resampler
-from turnloom.llm.queries import ORACLES, QUERIES
+from turnloom.llm.queries import LOST, ORACLES, QUERIES, WRONG
+from turnloom.llm.transcripts import NONE, OUTSIDE, ROLES, STATES, fit, observe, with_lost_markers
 
 sys.path.insert(0, os.path.dirname(__file__))
 import test_block_anchors  # noqa: E402
@@ -73,6 +77,106 @@ def test_op10(spark, rows):
     same(got(spark, "op10_token_files"), want)
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    """SplitMix64's finaliser on a plain integer."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_hash(word, seed):
+    total = sum(mixed(mixed(i + (seed * 0x9E3779B97F4A7C15 & M64) & M64) + b * 0xD1342543DE82EF95 & M64) for i, b in enumerate(word))
+    return mixed(total + len(word) * 0x9E3779B97F4A7C15 & M64)
+
+
+def plain_features(text, bits):
+    """Buckets of all unigrams and bigrams, from whole bytes."""
+    words = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z\x80-\xff0-9\x20\x09-\x0d]+", text.encode())
+    h = [plain_hash(w, 3) for w in words]
+    return [x >> 64 - bits for x in h] + [mixed(a * 0x9E3779B97F4A7C15 + b & M64) >> 64 - bits for a, b in zip(h, h[1:])]
+
+
+def test_op8(spark, rows):
+    """Weights, keys and the draw, made again without numpy or Spark."""
+    good, labels = {}, pq.read_table(f"{SF}/labels.parquet").to_pylist()
+    for r in labels:
+        good[r["doc_id"]] = good.get(r["doc_id"], True) and r["quality"] == 1
+    seen = {i: plain_features(t or "", 18) for i, t in rows}
+    raw, target = Counter(), Counter()
+    for i, f in seen.items():
+        raw.update(f)
+        if good.get(i):
+            target.update(f)
+    scale = sum(target.values()) / sum(raw.values())
+    weight = {i: sum(round(math.log((target[b] + 20.0) / (raw[b] * scale + 20.0)) * 2**20) for b in f) / 2**20 for i, f in seen.items()}
+    key = {}
+    for i, w in weight.items():
+        u = ((mixed(i * 0x9E3779B97F4A7C15 + 2045 & M64) >> 12) + 0.5) / 2.0**52
+        key[i] = w - math.log(-math.log(u))
+    share = sum(good.values()) / len(good)
+    least = sorted(key.values(), reverse=True)[math.ceil(share * len(rows)) - 1]
+    result = {r[0]: r[1:] for r in got(spark, "op8_importance")}
+    assert len(result) == len(rows) and 0 < sum(r[2] for r in result.values()) < len(rows)
+    for i in seen:
+        assert result[i][0] == pytest.approx(weight[i], abs=1e-4) and result[i][1] == pytest.approx(key[i], abs=1e-4)
+        assert result[i][2] == (key[i] >= least) or abs(key[i] - least) < 1e-4
+
+
+def plain_viterbi(model, seen):
+    """Best path, by a plain table of scores; of equal ones the lowest states from the end on."""
+    best, back = [(0 if s == OUTSIDE else NONE) for s in range(STATES + 1)], []
+    for marker, shape, _ in seen:
+        come = [max(range(STATES + 1), key=lambda s: (best[s] + int(model.move[s, to]), -s)) for to in range(STATES + 1)]
+        best = [max(best[come[to]] + int(model.move[come[to], to]), NONE) if to == STATES else max(best[come[to]] + int(model.move[come[to], to]), NONE) + int(model.marker[to, marker]) + int(model.shape[to, shape]) for to in range(STATES + 1)]
+        best[STATES] = NONE
+        back.append(come)
+    path = [max(range(STATES + 1), key=lambda s: (best[s], -s))]
+    for come in back[:0:-1]:
+        path.append(come[path[-1]])
+    return path[::-1]
+
+
+def test_op1(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    flawed = with_lost_markers(turns, LOST, WRONG)
+    want = {}
+    for side in (0, 1):
+        model, held = fit(turns.where(f"conv_id % 2 = {1 - side}")), {}
+        for r in flawed.where(f"conv_id % 2 = {side}").collect():
+            held.setdefault(r.conv_id, []).append(r)
+        for conv, some in held.items():
+            some.sort(key=lambda r: r.turn)
+            lines = [(r, line) for r in some for line in ((r.role + ": " if r.role else "") + (r.text or "")).split("\n")]
+            seen = [observe(line) for _, line in lines]
+            rendered, begun = {r.turn: "" for r in some}, False
+            for (r, line), (marker, _, size), state in zip(lines, seen, plain_viterbi(model, seen), strict=True):
+                if state % 2 == 0:
+                    rendered[r.turn] += ("<|im_end|>\n" if begun else "") + f"<|im_start|>{ROLES[state // 2]}\n{line[size:] if marker else line}"
+                else:
+                    rendered[r.turn] += ("\n" if begun else "") + line
+                begun = True
+            rendered[some[-1].turn] += "<|im_end|>\n"
+            want |= {(conv, r.turn, r.truth, r.role, hashlib.sha256(rendered[r.turn].encode()).hexdigest()): 1 for r in some}
+    result = got(spark, "op1_chat_format")
+    assert len(result) == turns.count()
+    same([(*r[:4], r[5]) for r in result], list(want))
+    lost = [r[2] == r[4].split(",")[0] for r in result if r[3] is None]  # models of a handful of conversations
+    assert sum(lost) >= len(lost) / 2 > 0
+
+
+def test_op9(spark, rows):
+    items = [(r["item_id"], normalise(r["text"])) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
+    want = []
+    for item, s in items:
+        m, most = Myers(s), budget(len(s), 0.05)
+        want += [(i, item, d) for i, t in rows if (d := m.best(normalise(t))[0]) <= most]
+    same(got(spark, "op9_decontamination"), want)
+    assert want
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
@@ -92,7 +196,7 @@ def test_pipeline(spark, rows):
         last[t] = i
     docs = sorted((i, t) for t, i in last.items())
     docs = [(i, t) for (i, t), (_, _, c) in zip(docs, sorted(test_jaccard_join.brute(docs)), strict=True) if c == i]
-    items = [(Myers(s), budget(len(s), 0.05)) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist() if len(s := normalise(r["text"])) >= 20]
+    items = [(Myers(s), budget(len(s), 0.05)) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist() if (s := normalise(r["text"]))]
     clean = [(i, t) for i, t in docs if all(m.best(normalise(t))[0] > most for m, most in items)]
     assert len(clean) < len(docs) < len(rows)
     same([tuple(r) for r in corpus_pipeline.run(spark, SF).collect()], encode(clean))

@@ -31,10 +31,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, digest_only=True).withColumnRenamed("id", "doc_id")
 
 
+#: Of the turns of op1's transcripts, shares without a speaker and with a wrong one.
+LOST, WRONG = 0.25, 0.02
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    rows = transcripts.recover_turns(turns, transcripts.fit(turns))
-    return rows.select("row.conv_id", "row.turn", F.array_join("roles", ",").alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"))
+    """Every conversation is decoded from flawed transcripts, even ones by a model
+    of odd ones and the reverse, so that no model has seen what it decodes."""
+    turns, out = table(spark, sf_dir, "conversations"), None
+    flawed = transcripts.with_lost_markers(turns, LOST, WRONG)
+    for side in (0, 1):
+        own = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(2)) == side
+        part = transcripts.recover_turns(flawed.where(own), transcripts.fit(turns.where(~own)))
+        out = part if out is None else out.unionByName(part)
+    recovered = F.array_join("roles", ",").alias("roles")
+    return out.select("row.conv_id", "row.turn", F.col("row.truth").alias("role"), F.col("row.role").alias("marker"), recovered, F.sha2("rendered", 256).alias("rendered_sha256"))
 
 
 def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,19 +85,27 @@ ORACLES = {
                  regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path, regexp_extract(bare, '\?(.*)$', 1) AS query
           FROM p),
         u AS (
-          SELECT page_id, html, CASE WHEN host <> '' THEN host || path || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END END AS canonical_url,
-                 substr(md5(html), 1, 16) AS tag
+          SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN html ELSE html || ' ' END AS later,
+                 CASE WHEN host <> '' THEN host || path || CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(query, '&')), '&') END END AS canonical_url,
+                 10 * page_id AS t0, 10 * page_id + 40 * (page_id * 31 % 1000) + 25 AS t1
           FROM c),
+        full_ AS (
+          SELECT 3 * page_id AS record_id, canonical_url, t0 AS ts, html AS payload FROM u
+          UNION ALL SELECT 3 * page_id + 1, canonical_url, t1, later FROM u),
+        asked AS (
+          SELECT 3 * page_id + 2 AS record_id, canonical_url, substr(md5(html), 1, 16) AS tag,
+                 CASE WHEN page_id % 29 = 0 THEN t0 - 5 WHEN page_id % 23 = 0 THEN t1 ELSE t0 + 40 * (page_id * 17 % 1500) + 15 END AS ts
+          FROM u),
         m AS (
-          SELECT u.page_id, u.canonical_url, u.tag, f.page_id AS response_page, f.tag AS response_tag, f.html AS payload
-          FROM u LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY canonical_url ORDER BY page_id DESC) AS n FROM u) f
-            ON u.canonical_url = f.canonical_url AND f.n = 1)
-        SELECT 2 * page_id + 1 AS record_id, canonical_url, 2 * response_page AS response_id,
-               CASE WHEN response_page IS NULL THEN 'orphan' WHEN tag = response_tag THEN 'resolved' ELSE 'mismatch' END AS status,
-               sha256(CASE WHEN tag = response_tag THEN concat_ws(chr(10), 'content-type: text/html', 'date: ' || (page_id + 1099511627776), 'etag: W/"' || tag || '"')
-                           ELSE concat_ws(chr(10), 'content-length: 0', 'date: ' || (page_id + 1099511627776), 'etag: W/"' || tag || '"') END) AS headers_sha256,
+          SELECT a.*, f.record_id AS response_id, f.payload, substr(md5(f.payload), 1, 16) AS response_tag, f.ts AS was,
+                 row_number() OVER (PARTITION BY a.record_id ORDER BY f.ts DESC, f.record_id DESC) AS n
+          FROM asked a LEFT JOIN full_ f ON a.canonical_url = f.canonical_url AND f.ts < a.ts)
+        SELECT record_id, canonical_url, response_id,
+               CASE WHEN response_id IS NULL THEN 'orphan' WHEN tag = response_tag THEN 'resolved' ELSE 'mismatch' END AS status,
+               sha256(CASE WHEN tag = response_tag THEN concat_ws(chr(10), 'content-type: text/html', 'date: ' || ts, 'etag: W/"' || tag || '"')
+                           ELSE concat_ws(chr(10), 'content-length: 0', 'date: ' || ts, 'etag: W/"' || tag || '"') END) AS headers_sha256,
                CASE WHEN tag = response_tag THEN sha256(payload) END AS payload_sha256
-        FROM m""",
+        FROM m WHERE n = 1""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -82,8 +82,11 @@ def resolve_revisits(records: DataFrame, *, slices: int = 256) -> DataFrame:
     before = F.last("own", ignorenulls=True).over(Window.partitionBy("u").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     carried = known.select("u", "slice", before["id"].alias("carried"))
     found = seen.where("NOT full").join(carried, ["u", "slice"], "left").select("u", "row", F.coalesce("at", "carried").alias("at")).unionByName(lost)
-    full = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("old"), F.col("payload").alias("body")).dropDuplicates(["response_id"])
-    both = found.join(full, found.at == full.response_id, "left").withColumn("new", F.coalesce(F.col("row.headers"), F.create_map().cast("map<string,string>"))).withColumn("old", F.coalesce("old", F.create_map().cast("map<string,string>")))
+    key = F.col("response_id").cast("string")
+    full = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("headers").alias("old"), F.col("payload").alias("body")).withColumn("key", key).dropDuplicates(["key"])
+    # what has no response gets a key of its own: null keys would all meet in one task
+    own = F.coalesce(F.col("at").cast("string"), F.concat(F.lit("\u0000"), F.xxhash64("row.record_id", "row.ts").cast("string")))
+    both = found.withColumn("key", own).join(full, "key", "left").withColumn("new", F.coalesce(F.col("row.headers"), F.create_map().cast("map<string,string>"))).withColumn("old", F.coalesce("old", F.create_map().cast("map<string,string>")))
     modified, was = F.col("new")["last-modified"], F.col("old")["last-modified"]
     agree = F.when(_tag("new").isNotNull() & _tag("old").isNotNull(), _tag("new") == _tag("old")).when(modified.isNotNull() & was.isNotNull(), modified == was)
     status = F.when(F.col("response_id").isNull(), "orphan").when(agree.isNull(), "unchecked").when(agree, "resolved").otherwise("mismatch")
