@@ -44,7 +44,7 @@ def test_no_label_gives_bounds(spark):
 
 def test_original_endpoints_only(spark):
     assert one(spark, [None, 3, 6]).ctq is None
-    assert one(spark, [2, None, 5], MetricSpec(utilities=(0, 0.1, 0.1, 0.5, 0.9, 1), catalog=("a",))).ctq == pytest.approx(0.9)
+    assert one(spark, [2, None, 5], MetricSpec(utilities=(0, 0.1, 0.2, 0.5, 0.9, 1), catalog=("a",))).ctq == pytest.approx(0.9)
     assert one(spark, [3]).ctq is None
 
 
@@ -88,7 +88,7 @@ def test_spearman_and_ranks(spark):
     assert ranks.spearman(df, "a", "b", ["term"]).first().spearman == pytest.approx(-1)
     assert ranks.spearman(df, "a", "c", ["term"]).first().spearman is None
     four = spark.createDataFrame([("t", x) for x in (2.0, 2.0, 1.0, 1.0)], "term string, x double")
-    assert sorted(r[0] for r in four.select(ranks.average_rank("x", ["term"], True)).collect()) == [1.5, 1.5, 3.5, 3.5]
+    assert sorted(r[0] for r in ranks.with_places(four, ["x"], ["term"]).select(ranks.average_rank("x", True)).collect()) == [1.5, 1.5, 3.5, 3.5]
 
 
 def test_agreement(spark):
@@ -192,7 +192,13 @@ def test_noise(spark):
     assert k[0.2, 1] == (0.8, 0, pytest.approx(0.2)) and k[0.2, 6] == (0.8, pytest.approx(0.2), 0) and k[0.0, 3] == (1, 0, 0)
     assert k[0.2, 2] == (0.8, pytest.approx(0.2 * 2.5 / 4), pytest.approx(0.2 * 1.5 / 4))
     members = spark.createDataFrame([("s", "s")], "student_key string, root string")
-    for r in resample.noise_sensitivity(t, members, SPEC, [0.0], 5).collect():
+    with pytest.raises(ContractError, match="TOO_FEW_REPLICATES"):
+        resample.noise_sensitivity(t, members, SPEC, [0.0], 5)
+    with pytest.raises(ContractError, match="INVALID_ERROR_MASS|INVALID_NUMBER"):
+        resample.noise_sensitivity(t, members, SPEC, [1.5], 100)
+    with pytest.raises(Exception, match="STUDENT_WITHOUT_COMPONENT"):
+        resample.noise_sensitivity(t, members.where("false"), SPEC, [0.0], 100).collect()
+    for r in resample.noise_sensitivity(t, members, SPEC, [0.0], 100).collect():
         assert r.low == r.high == pytest.approx(r.observed) and r.joint_low is None
 
 

@@ -9,8 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from turnloom.cli import main
-from turnloom.plans.oracles import ORACLES
-from turnloom.plans.queries import QUERIES
+from turnloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

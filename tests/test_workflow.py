@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from turnloom.functions.spec import ContractError
 from turnloom.operators import workflow as W
@@ -13,13 +14,35 @@ def test_simulation_finds_the_effect(spark):
     assert bad.coverage < 0.2
 
 
+TIMES = {"baseline_time": "2024-01-10T00:00:00Z", "covariates_time": "2024-01-10T00:00:00Z", "followup_time": "2024-03-01T00:00:00Z"}
+
+
+def timed(panel, **times):
+    for name, value in (TIMES | times).items():
+        panel = panel.withColumn(name, F.lit(value))
+    return panel.withColumn("treatment_time", F.when(F.col("treated") == 1, "2024-02-01T00:00:00+00:00"))
+
+
 def test_study(spark):
-    panel = W.simulated_panels(spark, 1, 5.0).drop("simulation")
-    out = W.study(panel, W.Protocol(**FROZEN, biases=(0.0, 5.0)), 50)
-    assert out["status"] == "ready_under_assumptions" and abs(out["fit"]["estimate"] - 5) < 2 and out["bias_bounds"][5.0][0] == pytest.approx(out["fit"]["estimate"] - 5)
+    panel = timed(W.simulated_panels(spark, 1, 5.0).drop("simulation"))
+    out = W.study(panel, W.Protocol(**FROZEN, biases=(0.0, 5.0), threshold=1.0), 100)
+    assert out["status"] == "ready_under_assumptions" and abs(out["fit"]["estimate"] - 5) < 2 and out["bias_bounds"][5.0]["effect"][0] == pytest.approx(out["fit"]["estimate"] - 5)
+    assert out["threshold_exceeded"] is True and len(out["subgroups"]) == 2 and out["bias_bounds"][5.0]["interval"][0] == pytest.approx(out["inference"]["ci_low"] - 5)
     assert W.study(panel, W.Protocol(**(FROZEN | {"frozen_by": ""})))["blockers"] == ["PROTOCOL_NOT_FROZEN"]
     with pytest.raises(ContractError):
         W.Protocol(**FROZEN, biases=())
+    with pytest.raises(ContractError, match="INVALID_FOLLOWUP_WINDOW"):
+        W.Protocol(**(FROZEN | {"window": FROZEN["window"][::-1]}))
+
+
+def test_study_minds_the_times(spark):
+    panel = W.simulated_panels(spark, 1, 5.0).drop("simulation")
+    protocol = W.Protocol(**FROZEN)
+    assert "TIME_ZERO_UNVERIFIED" in W.study(panel, protocol)["blockers"]
+    late = W.study(timed(panel, baseline_time="2024-02-01T01:00:00+01:00"), protocol)
+    assert late["status"] == "blocked" and late["blockers"] == ["BASELINE_NOT_PRETREATMENT"]
+    other = timed(panel).withColumn("term", F.lit("u")).withColumn("covariates", F.create_map(F.lit("age"), F.lit("x")))
+    assert W.study(other, protocol)["blockers"] == ["COVARIATE_SCHEMA_MISMATCH", "TERM_MISMATCH"]
 
 
 def test_admission(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import uniform
+from turnloom.operators.ordering import numbered
 
 
 def treated() -> Column:
@@ -37,6 +38,21 @@ def audit(panel: DataFrame, low: float, high: float) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).cast("long").alias("n")) for c in codes])).alias("x")).select("x.*").where("n > 0")
 
 
+def schema_blockers(panel: DataFrame, term: str, covariates: tuple[str, ...]) -> DataFrame:
+    """Rows of another term, and rows whose covariates (a map) are not the protocol's."""
+    rules = {"TERM_MISMATCH": ~F.col("term").eqNullSafe(F.lit(term))}
+    if "covariates" in panel.columns:
+        names = F.array(*[F.lit(c) for c in sorted(covariates)]).cast("array<string>")
+        rules["COVARIATE_SCHEMA_MISMATCH"] = ~F.array_sort(F.map_keys("covariates")).eqNullSafe(names)
+    return _counted(panel, rules)
+
+
+def _counted(panel: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """code, n for the rules that some row breaks, from one row of counts."""
+    one = panel.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in rules])).alias("x")).select("x.*").where("n > 0")
+
+
 def time_blockers(panel: DataFrame, time_zero: str, window: tuple[str, str]) -> DataFrame:
     """The codes that the four times of a full panel (ISO-8601 with offset) give."""
     zero, (a, b) = F.to_timestamp(F.lit(time_zero)), (F.to_timestamp(F.lit(w)) for w in window)
@@ -46,8 +62,7 @@ def time_blockers(panel: DataFrame, time_zero: str, window: tuple[str, str]) ->
         "TIME_ZERO_UNVERIFIED": ~known, "BASELINE_NOT_PRETREATMENT": known & (time("baseline_time") >= zero), "POST_TREATMENT_COVARIATE": known & (time("covariates_time") >= zero),
         "FOLLOWUP_OUTSIDE_WINDOW": known & ~time("followup_time").between(a, b), "TREATMENT_START_MISMATCH": treated() & ~F.coalesce(time("treatment_time") == zero, F.lit(False)), "CONTROL_CONTAMINATION": ~treated() & F.col("treatment_time").isNotNull(),
     }
-    one = panel.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n")) for c in rules])).alias("x")).select("x.*").where("n > 0")
+    return _counted(panel, rules)
 
 
 def weighted(panel: DataFrame) -> DataFrame:
@@ -67,20 +82,44 @@ def overlap(panel: DataFrame) -> DataFrame:
 
 
 def balance(panel: DataFrame) -> DataFrame:
-    """Pre-score and each stratum's indicator: means, weighted control mean, and
-    standardised differences on the scale before weighting."""
+    """Pre-score and each stratum's indicator: what is available, means, weighted
+    control mean, and standardised differences on the scale before weighting.
+    ``scale_status`` tells why a difference may be undefined; with a missing pre-score
+    or fewer than two rows in an arm there is none. Without common support there is no
+    weighted mean."""
     w = weighted(panel)
     names = strata(panel).select(F.col("stratum").alias("category"))
     arms = w.groupBy("stratum").agg(F.count_if(treated()).alias("n1"), F.count_if(~treated()).alias("n0"), F.sum(F.when(~treated(), F.col("w"))).alias("wc"))
-    total = arms.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.sum("wc").alias("tw"))
-    cat = names.join(arms, names.category == arms.stratum).crossJoin(total).select(F.lit("stratum").alias("feature"), "category", (F.col("n1") / F.col("t1")).alias("mt"), (F.col("n0") / F.col("t0")).alias("mc"), (F.col("wc") / F.col("tw")).alias("mw"))
+    total = arms.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"), F.sum("wc").alias("tw"), F.max(((F.col("n1") == 0) | (F.col("n0") == 0)).cast("int")).alias("apart"))
+    cat = names.join(arms, names.category == arms.stratum).crossJoin(F.broadcast(total))  # one row
+    cat = cat.select(F.lit("stratum").alias("feature"), "category", F.col("t1").alias("have1"), F.col("t0").alias("have0"), "t1", "t0", (F.col("n1") / F.col("t1")).alias("mt"), (F.col("n0") / F.col("t0")).alias("mc"), (F.col("wc") / F.col("tw")).alias("mw"), "apart")
     cat = cat.withColumn("var", (F.col("mt") * (1 - F.col("mt")) + F.col("mc") * (1 - F.col("mc"))) / 2)
     x = F.col("pre_score")
-    num = w.agg(F.avg(F.when(treated(), x)).alias("mt"), F.avg(F.when(~treated(), x)).alias("mc"), (F.sum(F.when(~treated(), x * F.col("w"))) / F.sum(F.when(~treated(), F.col("w")))).alias("mw"), ((F.var_samp(F.when(treated(), x)) + F.var_samp(F.when(~treated(), x))) / 2).alias("var"))
-    both = num.select(F.lit("pre_score").alias("feature"), F.lit(None).cast("string").alias("category"), "mt", "mc", "mw", "var").unionByName(cat)
-    scale = F.sqrt("var")
-    smd = lambda c: F.when(scale > 0, (F.col("mt") - F.col(c)) / scale).when(F.col("mt") == F.col(c), 0.0)
-    return both.select("feature", "category", F.col("mt").alias("mean_treated"), F.col("mc").alias("mean_control"), F.col("mw").alias("weighted_control_mean"), smd("mc").alias("smd_before"), smd("mw").alias("smd_after"))
+    own, other = F.when(treated(), x), F.when(~treated(), x)
+    num = w.agg(F.count(own).alias("have1"), F.count(other).alias("have0"), F.count_if(treated()).alias("t1"), F.count_if(~treated()).alias("t0"), F.avg(own).alias("mt"), F.avg(other).alias("mc"), F.try_divide(F.sum(other * F.col("w")), F.sum(F.when(~treated(), F.col("w")))).alias("mw"), ((F.var_samp(own) + F.var_samp(other)) / 2).alias("var"))
+    num = num.crossJoin(F.broadcast(total.select("apart")))  # single rows
+    both = num.select(F.lit("pre_score").alias("feature"), F.lit(None).cast("string").alias("category"), "have1", "have0", "t1", "t0", "mt", "mc", "mw", "apart", "var").unionByName(cat)
+    whole = (F.col("have1") == F.col("t1")) & (F.col("have0") == F.col("t0"))
+    enough = whole & (F.col("t1") >= 2) & (F.col("t0") >= 2)
+    scale, mw = F.sqrt("var"), F.when(whole & (F.col("apart") == 0), F.col("mw"))
+    status = F.when(~enough, "insufficient_or_missing_baseline").when(F.col("var") > 0, "positive_variance").when(F.col("mt") == F.col("mc"), "constant_equal").otherwise("zero_variance_imbalance")
+    smd = lambda c: F.when(enough, F.when(scale > 0, (F.col("mt") - c) / scale).when(F.col("mt") == c, 0.0))
+    return both.select("feature", "category", F.col("have1").alias("treated_available"), F.col("have0").alias("control_available"), F.col("mt").alias("mean_treated"), F.col("mc").alias("mean_control"), mw.alias("weighted_control_mean"), status.alias("scale_status"), smd(F.col("mc")).alias("smd_before"), smd(mw).alias("smd_after"))
+
+
+# When a reviewer should look again.
+SMD_LIMIT, PROPENSITY_LIMITS, SHARE_LIMIT = 0.1, (0.05, 0.95), 0.2
+
+
+def warnings(panel: DataFrame) -> DataFrame:
+    """code, n of what in overlap, weights and balance calls for a review. They neither
+    establish nor reject identification."""
+    o = overlap(panel)
+    low, high = PROPENSITY_LIMITS
+    rules = {"NO_COMMON_SUPPORT": F.col("unsupported") > 0, "EXTREME_PROPENSITY": (F.col("propensity_min") < low) | (F.col("propensity_max") > high), "CONCENTRATED_CONTROL_CLUSTER": F.col("max_control_cluster_share") > SHARE_LIMIT}
+    b = balance(panel)
+    more = {"BASELINE_IMBALANCE": F.abs("smd_before") > SMD_LIMIT, "RESIDUAL_IMBALANCE": F.abs("smd_after") > SMD_LIMIT, "SMD_UNDEFINED": F.col("smd_before").isNull()}
+    return _counted(o, rules).unionByName(_counted(b, more))
 
 
 def estimate(sums: DataFrame, within: list[str] | None = None) -> DataFrame:
@@ -99,15 +138,15 @@ def fit(panel: DataFrame) -> DataFrame:
 
 
 def draws(clusters: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
-    """How often each cluster of each group ``by`` is drawn in each replicate:
-    as many draws as clusters, each by a counter-based uniform number."""
-    spark, n = clusters.sparkSession, "n_units"
-    sizes = clusters.groupBy(*by).agg(F.count("*").alias(n), F.array_sort(F.collect_list("unit")).alias("units"))
-    reps = spark.range(replicates).withColumnRenamed("id", "replicate")
-    each = sizes.crossJoin(F.broadcast(reps)) if replicates < 100_000 else sizes.crossJoin(reps)
-    slots = each.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    pick = F.floor(uniform(F.lit(str(seed)), *[F.col(b) for b in by], F.col("replicate"), F.col("slot")) * F.col(n)).cast("int")
-    return slots.select(*by, "replicate", F.element_at("units", pick + 1).alias("unit")).groupBy(*by, "replicate", "unit").agg(F.count("*").alias("times"))
+    """How often each cluster of each group ``by`` is drawn in each replicate: as many
+    draws as clusters, each by a counter-based uniform number. Clusters are numbered
+    in order; a draw is a number until it has been counted."""
+    units = numbered(clusters.select(*by, "unit"), by, [F.col("unit")], "slot")
+    sizes = units.groupBy(*by).agg(F.count("*").alias("n_units"))
+    slots = units.join(sizes, by).withColumn("replicate", F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")))
+    pick = F.floor(uniform(F.lit(str(seed)), *[F.col(b) for b in by], F.col("replicate"), F.col("slot")) * F.col("n_units")).cast("long")
+    times = slots.select(*by, "replicate", pick.alias("slot")).groupBy(*by, "replicate", "slot").agg(F.count("*").alias("times"))
+    return times.join(units, [*by, "slot"]).select(*by, "replicate", "unit", "times")
 
 
 def bootstrap(panel: DataFrame, replicates: int = 200, seed: int = 2045) -> DataFrame:
@@ -122,6 +161,24 @@ def bootstrap(panel: DataFrame, replicates: int = 200, seed: int = 2045) -> Data
     return estimate(by, ["replicate"]).select("replicate", "estimate")
 
 
+def subgroups(panel: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Each stratum fitted and resampled by itself, all in one job: exploratory, without
+    adjustment for their number."""
+    sums = panel.groupBy("stratum", "treated", F.col("cluster_id").alias("unit")).agg(F.count("*").alias("n"), F.sum(change()).alias("d"))
+    arm = lambda c, t, times: F.coalesce(F.sum(F.when(F.col("treated") == t, F.col(c) * times)), F.lit(0))
+    four = lambda w: [arm("n", 1, w).alias("n1"), arm("n", 0, w).alias("n0"), arm("d", 1, w).alias("d1"), arm("d", 0, w).alias("d0")]
+    point = estimate(sums.groupBy("stratum").agg(*four(F.lit(1))), ["stratum"]).select("stratum", F.col("estimate").alias("point"))
+    sizes = sums.groupBy("stratum").agg(F.sum("n").alias("students"), F.count_if(treated()).alias("k1"), F.count_if(~treated()).alias("k0"))
+    drawn = draws(sums.select("stratum", "treated", "unit"), ["stratum", "treated"], replicates, seed).join(sums, ["stratum", "treated", "unit"])
+    each = estimate(drawn.groupBy("stratum", "replicate").agg(*four(F.col("times"))), ["stratum", "replicate"])
+    spread = each.groupBy("stratum").agg(F.count("estimate").alias("valid"), F.percentile("estimate", 0.025).alias("low"), F.percentile("estimate", 0.975).alias("high"), (F.max("estimate") - F.min("estimate")).alias("range"))
+    both = point.join(sizes, "stratum").join(spread, "stratum", "left")
+    fewest = F.least("k1", "k0")
+    status = F.when(fewest < 10, "insufficient_clusters").when(F.coalesce("valid", F.lit(0)) < replicates, "bootstrap_support_failure").when(F.col("range") <= 1e-12, "degenerate_bootstrap").otherwise("approximate_cluster_bootstrap")
+    fine = status == "approximate_cluster_bootstrap"
+    return both.select("stratum", "students", F.col("point").alias("estimate"), F.when(fine, F.col("low")).alias("ci_low"), F.when(fine, F.col("high")).alias("ci_high"), status.alias("status"))
+
+
 def inference(samples: DataFrame, point: DataFrame, replicates: int) -> DataFrame:
     """Interval and centred p-value; any draw without support voids both."""
     a = samples.crossJoin(point.select(F.col("estimate").alias("point"))).agg(F.count("estimate").alias("valid"), F.percentile("estimate", 0.025).alias("low"), F.percentile("estimate", 0.975).alias("high"), (F.max("estimate") - F.min("estimate")).alias("range"), ((1 + F.count_if(F.abs(F.col("estimate") - F.col("point")) >= F.abs("point"))) / (replicates + 1)).alias("p"), F.max("point").alias("estimate"))

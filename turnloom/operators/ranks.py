@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import columns as C
 from turnloom.functions.spec import INDICATORS, MetricSpec, schemes, weight_stability_bound
+from turnloom.operators.ordering import numbered, places
 
 
-def average_rank(col: str, within: list[str], descending: bool = False) -> Column:
-    """Mean place of the tie block, from 0 (ascending) or from 1 (descending)."""
-    order = F.col(col).desc() if descending else F.col(col).asc()
-    first = F.rank().over(Window.partitionBy(*within).orderBy(order))
-    ties = F.count("*").over(Window.partitionBy(*within, col))
-    return first + (ties - 1) / 2 - (0 if descending else 1)
+def with_places(df: DataFrame, cols: list[str], within: list[str]) -> DataFrame:
+    """``df`` with, for each of ``cols``, ``{col}_below``, ``{col}_ties`` and
+    ``{col}_total``: rows of the group with a smaller value, with the same one (itself
+    included), and with any."""
+    found = places(df, cols, within)
+    for c in cols:
+        own = found.where(F.col("which") == c).select(*within, F.col("value").alias(f"_{c}"), F.col("below").alias(f"{c}_below"), F.col("n").alias(f"{c}_ties"), F.col("total").alias(f"{c}_total"))
+        df = df.withColumn(f"_{c}", F.col(c).cast("double")).join(own, [*within, f"_{c}"], "left").drop(f"_{c}")
+    return df
+
+
+def average_rank(col: str, descending: bool = False) -> Column:
+    """Mean place of the tie block, from 0 (ascending) or from 1 (descending), of a
+    column that ``with_places`` has seen."""
+    below, ties, total = (F.col(f"{col}_{x}") for x in ("below", "ties", "total"))
+    return total - below - (ties - 1) / 2 if descending else below + (ties - 1) / 2
+
+
+def correlations(df: DataFrame, pairs: list[tuple[str, str]], within: list[str]) -> DataFrame:
+    """within, n and, for each pair of columns without nulls, Spearman's coefficient
+    ``{left}_{right}``: null below two rows or for a constant side."""
+    r = with_places(df, sorted({c for p in pairs for c in p}), within)
+    mean = (F.col(f"{pairs[0][0]}_total") - 1) / 2  # of the ranks 0 .. n - 1, ties or not
+    centred = {c: average_rank(c) - mean for p in pairs for c in p}
+    out = []
+    for a, b in pairs:
+        rho = F.try_divide(F.sum(centred[a] * centred[b]), F.sqrt(F.sum(centred[a] ** 2) * F.sum(centred[b] ** 2)))
+        out.append(F.when(rho.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rho))).alias(f"{a}_{b}"))
+    return r.groupBy(*within).agg(F.count("*").alias("n"), *out)
 
 
 def spearman(df: DataFrame, left: str, right: str, within: list[str]) -> DataFrame:
-    """within, n, spearman: null below two rows or for a constant side."""
-    r = df.withColumn("_a", average_rank(left, within)).withColumn("_b", average_rank(right, within))
-    mean = Window.partitionBy(*within)
-    r = r.withColumn("_a", F.col("_a") - F.avg("_a").over(mean)).withColumn("_b", F.col("_b") - F.avg("_b").over(mean))
-    rho = F.try_divide(F.sum(F.col("_a") * F.col("_b")), F.sqrt(F.sum(F.col("_a") ** 2) * F.sum(F.col("_b") ** 2)))
-    return r.groupBy(*within).agg(F.count("*").alias("n"), rho.alias("r")).select(*within, "n", F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))).alias("spearman"))
+    """within, n, spearman."""
+    return correlations(df, [(left, right)], within).withColumnRenamed(f"{left}_{right}", "spearman")
 
 
 def complete(metrics: DataFrame) -> DataFrame:
@@ -54,34 +74,34 @@ def compare_schemes(metrics: DataFrame, spec: MetricSpec) -> DataFrame:
 
 
 def indicator_spearman(metrics: DataFrame) -> DataFrame:
-    cohort, out = complete(metrics), None
-    for i, a in enumerate(INDICATORS):
-        for b in INDICATORS[i + 1 :]:
-            part = spearman(cohort, a, b, ["term"]).select("term", F.lit(a).alias("left"), F.lit(b).alias("right"), F.col("n").alias("students"), "spearman")
-            out = part if out is None else out.unionByName(part)
-    return out
+    pairs = [(a, b) for i, a in enumerate(INDICATORS) for b in INDICATORS[i + 1 :]]
+    wide = correlations(complete(metrics), pairs, ["term"])
+    cells = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"{a}_{b}").alias("spearman")) for a, b in pairs])
+    return wide.select("term", F.col("n").alias("students"), F.explode(cells).alias("x")).select("term", "x.left", "x.right", "students", "x.spearman")
 
 
 def student_ranks(metrics: DataFrame, spec: MetricSpec) -> DataFrame:
     """Descending average rank and top quartile, boundary ties included."""
-    s = scheme_scores(metrics, spec, sensitivity=False)
-    keys = ["term", "scenario"]
-    n = F.count("*").over(Window.partitionBy(*keys))
-    place = F.rank().over(Window.partitionBy(*keys).orderBy(F.col("score").desc()))
-    return s.select(*keys, "student_key", "score", average_rank("score", keys, True).alias("rank"), (place <= F.ceil(n / 4)).alias("top_quartile"), n.alias("population"))
+    s = with_places(scheme_scores(metrics, spec, sensitivity=False), ["score"], ["term", "scenario"])
+    above = F.col("score_total") - F.col("score_below") - F.col("score_ties")
+    return s.select("term", "scenario", "student_key", "score", average_rank("score", True).alias("rank"), (above + 1 <= F.ceil(F.col("score_total") / 4)).alias("top_quartile"), F.col("score_total").alias("population"))
+
+
+def top_share(df: DataFrame, by: list[str], score: str, share: float) -> DataFrame:
+    """``df`` (rows with a score) with place, from 1 by falling score and, for equal
+    ones, by a hash of the student, and ``size``: ceil(share * n) of the group."""
+    rows = df.where(F.col(score).isNotNull()).withColumn("_tie", F.sha2(F.col("student_key").cast("string"), 256))
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") * share).alias("size"))
+    return numbered(rows, by, [F.col(score).desc(), F.col("_tie")], "_n").join(sizes, by).withColumn("place", F.col("_n") + 1).drop("_n", "_tie")
 
 
 def fixed_top_quartile(metrics: DataFrame) -> DataFrame:
     """Exactly ceil(n / 4) students of each term by ABL, ties by a hash of the key."""
-    rows = metrics.where("abl IS NOT NULL")
-    n = F.count("*").over(Window.partitionBy("term"))
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.col("abl").desc(), F.sha2(F.col("student_key").cast("string"), 256)))
-    return rows.select("term", "student_key", "abl", (place <= F.ceil(n / 4)).alias("top"))
+    rows = top_share(metrics.select("term", "student_key", "abl"), ["term"], "abl", 0.25)
+    return rows.select("term", "student_key", "abl", (F.col("place") <= F.col("size")).alias("top"))
 
 
 def order_statistic(values: Column, q: float) -> Column:
     """The truncating-index percentile: sorted[int(q * (n - 1))]."""
     s = F.array_sort(values)
     return F.element_at(s, F.floor(q * (F.size(s) - 1)).cast("int") + 1)
-
-

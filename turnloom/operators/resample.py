@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions import columns as C
 from turnloom.functions.columns import uniform
-from turnloom.functions.spec import MetricSpec
+from turnloom.functions.spec import MetricSpec, finite, require
 from turnloom.operators.causal import draws
-from turnloom.operators.ranks import order_statistic
-from turnloom.operators.scoring import students
+from turnloom.operators.ranks import order_statistic, top_share
+from turnloom.sources.tables import cut, new_folder
+
+
+def in_components(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` with root; a student without a component is an error."""
+    both = rows.join(members.select("student_key", "root"), "student_key", "left")
+    return both.withColumn("root", F.when(F.col("root").isNull(), F.raise_error(F.lit("STUDENT_WITHOUT_COMPONENT")).cast(both.schema["root"].dataType)).otherwise(F.col("root")))
 
 
 def observed_bootstrap(metrics: DataFrame, members: DataFrame, value: str = "hot_change", replicates: int = 200, seed: int = 20260925) -> DataFrame:
     """Mean of each term, with the order-statistic interval over draws of whole
     components; below five components there is no interval."""
-    rows = metrics.where(F.col(value).isNotNull()).join(members, "student_key")
+    rows = in_components(metrics.where(F.col(value).isNotNull()), members)
     sums = rows.groupBy("term", F.col("root").alias("unit")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
     point = sums.groupBy("term").agg(F.sum("n").alias("students"), F.count("*").alias("components"), (F.sum("s") / F.sum("n")).alias("mean_change"))
     drawn = draws(sums.select("term", "unit"), ["term"], replicates, seed).join(sums, ["term", "unit"])
@@ -42,42 +49,89 @@ def perturb(level: Column, u: Column, stay: Column, lower: Column) -> Column:
     return F.when(u < stay, level).when((level > 1) & ((u < stay + lower) | (level == 6)), level - 1).otherwise(level + 1)
 
 
+def endpoints(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``side``: -1 for the first and 1 for the last turn of a
+    conversation that counts towards CTQ, else 0. Noise changes neither which turns
+    have a label nor their order, so this holds for every replicate."""
+    keys = ["term", "student_key", "record_id"]
+    at_first = F.max(F.when(F.col("turn_index") == 1, F.col("level")))
+    rec = turns.groupBy(*keys).agg(F.count("*").alias("n"), F.min("turn_index").alias("lo"), F.max("turn_index").alias("hi"), F.count_distinct("turn_index").alias("k"), at_first.alias("a"), F.max_by("level", "turn_index").alias("z"))
+    whole = (F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("k") == F.col("n")) & (F.col("n") >= 2) & F.col("a").isNotNull() & F.col("z").isNotNull()
+    ends = rec.where(whole).select(*keys, "hi")
+    side = F.when(F.col("hi").isNull(), 0).when(F.col("turn_index") == 1, -1).when(F.col("turn_index") == F.col("hi"), 1).otherwise(0)
+    return turns.join(ends, keys, "left").withColumn("side", side).drop("hi")
+
+
+def histograms(rows: DataFrame, keys: list[str], spec: MetricSpec) -> DataFrame:
+    """keys, n1..n6, and the sum of utilities at the ends of conversations with their
+    number, from which every indicator of labels follows."""
+    u = C.utility(F.col("level"), spec.utilities)
+    return rows.groupBy(*keys).agg(*[F.count_if(F.col("level") == k).alias(f"n{k}") for k in range(1, 7)], F.sum(F.col("side") * u).alias("ends"), F.count_if(F.col("side") == 1).alias("valid"))
+
+
+def label_indicators(h: DataFrame, spec: MetricSpec) -> DataFrame:
+    """``h`` (of ``histograms``) with abl, hot, ctq and dhi; rows without a label go."""
+    n = [F.col(f"n{k}") for k in range(1, 7)]
+    h = h.withColumn("labelled", n[0] + n[1] + n[2] + n[3] + n[4] + n[5]).where("labelled > 0")
+    h = h.withColumns({p: c / F.col("labelled") for p, c in zip(C.P, n, strict=True)})
+    abl = sum((k * c for k, c in enumerate(n[1:], 2)), n[0]) / F.col("labelled")
+    dhi = C.dhi_symmetric(spec) if spec.dhi_mode == "symmetric" else C.dhi_asymmetric(spec)
+    return h.withColumns({"abl": abl, "hot": F.col("p4") + F.col("p5") + F.col("p6"), "ctq": F.when(F.col("valid") > 0, 0.5 + 0.5 * F.col("ends") / F.col("valid")), "dhi": dhi})
+
+
 def noise_sensitivity(turns: DataFrame, members: DataFrame, spec: MetricSpec, masses: list[float], replicates: int = 200, seed: int = 2045, metrics: tuple[str, ...] = ("abl", "hot", "ctq", "dhi")) -> DataFrame:
     """For each term, mass and metric: the observed mean over students with labels,
     its range over perturbed labels, and jointly over draws of components. Uniform
     numbers do not depend on the mass, nulls stay null, and the joint range needs
-    five supporting components and every replicate."""
+    five supporting components and every replicate.
+
+    Turns are dealt by student once. Replicates are rows within a student's partition
+    and leave it as sums of its component."""
+    require(isinstance(seed, int) and not isinstance(seed, bool), "INVALID_SEED")
+    require(isinstance(replicates, int) and replicates >= 100, "TOO_FEW_REPLICATES")
+    require(len(masses) > 0 and len(set(masses)) == len(masses) and all(finite(m, 0, 1) is not None for m in masses), "INVALID_ERROR_MASS")
+    require(set(metrics) <= {"abl", "hot", "ctq", "dhi"}, "UNKNOWN_METRIC")
+    own = ["term", "student_key"]
     known = turns.where("level IS NOT NULL").select("term").distinct()
-    turns = turns.join(known, "term")
-    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    each = turns.withColumn("replicate", reps).withColumn("u", uniform(F.lit(str(seed)), F.lit("noise"), F.col("replicate"), F.col("turn_id")))
-    k = F.broadcast(kernel(turns, masses))  # 6 rows for each term and mass
-    grid = F.explode(F.array(*[F.lit(float(m)) for m in masses]))
-    noisy = each.withColumn("mass", grid).join(k, ["term", "mass", "level"], "left")
-    noisy = noisy.withColumn("level", F.when(F.col("level").isNotNull(), perturb(F.col("level"), F.col("u"), F.col("stay"), F.col("lower"))))
-    # a replicate of a term under a mass is scored like a term of its own
-    tag = F.concat_ws("#", "term", F.col("mass").cast("string"), F.col("replicate").cast("string"))
-    scored = students(noisy.withColumn("term", tag).withColumn("record_id", F.concat_ws("#", "term", "record_id")), spec).where("labeled_turns > 0")
-    part = F.split("term", "#")
-    scored = scored.select(part[0].alias("term"), part[1].cast("double").alias("mass"), part[2].cast("long").alias("replicate"), "student_key", *metrics).join(members, "student_key")
-    base = students(turns, spec).where("labeled_turns > 0").join(members, "student_key")
+    placed = endpoints(turns.join(known, "term")).where("level IS NOT NULL")
+    base = in_components(label_indicators(histograms(placed, own, spec), spec), members)
     units = base.select("term", F.col("root").alias("unit")).distinct()
-    long = lambda df, *keys: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x")).select(*keys, "x.*")
-    point = long(base, "term", "root").groupBy("term", "metric").agg(F.avg("v").alias("observed"), F.count("v").alias("students"), F.count_distinct(F.when(F.col("v").isNotNull(), F.col("root"))).alias("support"))
-    cells = long(scored, "term", "mass", "replicate", "root").groupBy("term", "mass", "replicate", "metric", F.col("root").alias("unit")).agg(F.sum("v").alias("s"), F.count("v").alias("n"))
-    label = cells.groupBy("term", "mass", "replicate", "metric").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m")).groupBy("term", "mass", "metric").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-    times = draws(units, ["term"], replicates, seed + 1)
-    joint = cells.join(times, ["term", "replicate", "unit"]).groupBy("term", "mass", "replicate", "metric").agg(F.try_divide(F.sum(F.col("s") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("m")).groupBy("term", "mass", "metric").agg(F.count("m").alias("valid"), F.percentile("m", 0.025).alias("j_low"), F.percentile("m", 0.975).alias("j_high"))
+
+    dealt = in_components(placed, members).repartition(*own)
+    each = dealt.withColumn("replicate", F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")))
+    each = each.withColumn("u", uniform(F.lit(str(seed)), F.lit("noise"), F.col("replicate"), F.col("turn_id")))
+    k = F.broadcast(kernel(turns, masses))  # 6 rows for each term and mass
+    noisy = each.join(k, ["term", "level"]).withColumn("level", perturb(F.col("level"), F.col("u"), F.col("stay"), F.col("lower")))
+    keys = ["term", "mass", "replicate"]
+    scored = label_indicators(histograms(noisy, [*own, "root", "mass", "replicate"], spec), spec)
+    sums = [x for m in metrics for x in (F.sum(m).alias(f"{m}_s"), F.count(m).alias(f"{m}_n"))]
+    cells = scored.groupBy(*keys, F.col("root").alias("unit")).agg(*sums)
+
+    def ranges(df: DataFrame, times: Column, names: tuple[str, ...]) -> DataFrame:
+        """Percentiles over replicates of each metric's mean."""
+        means = df.groupBy(*keys).agg(*[F.try_divide(F.sum(F.col(f"{m}_s") * times), F.sum(F.col(f"{m}_n") * times)).alias(m) for m in metrics])
+        long = means.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x")).select(*keys, "x.*")
+        return long.groupBy("term", "mass", "metric").agg(F.percentile("v", 0.025).alias(names[0]), F.percentile("v", 0.975).alias(names[1]), F.count("v").alias(names[2]))
+
+    cells = cut(cells, new_folder(turns.sparkSession, "noise"))
+    label = ranges(cells, F.lit(1), ("low", "high", "replicates")).drop("replicates")
+    drawn = cells.join(draws(units, ["term"], replicates, seed + 1), ["term", "replicate", "unit"])
+    joint = ranges(drawn, F.col("times"), ("j_low", "j_high", "valid"))
+    cell = lambda m: F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"))
+    long = base.select("term", "root", F.explode(F.array(*[cell(m) for m in metrics])).alias("x")).select("term", "root", "x.*")
+    point = long.groupBy("term", "metric").agg(F.avg("v").alias("observed"), F.count("v").alias("students"), F.count_distinct(F.when(F.col("v").isNotNull(), F.col("root"))).alias("support"))
     enough = (F.col("support") >= 5) & (F.col("valid") == replicates)
-    return label.join(joint, ["term", "mass", "metric"]).join(point, ["term", "metric"]).select("term", "mass", "metric", "observed", "students", "support", "low", "high", F.when(enough, F.col("j_low")).alias("joint_low"), F.when(enough, F.col("j_high")).alias("joint_high"), F.col("valid").alias("joint_valid"))
+    both = label.join(joint, ["term", "mass", "metric"]).join(point, ["term", "metric"])
+    return both.select("term", "mass", "metric", "observed", "students", "support", "low", "high", F.when(enough, F.col("j_low")).alias("joint_low"), F.when(enough, F.col("j_high")).alias("joint_high"), F.col("valid").alias("joint_valid"))
 
 
 def ranking_stability(metrics: DataFrame, noisy: DataFrame, by: list[str], share: float = 0.25) -> DataFrame:
-    """Mean overlap of the fixed-size top sets of replicates with the observed one."""
-    def top(df, keys):
-        w = Window.partitionBy(*keys)
-        place = F.row_number().over(w.orderBy(F.col("abl").desc(), F.sha2(F.col("student_key").cast("string"), 256)))
-        return df.where("abl IS NOT NULL").withColumn("place", place).withColumn("k", F.ceil(F.count("*").over(w) * share)).where("place <= k").select(*keys, "student_key", "k")
-
-    a, b = top(metrics, ["term"]).withColumnRenamed("k", "size"), top(noisy, ["term", *by])
-    return b.join(a, ["term", "student_key"], "left").groupBy("term", *by).agg(F.count("size").alias("same"), F.max("k").alias("k")).groupBy("term").agg(F.avg(F.col("same") / F.col("k")).alias("overlap"))
+    """Mean overlap of the fixed-size top sets of replicates with the observed one, and
+    the mean flip rate: of the students in either set, those in one only."""
+    top = lambda df, keys: top_share(df, keys, "abl", share).where("place <= size")
+    a = top(metrics, ["term"]).select("term", "student_key", F.lit(1).alias("was"))
+    b = top(noisy, ["term", *by]).select("term", *by, "student_key", "size")
+    each = b.join(a, ["term", "student_key"], "left").groupBy("term", *by).agg(F.count("was").alias("same"), F.max("size").alias("k"))
+    sizes = a.groupBy("term").agg(F.count("*").alias("observed"))
+    union = F.col("k") + F.col("observed") - F.col("same")
+    return each.join(sizes, "term").groupBy("term").agg(F.avg(F.col("same") / F.col("k")).alias("overlap"), F.avg((union - F.col("same")) / union).alias("flip_rate"))

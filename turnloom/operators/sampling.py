@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import uniform
+from turnloom.functions.spec import require
 from turnloom.operators.components import connected_components
 
 # Probabilities and requests of the pools, words that mark a risk.
@@ -14,9 +15,22 @@ POOLS = {"development": (0.15, 30), "audit": (0.65, 120), "risk": (0.20, 30)}
 RISK_WORDS = ("直接", "答案", "生成", "高级", "创造", "批判")
 
 
+# Characters whose full case folding is longer than one character or
+# is not their lower case; what else Unicode lists is far outside question texts.
+FOLDED = {"ß": "ss", "ẞ": "ss", "ς": "σ", "ſ": "s", "ŉ": "ʼn", "ǰ": "ǰ", "ΐ": "ΐ", "ΰ": "ΰ", "և": "եւ", "µ": "μ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding for the characters of FOLDED, lower case for all others."""
+    out = text
+    for sign, folded in FOLDED.items():
+        out = F.replace(out, F.lit(sign), F.lit(folded))
+    return F.replace(F.lower(out), F.lit("ς"), F.lit("σ"))
+
+
 def normal(text: Column) -> Column:
     """Letters, digits and underscores, folded."""
-    return F.lower(F.regexp_replace(text, "[^\\p{L}\\p{N}_]", ""))
+    return casefold(F.regexp_replace(text, "[^\\p{L}\\p{N}_]", ""))
 
 
 def components(rows: DataFrame, member: str = "student_key", text: str = "question", least: int = 36) -> DataFrame:
@@ -29,9 +43,11 @@ def components(rows: DataFrame, member: str = "student_key", text: str = "questi
     return rows.select(member).distinct().join(found, member, "left").select(member, F.coalesce("root", member).alias("root"))
 
 
-def component_ids(members: DataFrame, member: str = "student_key") -> DataFrame:
+def component_ids(members: DataFrame, member: str = "student_key", most: int = 1_000_000) -> DataFrame:
     """member, root, component_id: 16 hexadecimal digits of the hash of the sorted
-    members. A component's names are gathered, so it should be of moderate size."""
+    members. A component's names are gathered in one row, so one of more than
+    ``most`` members is an error."""
+    require(members.groupBy("root").count().where(F.col("count") > most).isEmpty(), "COMPONENT_TOO_LARGE")
     ids = members.groupBy("root").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), "|"), 256), 1, 16).alias("component_id"))
     return members.join(ids, "root")
 
@@ -53,8 +69,10 @@ def stratified_sample(turns: DataFrame, assigned: DataFrame, seed: int, member:
     """Selected turns with both probabilities and the design weight (none for the
     purposive risk pool)."""
     rows = turns.join(assigned, member).withColumn("score", F.when(F.col("pool") == "risk", risk_score(F.col(text))).otherwise(0)).withColumn("u", uniform(F.lit(str(seed)), F.lit("turn"), F.col("turn_id")))
-    by = Window.partitionBy("pool", "term")
-    rows = rows.withColumn("place", F.row_number().over(by.orderBy(F.col("score").desc(), "u", "turn_id"))).withColumn("population", F.count("*").over(by))
+    population = rows.groupBy("pool", "term").agg(F.count("*").alias("population"))  # a row for each pool and term
+    by, most = Window.partitionBy("pool", "term").orderBy(F.col("score").desc(), "u", "turn_id"), max(n for _, n in POOLS.values())
+    # the filter right above the place lets every task drop what cannot be among the first
+    rows = rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most).join(F.broadcast(population), ["pool", "term"])
     take = F.lit(0)
     p1 = F.lit(0.0)
     for name, (p, n) in POOLS.items():

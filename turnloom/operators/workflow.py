@@ -4,12 +4,13 @@ probes, simulated panels, question texts."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import uniform
-from turnloom.functions.spec import finite, require
+from turnloom.functions.spec import ContractError, finite, require
 from turnloom.operators import causal
 from turnloom.operators.dialogue import questions_only
 
@@ -33,9 +34,14 @@ class Protocol:
     higher_is_better: bool = True
     min_clusters: int = 10
     biases: tuple[float, ...] = (0.0,)
+    threshold: float = 0.0
+    covariates: tuple[str, ...] = ("stratum",)
 
     def __post_init__(self):
         require(finite(self.lower) < finite(self.upper), "INVALID_OUTCOME_RANGE")
+        require(len(self.window) == 2 and moment(self.time_zero) < moment(self.window[0]) <= moment(self.window[1]), "INVALID_FOLLOWUP_WINDOW")
+        finite(self.threshold, 0, self.upper - self.lower)
+        require(len(set(self.covariates)) == len(self.covariates) and all(c.strip() for c in self.covariates), "INVALID_COVARIATES")
         require(self.min_clusters >= 10, "TOO_FEW_CLUSTERS_ALLOWED")
         require(1 <= len(self.biases) <= 20 and len(set(self.biases)) == len(self.biases) and all(finite(b, 0) >= 0 for b in self.biases), "INVALID_BIAS_BOUNDS")
 
@@ -48,19 +54,50 @@ class Protocol:
         return [k for k, v in found.items() if v]
 
 
-def study(panel: DataFrame, protocol: Protocol, replicates: int = 200, seed: int = 2045) -> dict:
+def moment(text: str) -> datetime:
+    """A time with its offset."""
+    try:
+        out = datetime.fromisoformat(text)
+    except (TypeError, ValueError):
+        raise ContractError("INVALID_TIME") from None
+    require(out.tzinfo is not None, "TIME_WITHOUT_OFFSET")
+    return out
+
+
+TIMES = ("baseline_time", "covariates_time", "treatment_time", "followup_time")
+
+
+def blockers(panel: DataFrame, protocol: Protocol) -> DataFrame:
+    """code, n of everything that forbids an estimate: the protocol's own codes (n 1),
+    those of terms and covariates, of times, and of outcomes, arms and support. A panel
+    without times has them all unverified."""
+    spark = panel.sparkSession
+    for c in TIMES:
+        if c not in panel.columns:
+            panel = panel.withColumn(c, F.lit(None).cast("string"))
+    own = spark.createDataFrame([(c, 1) for c in protocol.blockers()], "code string, n long")
+    found = own.unionByName(causal.audit(panel, protocol.lower, protocol.upper)).unionByName(causal.time_blockers(panel, protocol.time_zero, protocol.window))
+    return found.unionByName(causal.schema_blockers(panel, protocol.term, protocol.covariates)) if "term" in panel.columns else found
+
+
+def study(panel: DataFrame, protocol: Protocol, replicates: int = 500, seed: int = 2045) -> dict:
     """Audit first; only an unblocked panel is estimated, and only with enough
-    clusters in both arms is there an interval."""
-    codes = sorted({*protocol.blockers(), *[r.code for r in causal.audit(panel, protocol.lower, protocol.upper).collect()]})
-    if codes:
-        return {"status": "blocked", "blockers": codes}
+    clusters in both arms is there an interval. What is blocked still says why."""
+    require(isinstance(replicates, int) and 100 <= replicates <= 10_000 and isinstance(seed, int), "INVALID_BOOTSTRAP_CONFIG")
+    codes = sorted({r.code for r in blockers(panel, protocol).collect()})
     clusters = {r.treated: r.n for r in panel.groupBy("treated").agg(F.count_distinct("cluster_id").alias("n")).collect()}
+    if codes:
+        return {"status": "blocked", "blockers": codes, "clusters": clusters}
     point = causal.fit(panel)
-    out = {"status": "ready_under_assumptions", "fit": point.first().asDict(), "bias_bounds": {}}
-    out["bias_bounds"] = {b: (out["fit"]["estimate"] - b, out["fit"]["estimate"] + b) for b in protocol.biases}
-    if min(clusters.get(0, 0), clusters.get(1, 0)) < protocol.min_clusters:
-        return out | {"inference": {"status": "insufficient_clusters"}}
-    return out | {"inference": causal.inference(causal.bootstrap(panel, replicates, seed), point, replicates).first().asDict()}
+    out = {"status": "ready_under_assumptions", "clusters": clusters, "fit": point.first().asDict()}
+    effect, few = out["fit"]["estimate"], min(clusters.get(0, 0), clusters.get(1, 0)) < protocol.min_clusters
+    found = {"status": "insufficient_clusters"} if few else causal.inference(causal.bootstrap(panel, replicates, seed), point, replicates).first().asDict()
+    low, high = found.get("ci_low"), found.get("ci_high")
+    bounds = {b: {"effect": (effect - b, effect + b), "interval": None if low is None else (low - b, high + b)} for b in sorted(protocol.biases)}
+    return out | {
+        "inference": found, "bias_bounds": bounds, "threshold_exceeded": None if low is None else low > protocol.threshold,
+        "subgroups": [r.asDict() for r in causal.subgroups(panel, replicates, seed).orderBy("stratum").collect()], "warnings": sorted(r.code for r in causal.warnings(panel).collect()),
+    }
 
 
 def admit(records: DataFrame, decisions: DataFrame, sample: DataFrame | None = None) -> DataFrame:

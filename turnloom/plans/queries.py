@@ -14,7 +14,9 @@ from turnloom.plans import adapters as D
 from turnloom.sources.tables import table
 
 KEYS = ["term", "student_key"]
-SEED, REPLICATES, MASSES = 2045, 100, [0.0, 0.2]
+SEED, MASSES = 2045, [0.0, 0.1, 0.2, 0.3]
+#: Draws of the interval of a mean, of an effect, and of label noise.
+MEAN_REPLICATES, REPLICATES, NOISE_REPLICATES = 1000, 500, 100
 
 
 def rounded(df: DataFrame, places: int = 8) -> DataFrame:
@@ -248,12 +250,12 @@ def did_bootstrap(spark, sf):
 
 
 def _members(spark, sf):
-    """Students in components of a few: those with the same remainder by 40."""
-    return D.turns(spark, sf).select("student_key").distinct().withColumn("root", F.col("student_key") % 40)
+    """Students in components: those with the same remainder by 400."""
+    return D.turns(spark, sf).select("student_key").distinct().withColumn("root", F.col("student_key") % 400)
 
 
 def observed_bootstrap(spark, sf):
-    return rounded(resample.observed_bootstrap(metrics(spark, sf), _members(spark, sf), replicates=REPLICATES, seed=SEED))
+    return rounded(resample.observed_bootstrap(metrics(spark, sf), _members(spark, sf), replicates=MEAN_REPLICATES, seed=SEED))
 
 
 def noise_kernel(spark, sf):
@@ -261,15 +263,15 @@ def noise_kernel(spark, sf):
 
 
 def noise_sensitivity(spark, sf):
-    return rounded(resample.noise_sensitivity(D.turns(spark, sf), _members(spark, sf), D.SPEC, MASSES, 10, SEED), 6)
+    return rounded(resample.noise_sensitivity(D.turns(spark, sf), _members(spark, sf), D.SPEC, MASSES, NOISE_REPLICATES, SEED), 6)
 
 
 def rank_stability(spark, sf):
-    """Top sets when every level moves one up with probability .2."""
+    """Top sets under label noise of mass .2."""
     t = D.turns(spark, sf)
-    noisy = t.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    u = C.uniform(F.lit(str(SEED)), F.lit("rank"), F.col("replicate"), F.col("turn_id"))
-    noisy = noisy.withColumn("level", F.when(u < 0.2, F.least(F.col("level") + 1, F.lit(6))).otherwise(F.col("level")))
+    noisy = t.where("level IS NOT NULL").withColumn("replicate", F.explode(F.expr(f"sequence(0L, {NOISE_REPLICATES - 1}L)")))
+    u = C.uniform(F.lit(str(SEED)), F.lit("noise"), F.col("replicate"), F.col("turn_id"))
+    noisy = noisy.join(F.broadcast(resample.kernel(t, [0.2])), ["term", "level"]).withColumn("level", resample.perturb(F.col("level"), u, F.col("stay"), F.col("lower")))
     keys = ["term", "replicate", "student_key"]
     means = noisy.groupBy(*keys).agg(F.round(F.avg("level"), 9).alias("abl"))
     base = t.groupBy(*KEYS).agg(F.round(F.avg("level"), 9).alias("abl"))

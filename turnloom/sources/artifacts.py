@@ -29,10 +29,20 @@ def code_hash() -> str:
 
 
 class ArtifactStore:
-    def __init__(self, root: str):
-        self.root = Path(root)
+    """``root``: the driver's folder of manifests. ``tables``: a URI that all executors
+    reach, where tables are kept; without one they lie beside the manifests, which only
+    a local session may do."""
+
+    def __init__(self, root: str, tables: str | None = None):
+        self.root, self.tables = Path(root), tables
         self.root.mkdir(parents=True, exist_ok=True)
 
+    def _rows_at(self, spark: SparkSession, name: str, staged: Path | None = None) -> str:
+        if self.tables is not None:
+            return f"{self.tables.rstrip('/')}/{name}"
+        require(spark.sparkContext.master.startswith("local"), "SHARED_FOLDER_NOT_SET")
+        return f"file://{staged or self._at(name)}/rows"
+
     def _at(self, name: str) -> Path:
         require(bool(re.fullmatch(r"[a-z_]+-[0-9a-f]{64}", name)), "INVALID_ARTIFACT_ID")
         return self.root / name
@@ -40,6 +50,8 @@ class ArtifactStore:
     def put(self, kind: str, payload, inputs: list[str] = (), config=None, table: DataFrame | None = None) -> str:
         for i in inputs:
             self.get(i)
+        if table is not None and self.tables is None:
+            require(table.sparkSession.sparkContext.master.startswith("local"), "SHARED_FOLDER_NOT_SET")
         body = {"kind": kind, "payload": payload, "inputs": sorted(inputs), "config": fingerprint(config), "rows": table_hash(table) if table is not None else None}
         name = f"{kind}-{fingerprint(body)}"
         place = self._at(name)
@@ -49,7 +61,7 @@ class ArtifactStore:
         staged.mkdir()
         try:
             if table is not None:
-                table.write.parquet(f"file://{staged}/rows")
+                table.write.mode("overwrite").parquet(self._rows_at(table.sparkSession, name, staged))
             with open(staged / "manifest.json", "w", encoding="utf-8") as f:
                 f.write(canonical(body | {"code": code_hash()}))
                 f.flush()
@@ -69,7 +81,7 @@ class ArtifactStore:
         return body
 
     def rows(self, spark: SparkSession, name: str) -> DataFrame:
-        body, df = self.get(name), spark.read.parquet(f"file://{self._at(name)}/rows")
+        body, df = self.get(name), spark.read.parquet(self._rows_at(spark, name))
         require(table_hash(df) == body["rows"], "ARTIFACT_CORRUPT", name)
         return df
 

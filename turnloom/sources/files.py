@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,18 +28,27 @@ def strict_json(text: str):
     def constant(name):
         raise ContractError("NON_FINITE_JSON_NUMBER: " + name)
 
+    def number(digits):
+        value = float(digits)
+        if not math.isfinite(value):
+            raise ContractError("NON_FINITE_JSON_NUMBER: " + digits)
+        return value
+
     try:
-        return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
+        return json.loads(text, object_pairs_hook=pairs, parse_constant=constant, parse_float=number)
     except json.JSONDecodeError as e:
         raise ContractError("INVALID_JSON") from e
 
 
+#: The whole answer in one fence, with or without the language's name.
+FENCED = re.compile(r"```(?:json)?[ \t]*\r?\n(?P<body>(?:(?!```).)*)```", re.S | re.I)
+
+
 def decode_answer(text: str):
     """A model's answer: one object, bare or in one fenced block, never repaired."""
-    t = text.strip()
-    if t.startswith("```json\n") and t.endswith("```") and t.count("```") == 2:
-        t = t[8:-3].strip()
-    out = strict_json(t)
+    whole = text.strip()
+    fenced = FENCED.fullmatch(whole)
+    out = strict_json(fenced["body"].strip() if fenced else whole)
     if not isinstance(out, dict):
         raise ContractError("ANSWER_NOT_AN_OBJECT")
     return out
@@ -55,8 +66,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def finite_rows(df: DataFrame) -> DataFrame:
+    """``df``, an error where a double is NaN or infinite: JSON has no word for it."""
+    for f in df.schema:
+        if f.dataType.typeName() in ("double", "float"):
+            c = F.col(f"`{f.name}`")
+            df = df.withColumn(f.name, F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit(f"NON_FINITE_NUMBER: {f.name}")).cast(f.dataType)).otherwise(c))
+    return df
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    finite_rows(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -85,6 +105,12 @@ def identity(c: Column) -> Column:
     return F.when(whole != "", whole)
 
 
+def required_identity(c: Column) -> Column:
+    """``identity``, an error where it is blank."""
+    t = identity(c)
+    return F.when(t.isNull(), F.raise_error(F.lit("IDENTITY_MISSING")).cast("string")).otherwise(t)
+
+
 def pseudonym(key: bytes, term: Column, who: Column) -> Column:
     """Keyed pseudonym within a term: no link between terms without the key."""
     @F.pandas_udf(T.StringType())
