@@ -164,3 +164,66 @@ def test_steps_by_command(spark, tmp_path, capsys):
     assert "## Terms" in out
     (tmp_path / "bad.json").write_text('{"weights": [1, 1, 1, 1]}')
     assert main(["metrics", f"{tmp_path}/turns", "--spec", f"{tmp_path}/bad.json", "--out", f"{tmp_path}/x"]) == 2
+
+
+def test_demonstration_study(spark):
+    from turnloom.operators import demo
+
+    out = demo.run(spark)
+    assert out["labels"].where("level IS NULL").count() == 0 and out["metrics"].count() == 6 and out["schemes"].count() == 12
+    assert 0.9 < out["agreement"].first().accuracy < 1 and out["observed"].first().students == 6
+    assert {r.mass for r in out["noise"].collect()} == {0.0, 0.2}
+
+
+def test_synthetic_terms_are_studied_apart(spark):
+    from turnloom.operators import demo
+
+    found = [demo.causal_study(spark, term, effect, 100) for term, effect in (("one", 5.0), ("two", 0.0))]
+    assert [f["status"] for f in found] == ["ready_under_assumptions"] * 2 and all(abs(f["fit"]["estimate"] - f["known_effect"]) < 2 for f in found)
+
+
+def test_attacks(spark):
+    from turnloom.operators import demo
+
+    assert [status for _, status, _ in demo.attacks(spark)] == ["PASS", "NA", "FAIL", "FAIL", "PASS", "FAIL", "PASS", "BOUNDARY"]
+
+
+def test_runs_are_registered_by_their_hashes(spark, tmp_path):
+    from turnloom.sources import runs
+
+    run = tmp_path / "run"
+    run.mkdir()
+    turn = {"turn_id": "t1", "record_id": "r1", "student_key": "s", "term": "x", "turn_index": 1, "question": "q", "prior_context": "", "label": None}
+    (run / "turns.jsonl").write_text(json.dumps(turn) + "\n")
+    (run / "records.jsonl").write_text(json.dumps({"record_id": "r1", "term": "x", "student_key": "s"}) + "\n")
+    (run / "sampling.json").write_text("{}")
+    (run / "readiness.json").write_text('{"population_counts": {"x": 3}}')
+    store, made = artifacts.ArtifactStore(str(tmp_path / "s")), runs.write_manifest(str(run))
+    name = runs.register_run(spark, store, str(run), made)
+    assert store.get(name)["payload"]["population"] == {"x": 3} and store.rows(spark, name).first().text_hash
+    (run / "sampling.json").write_text('{"a": 1}')
+    with pytest.raises(ContractError, match="PREPARED_INPUT_CHANGED"):
+        runs.register_run(spark, store, str(run), made)
+    with pytest.raises(ContractError, match="POPULATION_COUNT_BELOW_RECORDS"):
+        (run / "readiness.json").write_text('{"population_counts": {"x": 0}}')
+        runs.register_run(spark, store, str(run), runs.write_manifest(str(run)))
+    with pytest.raises(ContractError, match="INPUT_PATH_INVALID"):
+        runs.inside(str(run), "../s")
+    with runs.writer_lock(str(tmp_path)), pytest.raises(ContractError, match="WRITER_LOCKED"), runs.writer_lock(str(tmp_path)):
+        pass
+    with pytest.raises(ContractError, match="REDIRECT_REFUSED"):
+        runs._Stay().redirect_request(None, None, 302, "", {}, "http://elsewhere")
+    with pytest.raises(ContractError, match="COLUMNS_MISSING"):
+        runs.required_columns(spark.range(1), ["x"])
+
+
+def test_legacy_samples(spark):
+    from turnloom.operators import legacy
+
+    t = spark.createDataFrame([("c1", 1, 2), ("c1", 2, 5)], "record_id string, turn_index int, level int")
+    assert legacy.checked_sample(t, 1).count() == 2
+    for rows, n, code in ((t.where("turn_index = 2"), None, "INCOMPLETE_TURN_SEQUENCE"), (t, 2, "UNEXPECTED_SAMPLE_SIZE"), (t.withColumn("level", F.lit(9)), None, "INVALID_LABEL")):
+        with pytest.raises(ContractError, match=code):
+            legacy.checked_sample(rows, n)
+    with pytest.raises(Exception, match="UNKNOWN_TURN_KEY"):
+        legacy.sample_students(spark.createDataFrame([("x-c1",)], "conversation_id string"), spark.createDataFrame([("x-r2", "s")], "qid string, student_key string")).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnloom.plans.oracles import DID_REPS, FOUR, INDICATORS, PARSED, PRIMARY, REPS, ST, P, S, T, U, g, plan_sql, score
+from turnloom.plans.oracles import DID_REPS, FOUR, INDICATORS, PARSED, PRIMARY, REPS, ST, P, S, T, U, drawn, g, plan_sql, score
 from turnloom.plans.oracles import ORACLES as OTHERS
 
 PANEL = f"""{P}, f AS (SELECT student_key AS k, stratum, pre_score, post_score, cluster_id, CASE WHEN student_key % 101 = 0 THEN 'S0' ELSE 'S' || student_key END AS student_key, CASE WHEN student_key % 97 = 0 THEN 'T2' ELSE 'T1' END AS term,
@@ -63,7 +63,33 @@ def normal(who: str) -> str:
     return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
 
 
+WHOLE = f"{T}, whole AS (SELECT * FROM turns WHERE record_id IN (SELECT record_id FROM turns GROUP BY 1 HAVING count(*) >= 2 AND count(*) = count(level)))"
+
+
+def noisy(source: str, dr: str, key: str, tag: str) -> str:
+    """Labels of ``source`` in every round, moved by the kernel of what ``dr`` drew."""
+    counts = ", ".join(f"sum(CASE WHEN level = {k} THEN times ELSE 0 END) + 0.5" for k in range(1, 7))
+    return f"""SELECT s.* EXCLUDE (level), replicate, CASE WHEN u < 0.8 THEN level WHEN level > 1 AND (u < 0.8 + 0.2 * below / (below + above) OR level = 6) THEN level - 1 ELSE level + 1 END AS level FROM (
+      SELECT s.*, replicate, {U(S, f"'{tag}'", 'replicate', f's.{key}')} AS u, CASE WHEN level > 1 THEN n[level - 1] ELSE 0 END AS below, CASE WHEN level < 6 THEN n[level + 1] ELSE 0 END AS above
+      FROM {source} s JOIN (SELECT d.term, replicate, [{counts}]::DOUBLE[] AS n FROM {dr} d JOIN {source} q ON q.term = d.term AND q.student_key = d.unit GROUP BY d.term, replicate) k USING (term)) s"""
+
+
 ORACLES = {
+    "legacy_metrics": f"""WITH {WHOLE}, c AS (SELECT term, student_key, record_id, arg_max(level, turn_index) - arg_min(level, turn_index) AS rise FROM whole GROUP BY ALL), q AS (SELECT term, student_key, avg(0.5 + rise / 10.0::DOUBLE) AS ctq FROM c GROUP BY ALL)
+      SELECT term, student_key, count(*) AS n, round(avg(level), 8) AS abl, round(100 * avg((level >= 4)::INT), 8) AS hot, round(any_value(ctq), 8) AS ctq FROM whole JOIN q USING (term, student_key) GROUP BY ALL""",
+    "legacy_rounds": f"""WITH {WHOLE}, rec AS (SELECT term, student_key, turn_id AS record_id, level FROM turns WHERE level IS NOT NULL), u1 AS (SELECT DISTINCT term, student_key AS unit FROM rec), u2 AS (SELECT DISTINCT term, student_key AS unit FROM whole),
+      d1 AS ({drawn('u1', 'term', 2045, 50)}), d2 AS ({drawn('u2', 'term', 2046, 50)}), n1 AS ({noisy('rec', 'd1', 'record_id', 'record')}), n2 AS ({noisy('whole', 'd2', 'turn_id', 'turn')}),
+      m1 AS (SELECT term, replicate, student_key, avg(level) AS abl, 100 * avg((level >= 4)::INT) AS hot FROM n1 GROUP BY ALL), c2 AS (SELECT term, replicate, student_key, record_id, 0.5 + (arg_max(level, turn_index) - arg_min(level, turn_index)) / 10.0::DOUBLE AS c FROM n2 GROUP BY ALL),
+      m2 AS (SELECT term, replicate, student_key, avg(c) AS ctq FROM c2 GROUP BY ALL),
+      a1 AS (SELECT m1.term, m1.replicate, sum(abl * times) / sum(times) AS abl, sum(hot * times) / sum(times) AS hot FROM m1 JOIN d1 ON d1.term = m1.term AND d1.replicate = m1.replicate AND d1.unit = m1.student_key GROUP BY ALL),
+      a2 AS (SELECT m2.term, m2.replicate, sum(ctq * times) / sum(times) AS ctq FROM m2 JOIN d2 ON d2.term = m2.term AND d2.replicate = m2.replicate AND d2.unit = m2.student_key GROUP BY ALL),
+      b AS (SELECT term, student_key, round(avg(level), 9) AS abl FROM rec GROUP BY ALL), tb AS (SELECT term, student_key FROM b QUALIFY row_number() OVER (PARTITION BY term ORDER BY abl DESC, sha256(student_key::VARCHAR)) <= ceil(count(*) OVER (PARTITION BY term) * 0.25)),
+      tz AS (SELECT term, replicate, student_key FROM m1 QUALIFY row_number() OVER (PARTITION BY term, replicate ORDER BY round(abl, 9) DESC, sha256(student_key::VARCHAR)) <= ceil(count(*) OVER (PARTITION BY term, replicate) * 0.25)),
+      st AS (SELECT term, replicate, count(tb.student_key) / count(*)::DOUBLE AS s FROM tz LEFT JOIN tb USING (term, student_key) GROUP BY ALL), ar AS (SELECT * FROM a1 JOIN a2 USING (term, replicate) JOIN st USING (term, replicate)), fl AS (SELECT term, 1 - avg(s) AS flip FROM ar GROUP BY 1),
+      lg AS (SELECT term, 'abl' AS metric, list(abl ORDER BY abl) AS v FROM ar GROUP BY 1 UNION ALL SELECT term, 'hot', list(hot ORDER BY hot) FROM ar GROUP BY 1 UNION ALL SELECT term, 'ctq', list(ctq ORDER BY ctq) FROM ar GROUP BY 1)
+      SELECT term, metric, round(v[floor(0.025 * (len(v) - 1))::INT + 1], 6) AS low, round(v[floor(0.975 * (len(v) - 1))::INT + 1], 6) AS high, round(flip, 6) AS flip_rate FROM lg JOIN fl USING (term)""",
+    "sampled_students": f"WITH {T} SELECT 'u-c' || turn_id AS conversation_id, 'u-r' || turn_id AS qid, student_key FROM turns WHERE turn_id % 5 = 0",
+    "mapping_counts": f"WITH {T}, x AS (SELECT *, (SELECT count(DISTINCT o.term) FROM turns o WHERE o.student_key = turns.student_key) > 1 AS two FROM turns) SELECT term, count(*) AS records, count(DISTINCT student_key) AS students, count(DISTINCT CASE WHEN two THEN student_key END) AS shared FROM x GROUP BY 1",
     "panel_blockers": f"""WITH {PANEL}, c AS ({" UNION ALL ".join(f"SELECT '{k}' AS code, count(*) AS n FROM h WHERE {v}" for k, v in BLOCKS.items())}
       UNION ALL SELECT 'MIXED_TREATMENT_CLUSTER', count(*) FROM (SELECT cluster_id FROM h GROUP BY 1 HAVING count(DISTINCT treated) > 1) UNION ALL SELECT 'NO_COMMON_SUPPORT', count(*) FROM (SELECT stratum FROM h GROUP BY 1 HAVING count(DISTINCT treated) < 2)
       UNION ALL SELECT unnest({list(OWN)}), 1) SELECT code, n FROM c WHERE n > 0""",

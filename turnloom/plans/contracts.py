@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.columns import uniform
 from turnloom.functions.spec import Aggregation, feature_stability_bound, legacy_schemes
-from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, resample, scoring, workflow
+from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, legacy, resample, scoring, workflow
 from turnloom.plans import adapters as D
 from turnloom.plans.queries import KEYS, SEED, _members, metrics, rounded
 from turnloom.sources.files import identity
@@ -251,6 +251,36 @@ def question_build(spark, sf):
     return made.select("record_id", "student_key", F.sha2("questions", 256).alias("text_hash"), "priority")
 
 
+def _labelled(spark, sf) -> DataFrame:
+    """Whole conversations of two labelled turns or more."""
+    t = D.turns(spark, sf)
+    whole = t.groupBy("record_id").agg(F.count("*").alias("n"), F.count("level").alias("k")).where("n >= 2 AND n = k").select("record_id")
+    return t.join(whole, "record_id", "left_semi")
+
+
+def legacy_metrics(spark, sf):
+    t = _labelled(spark, sf)
+    keys = ["term", "student_key"]
+    return rounded(legacy.record_metrics(t, keys).join(legacy.ctq_metrics(legacy.checked_sample(t), keys), keys))
+
+
+def legacy_rounds(spark, sf):
+    """Fifty rounds over labelled turns as records, and over whole conversations."""
+    records = D.turns(spark, sf).where("level IS NOT NULL").select("term", "student_key", F.col("turn_id").alias("record_id"), "level")
+    return rounded(legacy.intervals(legacy.rounds(records, _labelled(spark, sf), 50, SEED)), 6)
+
+
+def sampled_students(spark, sf):
+    t = D.turns(spark, sf)
+    rows = t.where("turn_id % 5 = 0").select(F.concat(F.lit("u-c"), F.col("turn_id").cast("string")).alias("conversation_id"), "turn_index")
+    mapping = t.select(F.concat(F.lit("u-r"), F.col("turn_id").cast("string")).alias("qid"), "student_key")
+    return legacy.sample_students(rows, mapping).select("conversation_id", "qid", "student_key")
+
+
+def mapping_counts(spark, sf):
+    return legacy.mapping_counts(D.turns(spark, sf).select("term", "student_key"))
+
+
 QUERIES = {f.__name__: f for f in (
     panel_blockers, panel_import_faults, panel_warnings, did_subgroups, did_threshold, student_export, roster_gaps, term_rollup, legacy_scheme_means, stability_bounds, annotation_faults, prediction_faults,
-    review_labels, label_faults, gold_overlap, gold_pairs, accepted_records, request_projection, set_states, probe_status, source_students, identity_values, simulated_effects, allocation_whatifs, roots_of_noise, question_build)}
+    review_labels, label_faults, gold_overlap, gold_pairs, accepted_records, request_projection, set_states, probe_status, source_students, identity_values, simulated_effects, allocation_whatifs, roots_of_noise, question_build, legacy_metrics, legacy_rounds, sampled_students, mapping_counts)}
