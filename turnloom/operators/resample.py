@@ -100,10 +100,19 @@ def noise_sensitivity(turns: DataFrame, members: DataFrame, spec: MetricSpec, ma
     dealt = in_components(placed, members).repartition(*own)
     each = dealt.withColumn("replicate", F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")))
     each = each.withColumn("u", uniform(F.lit(str(seed)), F.lit("noise"), F.col("replicate"), F.col("turn_id")))
-    k = F.broadcast(kernel(turns, masses))  # 6 rows for each term and mass
-    noisy = each.join(k, ["term", "level"]).withColumn("level", perturb(F.col("level"), F.col("u"), F.col("stay"), F.col("lower")))
+    # masses are columns until a student's replicate has been counted: a turn is hashed once for all of them
+    order = sorted(masses)
+    k = kernel(turns, order).groupBy("term", "level").agg(F.sort_array(F.collect_list(F.struct("mass", "stay", "lower"))).alias("k"))
+    at = [F.element_at("k", i + 1) for i in range(len(order))]
+    noisy = each.join(F.broadcast(k), ["term", "level"])  # 6 rows for each term
+    noisy = noisy.select(*own, "root", "replicate", "side", *[perturb(F.col("level"), F.col("u"), x["stay"], x["lower"]).alias(f"level{i}") for i, x in enumerate(at)])
+    counts = [F.count_if(F.col(f"level{i}") == n).alias(f"n{n}_{i}") for i in range(len(order)) for n in range(1, 7)]
+    ends = [F.sum(F.col("side") * C.utility(F.col(f"level{i}"), spec.utilities)).alias(f"ends_{i}") for i in range(len(order))]
+    wide = noisy.groupBy(*own, "root", "replicate").agg(*counts, *ends, F.count_if(F.col("side") == 1).alias("valid"))
+    cell = lambda i, m: F.struct(F.lit(float(m)).alias("mass"), *[F.col(f"n{n}_{i}").alias(f"n{n}") for n in range(1, 7)], F.col(f"ends_{i}").alias("ends"))
+    long = wide.select(*own, "root", "replicate", "valid", F.explode(F.array(*[cell(i, m) for i, m in enumerate(order)])).alias("x"))
     keys = ["term", "mass", "replicate"]
-    scored = label_indicators(histograms(noisy, [*own, "root", "mass", "replicate"], spec), spec)
+    scored = label_indicators(long.select(*own, "root", "replicate", "valid", "x.*"), spec)
     sums = [x for m in metrics for x in (F.sum(m).alias(f"{m}_s"), F.count(m).alias(f"{m}_n"))]
     cells = scored.groupBy(*keys, F.col("root").alias("unit")).agg(*sums)
 
