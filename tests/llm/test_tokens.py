@@ -88,10 +88,11 @@ def test_ids_are_the_librarys_on_any_text():
     tok = Tokenizer.from_file(path)
     texts += [" ".join(r.choice(["one", "two.", "three,\nfour", "(x)", "é", "naïve.", "a\n\nb", "x's", "5.", "Q?!", "w" * 80, "z\u00a0y", "\ta"]) for _ in range(r.randint(1, 9))) for _ in range(3000)]
     want = [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
-    for _ in range(2):  # encoded anew, then from what is kept
+    for _ in range(2):
         assert [x.tolist() for x in token_files._encode_texts(path, pa.array(texts), 2)] == want
-    small = token_files.PieceEncoder(path, keep_bytes=2000)
-    assert [[*x.tolist(), 2] for x in small.encode(pa.array(texts))] == want and small.room >= 0
+    some = token_files.PieceEncoder(path)
+    for i in range(0, len(texts), 997):
+        assert [[*x.tolist(), 2] for x in some.encode(pa.array(texts[i : i + 997]))] == want[i : i + 997]
 
 
 def test_width_holds_every_id(spark, tmp_path):

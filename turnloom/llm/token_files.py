@@ -29,7 +29,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -62,78 +61,54 @@ def _tokenizer(path: str):
 #: white space that not all pattern engines take for such, and openings of special tokens.
 _BLANK = r"\t-\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000} "
 MIXED = rf"[{_BLANK}] | [{_BLANK}]|[\x{{1c}}-\x{{1f}}\x{{85}}]|^ | $|<\|"
-#: Runs without white space, with one line end between any two.
-LONE = re.compile(r"\S+(?:\n\S+)+")
-#: A word of ASCII letters and one closing sign.
-CLOSING = frozenset(".,;:!?")
-CLOSED = re.compile(r"[!-~]*[A-Za-z][.,;:!?]")
-
 
 class PieceEncoder:
     """The library's ids of whole texts, with each distinct piece encoded once.
 
     A single space between two characters that are not white space always begins a
     match of the byte-level pattern, and no match looks beyond its end there: ids of the
-    pieces that such spaces begin follow each other unchanged. So does a line end
-    without white space beside it, which is a match of its own, and one closing sign
-    between a letter and a piece's end. Other texts (MIXED) go to the library whole.
-
-    Arrow cuts a slice of texts and finds its distinct pieces; new ones are encoded as
-    one text, in which a token that begins with a space begins a piece. A worker keeps
-    pieces up to ``keep_bytes``, first come first kept; long ones are not kept."""
-
-    def __init__(self, path: str, keep_bytes: int = 96 << 20, longest: int = 64):
-        self.tokenizer, self.room, self.longest = _tokenizer(path), keep_bytes, longest
-        self.spaced: dict[str, bytes] = {}  # pieces that a space begins, without it
-        self.bare: dict[str, bytes] = {}  # pieces at the start of a text or a line
+    pieces that such spaces begin follow each other unchanged, in any order. So Arrow
+    cuts a slice of texts at these spaces and finds the distinct pieces, the library
+    encodes them as one text, in which a token that begins with a space begins a piece,
+    and ids are gathered from there. Other texts (MIXED) go to the library whole, as do
+    the pieces at the start of a text. The first ``keep`` pieces of at most ``longest``
+    bytes stay, as packed arrays, for later slices."""
+
+    def __init__(self, path: str, keep: int = 600_000, longest: int = 64):
+        self.tokenizer, self.keep, self.longest = _tokenizer(path), keep, longest
+        self.words, self.pool, self.sizes = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True  # how the vocabulary writes a space
-        self.signs = {c: self._whole([c])[0] for c in (*CLOSING, "\n")}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _joined(self, words: list[str]) -> list[bytes]:
-        """Ids of " " + word for each word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + word for all words, one after the other, and their numbers."""
+        ids = self._whole([" " + " ".join(words)])[0]
         at = np.flatnonzero(self.opens[ids])
-        if len(at) != len(words) or at[0]:
-            return self._whole([" " + w for w in words])
-        return [ids[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(ids)], strict=True)]
-
-    def _look_up(self, held: dict[str, bytes], words: list[str], make) -> list[bytes]:
-        """Ids of the words, from what is held or made now and then held."""
-        out = list(map(held.get, words))
-        if None not in out:
-            return out
-        holes = [i for i, x in enumerate(out) if x is None]
-        lacking = [words[i] for i in holes]
-        stems = [w[:-1] if w[-1:] in CLOSING and CLOSED.fullmatch(w) else w for w in lacking]
-        new = list(dict.fromkeys(w for w in stems if w not in held))
-        made = dict(zip(new, make(new), strict=True)) if new else {}
-        for i, word, stem in zip(holes, lacking, stems, strict=True):
-            ids = made.get(stem) or held.get(stem, b"")
-            out[i] = ids if stem is word else ids + self.signs[word[-1]]
-        for w, ids in made.items():
-            size = 160 + 2 * len(w) + len(ids)
-            if size > self.room:
-                break
-            if len(w) <= self.longest:
-                held[w] = ids
-                self.room -= size
-        return out
-
-    def _pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces that a space begins; those with lone line ends are cut there."""
-        cut = {i: w.split("\n") for i, w in enumerate(words) if "\n" in w and LONE.fullmatch(w)}
-        words = words.copy()
-        for i, x in cut.items():
-            words[i] = x[0]
-        out = self._look_up(self.spaced, words, self._joined)
-        rest = iter(self._look_up(self.bare, [w for x in cut.values() for w in x[1:]], self._whole))
-        for i, x in cut.items():
-            out[i] = self.signs["\n"].join([out[i], *[next(rest) for _ in x[1:]]])
+        if len(at) == len(words) and at[0] == 0:
+            return ids, np.diff(at, append=len(ids))
+        each = self._whole([" " + w for w in words])
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words the places of their ids in a pool, the pool, and the sizes
+        of its entries; new words join what is kept while there is room."""
+        known = pc.index_in(words, value_set=self.words)
+        lost = pc.is_null(known)
+        place = known.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = words.filter(lost)
+        if not len(new):
+            return place, self.pool, self.sizes
+        place[lost.to_numpy(zero_copy_only=False)] = len(self.sizes) + np.arange(len(new))
+        ids, sizes = self._pieces([w or "x" for w in new.to_pylist()])  # "" is an empty text's, and not used
+        out = place, np.concatenate([self.pool, ids]), np.concatenate([self.sizes, sizes])
+        stay = (pc.binary_length(new).to_numpy() <= self.longest) & (pc.binary_length(new).to_numpy() > 0)
+        if len(self.words) + int(stay.sum()) <= self.keep:
+            self.words = pa.concat_arrays([self.words, new.filter(pa.array(stay))])
+            self.pool, self.sizes = np.concatenate([self.pool, ids[np.repeat(stay, sizes)]]), np.concatenate([self.sizes, sizes[stay]])
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -141,29 +116,29 @@ class PieceEncoder:
         mixed = pc.match_substring_regex(texts, MIXED).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
         hard = np.flatnonzero(mixed)
-        for i, ids in zip(hard.tolist(), self._whole(texts.take(pa.array(hard)).to_pylist()) if len(hard) else [], strict=True):
-            out[i] = np.frombuffer(ids, "<u4")
+        for i, ids in zip(hard.tolist(), self._whole(texts.take(pa.array(hard)).to_pylist()), strict=True):
+            out[i] = ids
         if len(hard) == len(texts):
             return out
         lists = pc.split_pattern(texts.filter(pa.array(~mixed)), " ")
         at = lists.offsets.to_numpy()
-        at = at - at[0]
-        words = lists.flatten()
+        at, words = at - at[0], lists.flatten()
         coded = words.dictionary_encode()
-        blobs = self._pieces(coded.dictionary.to_pylist())
-        starts = words.take(pa.array(at[:-1])).to_pylist()
-        lines = [w.split("\n") if "\n" in w and LONE.fullmatch(w) else [w] for w in starts]
-        flat = iter(self._look_up(self.bare, [w for x in lines for w in x], self._whole))
-        heads = [self.signs["\n"].join([next(flat) for _ in x]) for x in lines]
-        index = coded.indices.to_numpy().copy()
-        index[at[:-1]] = len(blobs) + np.arange(len(heads), dtype=np.int32)
-        blobs += heads
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        pool, begin = np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(sizes) - sizes
-        count = sizes[index]
-        ends = np.cumsum(count)
-        ids = pool[np.repeat(begin[index] - ends + count, count) + np.arange(ends[-1])]
-        edge = np.concatenate([[0], ends])[at]
+        place, pool, sizes = self._places(coded.dictionary)
+        index = place[coded.indices.to_numpy()]
+        heads = words.take(pa.array(at[:-1])).dictionary_encode()
+        first = self._whole(heads.dictionary.to_pylist())
+        index[at[:-1]] = len(sizes) + heads.indices.to_numpy()
+        pool, sizes = np.concatenate([pool, *first]), np.concatenate([sizes, [len(x) for x in first]])
+        begin, count = np.cumsum(sizes) - sizes, sizes[index]
+        edge = np.concatenate([[0], np.cumsum(count)])[at]
+        ids, done = np.empty(edge[-1], "<u4"), 0
+        for a in range(0, len(index), 200_000):  # a part at a time: these arrays are ten times their text
+            n = count[a : a + 200_000]
+            ends = np.cumsum(n)
+            stop = done + int(ends[-1])
+            ids[done:stop] = pool[np.repeat(begin[index[a : a + 200_000]] - ends + n, n) + np.arange(ends[-1])]
+            done = stop
         for i, a, b in zip(np.flatnonzero(~mixed).tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             out[i] = ids[a:b]
         return out
