@@ -41,12 +41,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import sliced, steps, text_buffers, worker_cache
+from turnloom.llm.common import lean, sliced, steps, text_buffers, worker_cache
 
 MAGIC = b"TLTOKEN1"
 FOOTER = "<QQQ32s8s"  # index offset, documents, width, dictionary hash, magic
 #: Text bytes that are cut and encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 5 << 20
 LEVEL = 3
 
 
@@ -252,9 +252,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, end_
 
     code, wire = _compress(tokenizer_path, end_id, width, dictionary), "id long, n_tokens long, frame binary, shard int"
     # one Python pass: compress, then look up the shard
-    frames = df.mapInArrow(lambda batches: shards(code(batches)), wire)
+    frames = df.mapInArrow(lean(lambda batches: shards(code(batches))), wire)
     sorted_ = frames.repartitionById(n, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), F.xxhash64("frame"))
-    made = sorted_.mapInArrow(_write_shards(folder, width, digest), "shard long, docs long, tokens long").collect()
+    made = sorted_.mapInArrow(lean(_write_shards(folder, width, digest)), "shard long, docs long, tokens long").collect()
     start, files = 0, []
     for r in sorted(made):
         files.append({"file": f"shard-{r.shard:06d}.tok", "start": start, "docs": r.docs, "tokens": r.tokens})
