@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, revisits, token_files, transcripts
+from turnloom.llm import alignment, block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, revisits, token_files, transcripts
 from turnloom.llm.common import new_folder, table
 
 
@@ -73,7 +73,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, items).select("row.doc_id", "item_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_jaccard_join, op3_block_anchors, op4_revisits, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("row.doc_id", *alignment.COLUMNS)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_jaccard_join, op3_block_anchors, op4_revisits, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files, op13_token_alignment)}
 
 ORACLES = {
     "op2_jaccard_join": r"""
