@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import alignment, block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, revisits, token_files, transcripts
+from turnloom.llm import alignment, block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, prefix_trie, revisits, token_files, transcripts
 from turnloom.llm.common import new_folder, table
 
 
@@ -73,13 +73,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, items).select("row.doc_id", "item_id", "distance")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, convs = prefix_trie.grafted(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(rows, convs, [F.col("kind"), F.col("at")])
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("row.doc_id", *alignment.COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_jaccard_join, op3_block_anchors, op4_revisits, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_jaccard_join, op3_block_anchors, op4_revisits, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files, op12_prefix_trie, op13_token_alignment)}
 
 ORACLES = {
     "op2_jaccard_join": r"""
@@ -137,4 +142,30 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_prefix_trie": r"""
+        WITH t AS (
+          SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+                 md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+          FROM conversations WHERE conv_id IS NOT NULL),
+        z AS (SELECT i AS n, list_reduce(list_prepend(i, range(8)), lambda v, j: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS v FROM range(256) r(i)),
+        crc AS (SELECT list(v ORDER BY n) AS tab FROM z),
+        h AS (
+          SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                                    lambda v, s: xor(v // 256, tab[xor(v % 256, s) + 1])), 4294967295) % 4 AS h
+          FROM (SELECT DISTINCT c FROM t), crc),
+        r AS (
+          SELECT h.c, 0 AS kind, k, x, words FROM h JOIN t ON t.c = h.c - h.c % 20 AND k <= h
+          UNION ALL SELECT t.c, 1, k, x, words FROM t JOIN h ON t.c = h.c AND k > h),
+        m AS (SELECT c, row_number() OVER o AS depth, list(x) OVER o AS path, words FROM r WINDOW o AS (PARTITION BY c ORDER BY kind, k)),
+        a AS (SELECT c, depth, array_to_string(path, '') AS node, array_to_string(path[:-2], '') AS up, words FROM m UNION ALL SELECT c, 0, '', NULL, 0 FROM h),
+        e AS (SELECT c, max_by(node, depth) AS node FROM a GROUP BY 1),
+        n AS (SELECT node, any_value(up) AS up, any_value(depth) AS depth, min(c) AS c, count(*) AS n_convs, any_value(words) AS words FROM a GROUP BY 1),
+        q AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+        f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN q USING (node)),
+        s AS (
+          SELECT a.node, sum((f.n_convs - 1) * f.words)::BIGINT AS saved_tokens, count(*) FILTER (f.n_children = 0) AS n_leaves
+          FROM f JOIN a ON a.c = f.c AND a.depth <= f.depth GROUP BY 1),
+        g AS (SELECT node, string_agg(c, ',' ORDER BY c) AS ends FROM e GROUP BY 1)
+        SELECT f.c AS conv_id, f.depth, p.c AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM f JOIN s USING (node) LEFT JOIN n p ON p.node = f.up LEFT JOIN g ON g.node = f.node""",
 }
