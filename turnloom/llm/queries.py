@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import alignment, block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, prefix_trie, revisits, token_files, transcripts
+from turnloom.llm import alignment, block_anchors, bpe, decontaminate, difference_cover, exact_dedup, importance, jaccard_join, prefix_trie, revisits, token_files, transcripts, url_filter
 from turnloom.llm.common import new_folder, table
 
 
@@ -73,6 +73,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(docs, items).select("row.doc_id", "item_id", "distance")
 
 
+#: Verdict, host and path of op11's rules.
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_filter.judge(pages, url_filter.labelled_pages(pages, table(spark, sf_dir, "labels")), RULES)
+    return found.select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, convs = prefix_trie.grafted(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")))
     return prefix_trie.prefix_trie(rows, convs, [F.col("kind"), F.col("at")])
@@ -84,7 +94,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *alignment.COLUMNS)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_jaccard_join, op3_block_anchors, op4_revisits, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files, op12_prefix_trie, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_jaccard_join, op3_block_anchors, op4_revisits, op5_exact_dedup, op6_bpe, op7_difference_cover, op8_importance, op9_decontamination, op10_token_files, op11_url_filter, op12_prefix_trie, op13_token_alignment)}
 
 ORACLES = {
     "op2_jaccard_join": r"""
