@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnloom.cli import main
 from turnloom.functions.spec import Aggregation, ContractError, MetricSpec, feature_stability_bound, schemes, weight_stability_bound
-from turnloom.operators import allocate, contracts, export, ordering, ranks, sampling, workflow
+from turnloom.operators import contracts, export, ordering, ranks, sampling, workflow
 from turnloom.sources import artifacts, files, report, workbook
 
 SPEC = MetricSpec(catalog=("a", "b"))
@@ -64,15 +64,6 @@ def test_folded_texts_join_components(spark):
         sampling.component_ids(sampling.components(rows), most=1)
 
 
-def test_plans_mind_the_limit(spark):
-    from dataclasses import replace
-
-    spec = replace(allocate.example(), limit=10)
-    with pytest.raises(ContractError, match="SEARCH_LIMIT"):
-        allocate.plans(spark, spec)
-    assert allocate.solve(spark, spec)["status"] == "search_limit"
-
-
 def test_reviews(spark):
     turns = spark.createDataFrame([(1, "why so", ""), (2, "how come", "x")], "turn_id long, question string, prior_context string")
     task = contracts.review_task(turns, turns.select("turn_id"), "r")
@@ -166,28 +157,6 @@ def test_steps_by_command(spark, tmp_path, capsys):
     assert main(["metrics", f"{tmp_path}/turns", "--spec", f"{tmp_path}/bad.json", "--out", f"{tmp_path}/x"]) == 2
 
 
-def test_demonstration_study(spark):
-    from turnloom.operators import demo
-
-    out = demo.run(spark)
-    assert out["labels"].where("level IS NULL").count() == 0 and out["metrics"].count() == 6 and out["schemes"].count() == 12
-    assert 0.9 < out["agreement"].first().accuracy < 1 and out["observed"].first().students == 6
-    assert {r.mass for r in out["noise"].collect()} == {0.0, 0.2}
-
-
-def test_synthetic_terms_are_studied_apart(spark):
-    from turnloom.operators import demo
-
-    found = [demo.causal_study(spark, term, effect, 100) for term, effect in (("one", 5.0), ("two", 0.0))]
-    assert [f["status"] for f in found] == ["ready_under_assumptions"] * 2 and all(abs(f["fit"]["estimate"] - f["known_effect"]) < 2 for f in found)
-
-
-def test_attacks(spark):
-    from turnloom.operators import demo
-
-    assert [status for _, status, _ in demo.attacks(spark)] == ["PASS", "NA", "FAIL", "FAIL", "PASS", "FAIL", "PASS", "BOUNDARY"]
-
-
 def test_runs_are_registered_by_their_hashes(spark, tmp_path):
     from turnloom.sources import runs
 

@@ -77,7 +77,7 @@ def test_composite_is_bounded_and_adds_up(spark, values, agg):
 
 def test_schemes(spark):
     assert len(schemes(SPEC)) == 12 and all(sum(w) == pytest.approx(1) for _, w, _ in schemes(SPEC))
-    assert weight_stability_bound((1, 0), (0, 1)) == 100
+    assert weight_stability_bound((1, 0, 0, 0), (0, 1, 0, 0)) == 100
     m = scoring.students(turns(spark, [1, 6]).union(turns(spark, [2, 5], record="q", student="z")).union(turns(spark, [2], record="p", student="y")), SPEC)
     got = ranks.compare_schemes(m, SPEC).collect()
     assert len(got) == 12 and {(r.students, r.excluded_students) for r in got} == {(2, 1)}
@@ -208,20 +208,46 @@ def test_percentiles(spark):
     assert df.agg(F.collect_list("x").alias("v")).select(ranks.order_statistic(F.col("v"), 0.5)).first()[0] == 2
 
 
+def audit(**changes):
+    """Two strata of 20 and 6: a class is right three times of four, else its neighbour."""
+    from dataclasses import replace
+
+    m = tuple(tuple(15 if i == j else 5 if abs(i - j) == 1 and i // 2 == j // 2 else 0 for j in range(6)) for i in range(6))
+    large = allocate.Stratum("large", 20, 3, m, 0, "0.02", "2", "0.25", 0.2, 0.3, 0.4, 0.7)
+    return replace(allocate.AllocationSpec((large, replace(large, name="small", frame=6, least=1)), 0.1, (0.5, 0.6), "60", 20_000), **changes)
+
+
 def test_allocation(spark):
-    spec = allocate.example()
-    full = allocate.options(spark, spec).where("n = 12 AND name = 'b'").first()
-    assert full.radius == 0 and full.adjudicated == 2 and full.lower_six == pytest.approx(0.9)
     from dataclasses import replace
 
+    spec = audit()
+    full = allocate.options(spark, spec).where("n = 6 AND name = 'small'").first()
+    assert full.radius == 0 and full.adjudicated == 2 and full.lower_six == pytest.approx(0.75) and full.lower_three == pytest.approx(1.0)
     census = replace(spec, strata=(replace(spec.strata[1], frame=1, least=1),))
-    assert allocate.options(spark, census).first().cost == money("1.51")
-    assert allocate.solve(spark, replace(spec, limit=10))["status"] == "search_limit"
+    assert allocate.options(spark, census).first().cost == money("2.27")
+    assert allocate.solve(spark, audit(limit=10))["status"] == "search_limit"
+    with pytest.raises(ContractError, match="SEARCH_LIMIT"):
+        allocate.plans(spark, audit(limit=10))
     assert allocate.solve(spark, replace(spec, strata=(replace(spec.strata[0], ai=None),)))["reasons"] == ["unknown_cost"]
     assert allocate.solve(spark, replace(spec, budget="1"))["status"] == "infeasible"
     front = allocate.solve(spark, replace(spec, targets=None))["frontier"]
     assert front and all(not (a.cost <= b.cost and a.lower_six >= b.lower_six and a.lower_three >= b.lower_three) for a in front for b in front if a != b)
-    assert len(allocate.scenarios()) == 7
+
+
+def test_what_ifs(spark):
+    found = allocate.what_ifs(audit())
+    assert sorted(found) == sorted([*allocate.COSTS, *allocate.ERRORS, *allocate.FRAMES]) and len(found) == 7
+    base, doubted = audit().strata[0], found["higher_error"].strata[0]
+    assert doubted.rate(1) == pytest.approx(8 / 20) and doubted.rate(2) == base.rate(2) and doubted.attempted == base.attempted
+    assert found["smaller_rare_stratum"].strata[1].frame == 3 and found["larger_rare_stratum"].strata[1].frame == 12
+
+
+def test_pilot_strata(spark):
+    pairs = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, None), ("b", 6, 6), ("b", None, 3)], "stratum string, gold int, prediction int")
+    frames = spark.createDataFrame([("a", 4), ("b", 2)], "stratum string, frame int")
+    terms = {"least": 1, "ai": "0", "review": "1", "adjudication": "1", "disagreement": 0.1, "floor_six": 0.0, "floor_three": 0.0, "coverage": 0.0}
+    a, b = allocate.pilot_strata(pairs, frames, **terms)
+    assert (a.name, a.frame, a.attempted, a.missing, a.rate(1), a.covered) == ("a", 4, 3, 1, pytest.approx(1 / 3), pytest.approx(2 / 3)) and b.attempted == 1
 
 
 def test_ledger(spark):

@@ -1,6 +1,7 @@
 """Every query of the engine against its oracle, and the entry module."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -47,6 +48,17 @@ def test_entry_without_the_corpus_operators():
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def test_suite_without_the_corpus_operators(tmp_path):
+    """A copy without the corpus operators, their tests and the pipeline still collects."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "*.json", "*.md")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    code = f"import sys; sys.path.insert(0, {str(tmp_path / 'copy')!r}); import __spark_entry__ as e; assert 'turnloom.llm' not in sys.modules and len(e.queries()) == {len(QUERIES)}"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""})
+    done = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path / "copy", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+    assert done.returncode == 0, done.stdout[-2000:]
+
+
 def test_command_line(spark, tmp_path, capsys):
     assert main(["list"]) == 0 and "aiv_v2" in capsys.readouterr().out
     assert main(["run", "readiness", SF, f"{tmp_path}/o", "--format", "csv"]) == 0 and spark.read.csv(f"{tmp_path}/o", header=True).count() > 0

@@ -1,6 +1,5 @@
-"""Columns are taken whole, and bounds of a fit are parameters."""
+"""Columns are taken whole."""
 
-from turnloom.llm import transcripts
 from turnloom.plans.queries import csv_guard
 
 
@@ -9,10 +8,3 @@ def test_csv_guard_takes_the_whole_source(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.cell for r in csv_guard(spark, str(tmp_path)).collect()}
     assert got == {0: "' =" + "s" * 30, 1: "'@" + "s" * 30, 2: "s" * 30}
-
-
-def test_fit_chars_bounds_labelled_texts(spark, monkeypatch):
-    monkeypatch.setattr(transcripts, "Model", lambda held, **_: held)
-    turns = spark.createDataFrame([(1, 0, "user", "u" * 12_000)], "conv_id long, turn int, role string, text string")
-    sizes = [len(transcripts.fit(turns, **o)[0][0][1]) for o in ({}, {"fit_chars": 5}, {"fit_chars": None})]
-    assert sizes == [10_000, 5, 12_000]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.spec import Aggregation, ContractError, MetricSpec, legacy_schemes
 from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, ranks, resample, sampling, scoring, workflow
+from turnloom.plans.queries import pilot
 from turnloom.plans.registry import QUERIES
 from turnloom.sources import artifacts, files, report, workbook
 
@@ -156,7 +157,8 @@ def parser() -> argparse.ArgumentParser:
     put.add_argument("table")
     put.add_argument("--made-from", nargs="*", default=[])
     alloc = sub.add_parser("allocation", help="the named what-ifs of audit effort")
-    alloc.add_argument("--name", choices=sorted(allocate.scenarios()))
+    alloc.add_argument("tables")
+    alloc.add_argument("--name", choices=[*allocate.COSTS, *allocate.ERRORS, *allocate.FRAMES])
     return p
 
 
@@ -181,7 +183,7 @@ def dispatch(args: argparse.Namespace, spark: SparkSession) -> object:
     if args.command == "inventory":
         return [r.asDict() for r in files.inventory(spark, args.folder, args.suffix).orderBy("path").collect()]
     if args.command == "allocation":
-        return {n: allocate.solve(spark, s)["status"] for n, s in allocate.scenarios().items() if args.name in (None, n)}
+        return {n: allocate.solve(spark, s)["status"] for n, s in allocate.what_ifs(pilot(spark, args.tables)).items() if args.name in (None, n)}
     raise ContractError("UNKNOWN_COMMAND")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnloom.functions.spec import Aggregation, MetricSpec
+from turnloom.functions.spec import Aggregation, MetricSpec, require, simplex, steepest
 
 P = [f"p{k}" for k in range(1, 7)]
 
@@ -67,6 +67,14 @@ def composite(values: list[Column], weights, agg: Aggregation) -> tuple[Column,
     return F.when(~gap, known), F.when(gap, known), F.when(gap, F.least(F.lit(100.0), known + 100 * open_))
 
 
+def feature_bound(errors: list[Column], weights, agg: Aggregation) -> Column:
+    """The most that a score changes when each indicator is off by its error; null
+    where an error is unknown."""
+    simplex(weights, 4)
+    require(len(errors) == 4, "INVALID_INDICATOR_COUNT")
+    return 100 * steepest(agg) * _sum([F.abs(e) * w for e, w in zip(errors, weights, strict=True)])
+
+
 def uniform(*parts) -> Column:
     """A uniform number in [0, 1) from a key: 52 bits of its MD5 digest, the same in
     any engine and whatever the order of rows."""

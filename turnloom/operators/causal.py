@@ -40,10 +40,9 @@ def audit(panel: DataFrame, low: float, high: float) -> DataFrame:
 
 def schema_blockers(panel: DataFrame, term: str, covariates: tuple[str, ...]) -> DataFrame:
     """Rows of another term, and rows whose covariates (a map) are not the protocol's."""
-    rules = {"TERM_MISMATCH": ~F.col("term").eqNullSafe(F.lit(term))}
-    if "covariates" in panel.columns:
-        names = F.array(*[F.lit(c) for c in sorted(covariates)]).cast("array<string>")
-        rules["COVARIATE_SCHEMA_MISMATCH"] = ~F.array_sort(F.map_keys("covariates")).eqNullSafe(names)
+    names = F.array(*[F.lit(c) for c in sorted(covariates)]).cast("array<string>")
+    held = F.array_sort(F.map_keys("covariates")) if "covariates" in panel.columns else F.array().cast("array<string>")
+    rules = {"TERM_MISMATCH": ~F.col("term").eqNullSafe(F.lit(term)), "COVARIATE_SCHEMA_MISMATCH": ~held.eqNullSafe(names)}
     return _counted(panel, rules)
 
 

@@ -70,14 +70,17 @@ TIMES = ("baseline_time", "covariates_time", "treatment_time", "followup_time")
 def blockers(panel: DataFrame, protocol: Protocol) -> DataFrame:
     """code, n of everything that forbids an estimate: the protocol's own codes (n 1),
     those of terms and covariates, of times, and of outcomes, arms and support. A panel
-    without times has them all unverified."""
+    without times has them all unverified, one without terms is of no term, and one
+    without covariates has none."""
     spark = panel.sparkSession
+    if "term" not in panel.columns:
+        panel = panel.withColumn("term", F.lit(None).cast("string"))
     for c in TIMES:
         if c not in panel.columns:
             panel = panel.withColumn(c, F.lit(None).cast("string"))
     own = spark.createDataFrame([(c, 1) for c in protocol.blockers()], "code string, n long")
     found = own.unionByName(causal.audit(panel, protocol.lower, protocol.upper)).unionByName(causal.time_blockers(panel, protocol.time_zero, protocol.window))
-    return found.unionByName(causal.schema_blockers(panel, protocol.term, protocol.covariates)) if "term" in panel.columns else found
+    return found.unionByName(causal.schema_blockers(panel, protocol.term, protocol.covariates))
 
 
 def study(panel: DataFrame, protocol: Protocol, replicates: int = 500, seed: int = 2045) -> dict:
@@ -123,20 +126,17 @@ def probe_pairs(labels: DataFrame) -> DataFrame:
     return p.select("pair", "base", "attack", status.alias("status"), (F.col("attack") - F.col("base")).alias("label_delta"))
 
 
-def simulated_panels(spark: SparkSession, simulations: int, effect: float, violation: float = 0.0, seed: int = 2045) -> DataFrame:
-    """Panels with a known effect: two strata, unbalanced arms, 36 clusters of two
-    an arm, normal noise of clusters (sd 2) and members (sd .5)."""
-    sizes = [(arm, s, n, pre, trend) for arm in (0, 1) for s, n, pre, trend in (("low", 24 - 12 * arm, 30.0, 2.0), ("high", 12 + 12 * arm, 60.0, 8.0))]
-    cells = spark.createDataFrame(sizes, "treated int, stratum string, n int, pre_score double, trend double")
-    rows = spark.range(simulations).withColumnRenamed("id", "simulation").crossJoin(F.broadcast(cells)).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("member", F.explode(F.array(F.lit(0), F.lit(1))))
-    cluster = F.concat_ws("-", "treated", "stratum", "j")
+def injected_panels(panel: DataFrame, simulations: int, effect: float, violation: float = 0.0, *, spread: float = 1.0, seed: int = 2045) -> DataFrame:
+    """``panel`` once for each simulation, with a known effect (and a violation of equal
+    trends) added to the treated's follow-up, and normal noise of clusters (standard
+    deviation ``spread``) and members (a quarter of it)."""
+    rows = panel.withColumn("simulation", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
 
     def normal(*key):
-        u, v = (uniform(F.lit(str(seed)), F.lit(x), F.col("simulation"), cluster, *key) for x in ("u", "v"))
+        u, v = (uniform(F.lit(str(seed)), F.lit(x), F.col("simulation"), F.col("cluster_id"), *key) for x in ("u", "v"))
         return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
 
-    post = F.col("pre_score") + F.col("trend") + F.col("treated") * (effect + violation) + 2 * normal() + 0.5 * normal(F.col("member"))
-    return rows.select("simulation", F.concat_ws("-", cluster, "member").alias("student_key"), cluster.alias("cluster_id"), "treated", "stratum", "pre_score", post.alias("post_score"))
+    return rows.withColumn("post_score", F.col("post_score") + F.col("treated") * (effect + violation) + spread * normal() + spread / 4 * normal(F.col("student_key")))
 
 
 def simulate(panels: DataFrame, effect: float, replicates: int = 200, seed: int = 2045) -> DataFrame:

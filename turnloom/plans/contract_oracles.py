@@ -53,13 +53,13 @@ FORM = f"""{TASK}, f0 AS (SELECT k, k + 2 AS row_number, turn_id, CASE WHEN k %
   f1 AS (SELECT * FROM f0 UNION ALL SELECT k, row_number + 1000000000, turn_id, lab FROM f0 WHERE k % 37 = 0 UNION ALL SELECT k, row_number + 2000000000, -turn_id - 1, lab FROM f0 WHERE k % 41 = 0),
   f2 AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY row_number) AS nth, lab = 'NA' AS na FROM f1)"""
 NONE = "(k % 11 = 1)"
-WHATIFS = {"low_human_cost": {"review": "0.5"}, "medium_human_cost": {}, "high_human_cost": {"review": "2"}, "higher_error": {"right": 6}, "higher_na": {"missing": 30}, "smaller_rare_stratum": {"frames": (48, 6)}, "larger_rare_stratum": {"frames": (48, 24)}}
+WHATIFS = {"low_human_cost": {"review": "0.5"}, "medium_human_cost": {}, "high_human_cost": {"review": "2"}, "higher_error": {"six": "d - d // 2"}, "higher_na": {"missing": 4}, "smaller_rare_stratum": {"rare": "greatest(1, frame // 2)"}, "larger_rare_stratum": {"rare": "2 * frame"}}
 LEGACY = (("primary", (0.5, 0.3, 0.2)), ("balanced", (1, 1, 1)), ("w1_x0.9", (0.45, 0.3, 0.2)), ("w1_x1.1", (0.55, 0.3, 0.2)), ("w2_x0.9", (0.5, 0.27, 0.2)), ("w2_x1.1", (0.5, 0.33, 0.2)), ("w3_x0.9", (0.5, 0.3, 0.18)), ("w3_x1.1", (0.5, 0.3, 0.22)))
-BEST = "SELECT na || ',' || nb AS n, cost::DOUBLE AS cost, round(lower_six, 8) AS lower_six, round(lower_three, 8) AS lower_three FROM good WHERE lower_six >= 0.7 AND lower_three >= 0.8 ORDER BY good.cost, good.lower_six DESC, good.lower_three DESC, na, nb LIMIT 1"
+BEST = "SELECT na || ',' || nb AS n, cost::DOUBLE AS cost, round(lower_six, 8) AS lower_six, round(lower_three, 8) AS lower_three FROM good WHERE lower_six >= 0.6 AND lower_three >= 0.7 ORDER BY good.cost, good.lower_six DESC, good.lower_three DESC, na, nb LIMIT 1"
 
 
 def normal(who: str) -> str:
-    u, v = (U(S, f"'{x}'", "simulation", "cluster", *([who] if who else [])) for x in "uv")
+    u, v = (U(S, f"'{x}'", "simulation", "cluster_id", *([who] if who else [])) for x in "uv")
     return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
 
 
@@ -117,7 +117,8 @@ ORACLES = {
       r AS (SELECT term, count(*) AS students, count(*) FILTER (labeled_turns > 0) AS with_labels, count(aiv) AS with_score, sum(candidate_turns)::BIGINT AS turns, sum(labeled_turns)::BIGINT AS labelled, round(avg(aiv), 6) AS mean_score, count(*) AS source_population FROM s2 GROUP BY 1)
       SELECT * FROM r UNION ALL SELECT '1999-01a', 0, 0, 0, 0, 0, NULL, 7""",
     "legacy_scheme_means": f"""WITH {ST} SELECT term, scenario, count(v) AS students, round(avg(v), 6) AS mean_aiv FROM ({" UNION ALL ".join(f"SELECT term, '{n}' AS scenario, CASE WHEN ctq_legacy IS NOT NULL AND hot IS NOT NULL THEN 100 * ({w[0]!r}::DOUBLE * hot + {w[1]!r}::DOUBLE * ctq_legacy + {w[2]!r}::DOUBLE * dhi_legacy) / {sum(w)!r} END AS v FROM students" for n, w in LEGACY)}) GROUP BY ALL""",
-    "stability_bounds": """SELECT * FROM (VALUES (0, 10.0::DOUBLE), (1, round(100 * (0.3 * 0.5 + 0.15 * 0.25 + 0.05 * 1.0::DOUBLE), 8)), (2, round(10 * 2 / (1 - exp(-2.0::DOUBLE)), 8)), (3, round(100 * (0.3 * 0.5 + 0.15 * 0.25 + 0.05 * 1.0::DOUBLE) * 2 / (1 - exp(-2.0::DOUBLE)), 8))) v("case", bound)""",
+    "stability_bounds": f"""WITH {ST}, x AS (SELECT term, 0.5 * abs(hot - 0.5) + 0.3 * abs(ctq - 0.5) + 0.15 * abs(dhi - 0.5) + 0.05 * abs(mab - 0.5) AS e FROM students)
+      SELECT term, round(100 * max(e), 6) AS linear, round(100 * 2.0::DOUBLE / (1 - exp(-2.0::DOUBLE)) * max(e), 6) AS concave, count(*) AS students, round(50 * (abs(0.5 - 0.3) + abs(0.3 - 0.3) + abs(0.15 - 0.3) + abs(0.05 - 0.1))::DOUBLE, 6) AS weights FROM x GROUP BY 1""",
     "annotation_faults": f"""WITH {FORM}, c AS (SELECT row_number, {first_of([('UNKNOWN_OR_REPEATED_TURN', 'turn_id < 0 OR nth > 1'), ('LABEL_BLANK', "lab = ''"), ('INVALID_LABEL', "lab = '9'"), ('REVIEWER_OR_DATE_MISSING', 'k % 17 = 0'), ('INVALID_REVIEW_DATE', 'k % 19 = 0'), ('INVALID_REVIEW_FLAGS', 'k % 23 = 0'), ('INVALID_CONFIDENCE', 'k % 29 = 0'), ('INSUFFICIENT_EVIDENCE_MISMATCH', 'na AND k % 5 = 0'), ('EVIDENCE_NOT_VERBATIM', 'NOT na AND k % 31 = 0'), ('NA_REASON_REQUIRED', 'na AND k % 7 = 0')])} AS code FROM f2) SELECT * FROM c WHERE code IS NOT NULL""",
     "prediction_faults": f"""WITH {TASK}, p AS (SELECT * FROM task WHERE k % 47 <> 0), q AS (SELECT * FROM p UNION ALL SELECT * FROM p WHERE k % 43 = 0), lab AS (SELECT *, CASE WHEN k % 11 = 0 THEN 9 WHEN {NONE} THEN NULL ELSE k % 6 + 1 END AS l FROM q),
       c AS (SELECT turn_id, {first_of([('INVALID_LABEL', 'l = 9'), ('INSUFFICIENT_EVIDENCE_MISMATCH', f'(l IS NULL) <> ({NONE} AND k % 2 <> 0)'), ('EVIDENCE_NOT_VERBATIM', 'l IS NOT NULL AND k % 31 = 0'), ('REASON_REQUIRED', 'k % 29 = 0'), ('INVALID_OUTSOURCING', 'k % 23 = 0'), ('INVALID_CONFIDENCE', 'k % 19 = 0')])} AS code FROM lab)
@@ -136,10 +137,9 @@ ORACLES = {
     "source_students": f"""WITH {T} SELECT turn_id AS qid, CASE WHEN turn_id % 4 > 0 AND turn_id % 9 = 1 THEN NULL WHEN turn_id % 4 > 0 THEN student_key WHEN turn_id % 9 = 1 THEN student_key + 1 END AS source_student,
       CASE WHEN turn_id % 4 = 0 AND turn_id % 9 <> 1 THEN 'unmapped_question' WHEN turn_id % 4 > 0 AND turn_id % 9 = 1 THEN 'ambiguous_question' END AS reason FROM turns WHERE turn_id % 3 = 1""",
     "identity_values": "SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || '.50' WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 'A-' || c_custkey ELSE c_custkey::VARCHAR END AS id FROM customer",
-    "simulated_effects": f"""WITH cells(treated, stratum, n, pre, trend) AS (VALUES (0, 'low', 24, 30.0, 2.0), (0, 'high', 12, 60.0, 8.0), (1, 'low', 12, 30.0, 2.0), (1, 'high', 24, 60.0, 8.0)),
-      r AS (SELECT simulation, treated, stratum, trend, treated || '-' || stratum || '-' || j AS cluster, member FROM range(20) s(simulation), cells, LATERAL (SELECT unnest(range(1, n + 1)) AS j), (VALUES (0), (1)) m(member)),
-      d AS (SELECT simulation, stratum, treated, trend + treated * 5.0::DOUBLE + 2 * {normal('')} + 0.5 * {normal('member')} AS d FROM r), x AS (SELECT simulation, stratum, count(*) FILTER (treated = 1) AS n1, avg(d) FILTER (treated = 1) - avg(d) FILTER (treated = 0) AS gap, sum(d) FILTER (treated = 1) AS d1, sum(d) FILTER (treated = 0) AS d0, count(*) FILTER (treated = 0) AS n0 FROM d GROUP BY ALL)
-      SELECT simulation, round(sum(n1 * gap) / sum(n1), 6) AS estimate, round(sum(d1) / sum(n1) - sum(d0) / sum(n0), 6) AS unadjusted FROM x GROUP BY 1""",
+    "simulated_effects": f"""WITH {P}, d AS (SELECT simulation, stratum, treated, post_score + treated * 5000.0::DOUBLE + 2000 * {normal('')} + 500 * {normal('student_key')} - pre_score AS d FROM panel, range(20) s(simulation)),
+      x AS (SELECT simulation, stratum, count(*) FILTER (treated = 1) AS n1, sum(d) FILTER (treated = 1) AS d1, sum(d) FILTER (treated = 0) AS d0, avg(d) FILTER (treated = 1) - avg(d) FILTER (treated = 0) AS gap, count(*) FILTER (treated = 0) AS n0 FROM d GROUP BY ALL)
+      SELECT simulation, round(sum(n1 * gap) / sum(n1), 4) AS estimate, round(sum(d1) / sum(n1) - sum(d0) / sum(n0), 4) AS unadjusted FROM x GROUP BY 1""",
     "allocation_whatifs": " UNION ALL ".join(f"SELECT '{n}' AS scenario, * FROM ({plan_sql(BEST, budget=None, **k)})" for n, k in WHATIFS.items()),
     "roots_of_noise": f"WITH {ST} SELECT term, student_key % 400 AS root, count(*) AS students FROM students WHERE labeled_turns > 0 GROUP BY ALL",
     "question_build": f"""SELECT conv_id::VARCHAR AS record_id, conv_id % 10 AS student_key, text_hash, CASE conv_id WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS priority FROM ({OTHERS["question_texts"]}) WHERE text_hash IS NOT NULL AND conv_id % 10 < 7""",

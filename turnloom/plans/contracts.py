@@ -9,11 +9,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions.columns import uniform
-from turnloom.functions.spec import Aggregation, feature_stability_bound, legacy_schemes
+from turnloom.functions.columns import feature_bound, uniform
+from turnloom.functions.spec import BALANCED, INDICATORS, Aggregation, legacy_schemes, weight_stability_bound
 from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, legacy, resample, scoring, workflow
 from turnloom.plans import adapters as D
-from turnloom.plans.queries import KEYS, SEED, _members, metrics, rounded
+from turnloom.plans.queries import KEYS, SEED, _members, metrics, pilot, rounded
 from turnloom.sources.files import identity
 from turnloom.sources.tables import table
 
@@ -106,10 +106,12 @@ def legacy_scheme_means(spark, sf):
 
 
 def stability_bounds(spark, sf):
-    """Largest change of a score when each indicator of a student is off by its own gap
-    to the middle, for both aggregations."""
-    bound = [feature_stability_bound(e, D.SPEC.weights, a) for a in (Aggregation(), Aggregation("concave", 2.0)) for e in ((0.1, 0.1, 0.1, 0.1), (0.0, -0.5, 0.25, 1.0))]
-    return rounded(spark.createDataFrame([(i, b) for i, b in enumerate(bound)], "case int, bound double"))
+    """Largest change of a term's scores when each indicator of a student is off by its
+    own gap to the middle, for both aggregations, and when weights are balanced."""
+    gaps = [F.col(i) - 0.5 for i in INDICATORS]
+    bound = {name: F.max(feature_bound(gaps, D.SPEC.weights, a)).alias(name) for name, a in (("linear", Aggregation()), ("concave", Aggregation("concave", 2.0)))}
+    found = metrics(spark, sf).groupBy("term").agg(*bound.values(), F.count("*").alias("students"))
+    return rounded(found.withColumn("weights", F.lit(weight_stability_bound(D.SPEC.weights, BALANCED))), 6)
 
 
 def question(key: Column) -> Column:
@@ -218,18 +220,18 @@ def identity_values(spark, sf):
 
 
 def simulated_effects(spark, sf):
-    """Point estimates over simulated panels with a known effect."""
-    p = workflow.simulated_panels(spark, 20, 5.0)
+    """Point estimates over the panel with a known effect added, once a simulation."""
+    p = workflow.injected_panels(D.panel(spark, sf, True), 20, 5000.0, spread=2000.0)
     change = F.col("post_score") - F.col("pre_score")
     arm = lambda c, t: F.sum(F.when(F.col("treated") == t, c).otherwise(F.lit(0.0)))
     sums = p.groupBy("simulation", "stratum").agg(arm(F.lit(1.0), 1).alias("n1"), arm(F.lit(1.0), 0).alias("n0"), arm(change, 1).alias("d1"), arm(change, 0).alias("d0"))
-    return rounded(causal.estimate(sums, ["simulation"]), 6)
+    return rounded(causal.estimate(sums, ["simulation"]), 4)
 
 
 def allocation_whatifs(spark, sf):
     """The cheapest plan that meets the targets, whatever the budget, in each what-if."""
     out = None
-    for name, spec in allocate.scenarios().items():
+    for name, spec in allocate.what_ifs(pilot(spark, sf)).items():
         free = replace(spec, budget=None)
         best = allocate.cheapest(allocate.plans(spark, free), free, 1)
         part = best.select(F.lit(name).alias("scenario"), F.array_join(F.transform("n", lambda x: x.cast("string")), ",").alias("n"), F.col("cost").cast("double").alias("cost"), "lower_six", "lower_three")

@@ -158,21 +158,25 @@ LONG = lambda src, keys: " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, {m
 BASE = {"a": (48, 4), "b": (12, 2)}
 
 
-def plan_sql(tail: str, *, frames=(48, 12), review: str = "1", right: int = 9, missing: int = 0, budget: str | None = "200") -> str:
-    """Two strata, all plans; ``tail`` selects from them."""
-    tried, total, alpha = 6 * 10 + missing, sum(frames), 0.05 / 4
-    six, three, covered = f"({6 * right} / {tried}::DOUBLE)", f"(60 / {tried}::DOUBLE)", f"(60 / {tried}::DOUBLE)"
+def plan_sql(tail: str, *, rare: str = "frame", review: str = "1", six: str = "d", missing: int = 1, budget: str | None = "90") -> str:
+    """All plans for two strata whose frames and pilots come from events; ``tail`` selects
+    from them. ``rare``: frame of the second; ``six``: what of a class's agreements ``d`` counts."""
+    alpha = 0.05 / 4
 
-    def opt(name, frame, least):
+    def opt(name, frame):
         radius = f"CASE WHEN n = {frame} THEN 0.0::DOUBLE WHEN n = 0 THEN 1.0 ELSE least(1.0, sqrt(({frame} - n) / (4 * n * ({frame} - 1) * {alpha!r}::DOUBLE))) END"
         low = lambda rate: f"greatest(0.0, {rate} - radius)"
-        return f"""SELECT *, {low(six)} AS lower_six, {low(three)} AS lower_three, {low(six)} >= 0.5 AND {low(three)} >= 0.6 AND {covered} >= 0.8 AS fine FROM (
-          SELECT '{name}' AS name, {frame} AS frame, n::INT AS n, ceil(n::DECIMAL(12,0) * 0.1::DECIMAL(20,12))::INT AS adjudicated, {radius} AS radius,
-            {frame} * 0.01::DECIMAL(18,6) + n * {review}::DECIMAL(18,6) + ceil(n::DECIMAL(12,0) * 0.1::DECIMAL(20,12))::INT * 0.5::DECIMAL(18,6) AS cost FROM range({least}, {frame + 1}) r(n))"""
+        return f"""SELECT name, size AS frame, n, adjudicated, radius, cost, {low('rate_six')} AS lower_six, {low('rate_three')} AS lower_three, {low('rate_six')} >= 0.4 AND {low('rate_three')} >= 0.5 AND covered >= 0.8 AS fine FROM (
+          SELECT name, {frame} AS size, n::INT AS n, rate_six, rate_three, covered, ceil(n::DECIMAL(12,0) * 0.1::DECIMAL(20,12))::INT AS adjudicated, {radius} AS radius,
+            {frame} * 0.01::DECIMAL(18,6) + n * {review}::DECIMAL(18,6) + ceil(n::DECIMAL(12,0) * 0.1::DECIMAL(20,12))::INT * 0.5::DECIMAL(18,6) AS cost
+          FROM (SELECT *, unnest(range(2, {frame} + 1)) AS n FROM pilot WHERE name = '{name}'))"""
 
     limit = f" AND cost <= {budget}" if budget else ""
-    mean = lambda c: f"{frames[0] / total!r}::DOUBLE * a.{c} + {frames[1] / total!r}::DOUBLE * b.{c} AS {c}"
-    return f"""WITH a AS ({opt('a', frames[0], 4)}), b AS ({opt('b', frames[1], 2)}), opts AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+    mean = lambda c: f"a.frame / (a.frame + b.frame)::DOUBLE * a.{c} + b.frame / (a.frame + b.frame)::DOUBLE * b.{c} AS {c}"
+    return f"""WITH {PRED}, day AS (SELECT event_type AS name, count(DISTINCT ts::DATE)::INT AS frame FROM events GROUP BY 1),
+      cell AS (SELECT agent_id AS name, level, count(*) FILTER (prediction = level) AS d, count(*) FILTER ((prediction - 1) // 2 = (level - 1) // 2) AS t, count(prediction) AS n, count(*) - count(prediction) AS lost FROM pred WHERE level IS NOT NULL GROUP BY ALL),
+      pilot AS (SELECT name, frame, sum({six}) / tried AS rate_six, sum(t) / tried AS rate_three, sum(n) / tried AS covered FROM (SELECT *, (sum(n) OVER p + {missing} * sum(lost) OVER p)::DOUBLE AS tried FROM cell WINDOW p AS (PARTITION BY name)) JOIN day USING (name) GROUP BY name, frame, tried),
+      a AS ({opt('click', 'frame')}), b AS ({opt('purchase', rare)}), opts AS (SELECT * FROM a UNION ALL SELECT * FROM b),
       plans AS (SELECT a.n AS na, b.n AS nb, a.cost + b.cost AS cost, {mean('lower_six')}, {mean('lower_three')}, a.fine AND b.fine AS fine FROM a, b),
       good AS (SELECT * FROM plans WHERE fine{limit}) {tail}"""
 
@@ -271,7 +275,7 @@ ORACLES = {
       cc AS (SELECT tz.term, tz.r, count(tb.student_key) AS same, count(*) AS k FROM tz LEFT JOIN tb USING (term, student_key) GROUP BY ALL), oo AS (SELECT term, count(*) AS o FROM tb GROUP BY 1)
       SELECT term, round(avg(same / k::DOUBLE), 8) AS overlap, round(avg((k + o - 2 * same) / (k + o - same)::DOUBLE), 8) AS flip_rate FROM cc JOIN oo USING (term) GROUP BY 1""",
     "allocation_options": plan_sql("SELECT name, frame, n, adjudicated, round(radius, 8) AS radius, cost::DOUBLE AS cost, round(lower_six, 8) AS lower_six, round(lower_three, 8) AS lower_three, fine FROM opts"),
-    "allocation_optimal": plan_sql(f"SELECT {PLAN} FROM (SELECT * FROM good WHERE lower_six >= 0.7 AND lower_three >= 0.8 ORDER BY cost, lower_six DESC, lower_three DESC, na, nb LIMIT 4)", review="0.5"),
+    "allocation_optimal": plan_sql(f"SELECT {PLAN} FROM (SELECT * FROM good WHERE lower_six >= 0.6 AND lower_three >= 0.7 ORDER BY cost, lower_six DESC, lower_three DESC, na, nb LIMIT 4)", review="0.5"),
     "allocation_frontier": plan_sql(f""", pt AS (SELECT cost, lower_six, lower_three, min((na, nb)) AS z FROM good GROUP BY ALL), pp AS (SELECT cost, lower_six, lower_three, z[1] AS na, z[2] AS nb FROM pt)
       SELECT {PLAN} FROM pp p WHERE NOT EXISTS (SELECT 1 FROM pp q WHERE q.cost <= p.cost AND q.lower_six >= p.lower_six AND q.lower_three >= p.lower_three AND (q.cost < p.cost OR q.lower_six > p.lower_six OR q.lower_three > p.lower_three))"""),
     "ledger_spend": f"""WITH {ATTEMPTS} SELECT (1.25::DECIMAL(38,12) + sum(CASE WHEN status = 'submitted_unknown' THEN 0.5::DECIMAL(38,12) ELSE ((i * 2 + o * 8)::DECIMAL(20,6) * 0.000001::DECIMAL(10,6))::DECIMAL(38,12) END))::VARCHAR AS spent, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens FROM att""",

@@ -278,8 +278,20 @@ def rank_stability(spark, sf):
     return rounded(resample.ranking_stability(base, means, ["replicate"]))
 
 
+#: Agents whose days are audited; what an audit costs and must prove.
+AUDITED, TERMS = ("click", "purchase"), {"least": 2, "ai": "0.01", "review": "1", "adjudication": "0.5", "disagreement": 0.1, "floor_six": 0.4, "floor_three": 0.5, "coverage": 0.8}
+
+
+def pilot(spark, sf) -> allocate.AllocationSpec:
+    """Days with turns of two agents as frames, and the predictions for them as a pilot."""
+    own = F.col("agent_id").isin(*AUDITED)
+    pairs = predicted(spark, sf).where(own).select(F.col("agent_id").alias("stratum"), F.col("level").alias("gold"), "prediction")
+    days = table(spark, sf, "events").where(F.col("event_type").isin(*AUDITED)).groupBy(F.col("event_type").alias("stratum")).agg(F.count_distinct(F.to_date("ts")).cast("int").alias("frame"))
+    return allocate.AllocationSpec(allocate.pilot_strata(pairs, days, **TERMS), 0.05, (0.6, 0.7), "90", 20_000)
+
+
 def allocation_options(spark, sf):
-    o = allocate.options(spark, allocate.example())
+    o = allocate.options(spark, pilot(spark, sf))
     return rounded(o.withColumn("cost", F.col("cost").cast("double")).drop("h"))
 
 
@@ -288,12 +300,12 @@ def _plans(df):
 
 
 def allocation_optimal(spark, sf):
-    spec = allocate.scenarios()["low_human_cost"]
+    spec = allocate.what_ifs(pilot(spark, sf))["low_human_cost"]
     return _plans(allocate.cheapest(allocate.plans(spark, spec), spec))
 
 
 def allocation_frontier(spark, sf):
-    spec = allocate.example()
+    spec = pilot(spark, sf)
     return _plans(allocate.frontier(allocate.plans(spark, spec), spec))
 
 
