@@ -13,6 +13,8 @@ from turnloom.cli import main
 from turnloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: Queries that replay a sequential generator; see test_streams.
+BEYOND_SQL = {"seeded_split", "seeded_observed"}
 
 
 def plain(rows):
@@ -28,7 +30,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, db, name):
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -40,7 +42,7 @@ def test_query_equals_oracle(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert set(ORACLES) == set(QUERIES) and set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == BEYOND_SQL and set(QUERIES) <= set(entry.queries())
 
 
 def test_entry_without_the_corpus_operators():

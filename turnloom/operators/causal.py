@@ -148,13 +148,14 @@ def draws(clusters: DataFrame, by: list[str], replicates: int, seed: int) -> Dat
     return times.join(units, [*by, "slot"]).select(*by, "replicate", "unit", "times")
 
 
-def bootstrap(panel: DataFrame, replicates: int = 200, seed: int = 2045) -> DataFrame:
+def bootstrap(panel: DataFrame, replicates: int = 200, seed: int = 2045, draw=None) -> DataFrame:
     """Estimates of every replicate: whole clusters drawn within their arm. Sums by
     cluster and stratum are weighted by how often the cluster is drawn, so students
-    are read once whatever the number of replicates."""
+    are read once whatever the number of replicates. ``draw``: ``draws``, or another
+    function of clusters, groups, replicates and seed."""
     sums = panel.groupBy("treated", F.col("cluster_id").alias("unit"), "stratum").agg(F.count("*").alias("n"), F.sum(change()).alias("d"))
     units = sums.select("treated", "unit").distinct()
-    drawn = draws(units, ["treated"], replicates, seed).join(sums, ["treated", "unit"])
+    drawn = (draw or draws)(units, ["treated"], replicates, seed).join(sums, ["treated", "unit"])
     arm = lambda c, t: F.coalesce(F.sum(F.when(F.col("treated") == t, F.col(c) * F.col("times"))), F.lit(0))
     by = drawn.groupBy("replicate", "stratum").agg(arm("n", 1).alias("n1"), arm("n", 0).alias("n0"), arm("d", 1).alias("d1"), arm("d", 0).alias("d0"))
     return estimate(by, ["replicate"]).select("replicate", "estimate")

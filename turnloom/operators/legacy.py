@@ -3,14 +3,16 @@ students, and rounds that draw students, perturb labels and rank anew."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import uniform
 from turnloom.functions.spec import ContractError
 from turnloom.operators.causal import draws
+from turnloom.operators.ordering import numbered
 from turnloom.operators.ranks import order_statistic, top_share
 from turnloom.operators.resample import perturb
+from turnloom.operators.streams import seeded, seeded_draws
 
 
 def record_metrics(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,9 +52,11 @@ def mapping_counts(mapping: DataFrame) -> DataFrame:
     return mapping.join(terms, "student_key").groupBy("term").agg(F.count("*").alias("records"), F.count_distinct("student_key").alias("students"), F.count_distinct(F.when(F.col("_t") > 1, F.col("student_key"))).alias("shared"))
 
 
-def _noisy(rows: DataFrame, drawn: DataFrame, mass: float, seed: int, key: str, tag: str) -> DataFrame:
+def _noisy(rows: DataFrame, drawn: DataFrame, mass: float, seed: int, key: str, tag: str, lies: DataFrame | None = None) -> DataFrame:
     """Everybody's labels in every replicate, perturbed by the kernel of what the
-    replicate drew: an error goes to a neighbour in proportion to its count + 0.5."""
+    replicate drew: an error goes to a neighbour in proportion to its count + 0.5.
+    ``lies`` (term, before, stride): where a replicate's numbers lie in a seeded stream,
+    in the order of student and ``key``."""
     by = ["term", "replicate"]
     n = drawn.withColumnRenamed("unit", "student_key").join(rows, ["term", "student_key"]).groupBy(*by).agg(F.array(*[F.sum(F.when(F.col("level") == k, F.col("times")).otherwise(0)) + 0.5 for k in range(1, 7)]).alias("n"))
     level = F.col("level")
@@ -60,17 +64,43 @@ def _noisy(rows: DataFrame, drawn: DataFrame, mass: float, seed: int, key: str,
     above = F.when(level < 6, F.try_element_at("n", level + 1)).otherwise(0.0)
     each = rows.join(F.broadcast(n), "term")  # a row for each term and replicate
     u: Column = uniform(F.lit(str(seed)), F.lit(tag), F.col("replicate"), F.col(key))
+    if lies is not None:
+        at = numbered(rows.select("term", "student_key", key), ["term"], [F.col("student_key"), F.col(key)], "at")
+        placed = each.join(at, ["term", "student_key", key]).join(F.broadcast(lies), "term")  # a row for each term
+        each, u = seeded(placed.withColumn("at", F.col("replicate") * F.col("stride") + F.col("before") + F.col("at")), "at", seed), F.col("u")
     return each.withColumn("level", perturb(level, u, F.lit(1 - mass), mass * below / (below + above))).drop("n")
 
 
-def rounds(records: DataFrame, turns: DataFrame, replicates: int, seed: int, mass: float = 0.2) -> DataFrame:
+def _stretches(records: DataFrame, turns: DataFrame) -> dict[str, DataFrame]:
+    """Where a round of a seeded study draws from, of its stretch of the stream: for each
+    term students by records and by turns, then labels of records and of turns."""
+    names = ("record_draw", "turn_draw", "record_noise", "turn_noise")
+    size = lambda df, students, labels: df.groupBy("term").agg(F.count_distinct("student_key").alias(students), F.count("*").alias(labels))
+    n = size(records, names[0], names[2]).join(size(turns, names[1], names[3]), "term", "full").na.fill(0)
+    order = Window.partitionBy().orderBy("term")  # a row for each term
+    whole = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    n = n.withColumn("all", whole).withColumn("before", F.sum("all").over(order) - F.col("all")).withColumn("stride", F.sum("all").over(Window.partitionBy()))
+    out, before = {}, F.col("before")
+    for c in names:
+        out[c] = n.select("term", before.alias("before"), "stride")
+        before = before + F.col(c)
+    return out
+
+
+def rounds(records: DataFrame, turns: DataFrame, replicates: int, seed: int, mass: float = 0.2, *, replay: bool = False) -> DataFrame:
     """term, replicate, abl, hot, ctq (means over the students drawn, each as often as
-    drawn) and stability (share of the observed top quarter by abl that stays)."""
+    drawn) and stability (share of the observed top quarter by abl that stays). With
+    ``replay`` all numbers come from one seeded generator, in the order of a loop over
+    rounds, terms, draws and labels; else from hashes of keys."""
     by = ["term", "replicate"]
-    one = draws(records.select("term", F.col("student_key").alias("unit")).distinct(), ["term"], replicates, seed)
-    two = draws(turns.select("term", F.col("student_key").alias("unit")).distinct(), ["term"], replicates, seed + 1)
-    rec = record_metrics(_noisy(records, one, mass, seed, "record_id", "record"), [*by, "student_key"])
-    ctq = ctq_metrics(_noisy(turns, two, mass, seed, "turn_id", "turn"), [*by, "student_key"])
+    lies = _stretches(records, turns) if replay else {}
+    units = lambda df: df.select("term", F.col("student_key").alias("unit")).distinct()
+    if replay:
+        one, two = (seeded_draws(units(df), ["term"], replicates, seed, lies=lies[c]) for df, c in ((records, "record_draw"), (turns, "turn_draw")))
+    else:
+        one, two = draws(units(records), ["term"], replicates, seed), draws(units(turns), ["term"], replicates, seed + 1)
+    rec = record_metrics(_noisy(records, one, mass, seed, "record_id", "record", lies.get("record_noise")), [*by, "student_key"])
+    ctq = ctq_metrics(_noisy(turns, two, mass, seed, "turn_id", "turn", lies.get("turn_noise")), [*by, "student_key"])
     mean = lambda df, drawn, cols: df.join(drawn.withColumnRenamed("unit", "student_key"), [*by, "student_key"]).groupBy(*by).agg(*[(F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c) for c in cols])
     top = lambda df, keys: top_share(df.withColumn("abl", F.round("abl", 9)), keys, "abl", 0.25).where("place <= size")
     base = top(record_metrics(records, ["term", "student_key"]), ["term"]).select("term", "student_key", F.lit(1).alias("was"))

@@ -19,13 +19,14 @@ def in_components(rows: DataFrame, members: DataFrame) -> DataFrame:
     return both.withColumn("root", F.when(F.col("root").isNull(), F.raise_error(F.lit("STUDENT_WITHOUT_COMPONENT")).cast(both.schema["root"].dataType)).otherwise(F.col("root")))
 
 
-def observed_bootstrap(metrics: DataFrame, members: DataFrame, value: str = "hot_change", replicates: int = 200, seed: int = 20260925) -> DataFrame:
+def observed_bootstrap(metrics: DataFrame, members: DataFrame, value: str = "hot_change", replicates: int = 200, seed: int = 20260925, draw=draws) -> DataFrame:
     """Mean of each term, with the order-statistic interval over draws of whole
-    components; below five components there is no interval."""
+    components; below five components there is no interval. ``draw``: ``causal.draws``
+    or ``streams.seeded_draws``."""
     rows = in_components(metrics.where(F.col(value).isNotNull()), members)
     sums = rows.groupBy("term", F.col("root").alias("unit")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
     point = sums.groupBy("term").agg(F.sum("n").alias("students"), F.count("*").alias("components"), (F.sum("s") / F.sum("n")).alias("mean_change"))
-    drawn = draws(sums.select("term", "unit"), ["term"], replicates, seed).join(sums, ["term", "unit"])
+    drawn = draw(sums.select("term", "unit"), ["term"], replicates, seed).join(sums, ["term", "unit"])
     means = drawn.groupBy("term", "replicate").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
     ci = means.groupBy("term").agg(F.collect_list("m").alias("m")).select("term", order_statistic(F.col("m"), 0.025).alias("low"), order_statistic(F.col("m"), 0.975).alias("high"))
     enough = F.col("components") >= 5

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import uniform
-from turnloom.functions.spec import require
 from turnloom.operators.components import connected_components
+from turnloom.operators.digests import ordered_sha256
 
 # Probabilities and requests of the pools, words that mark a risk.
 POOLS = {"development": (0.15, 30), "audit": (0.65, 120), "risk": (0.20, 30)}
@@ -43,13 +43,12 @@ def components(rows: DataFrame, member: str = "student_key", text: str = "questi
     return rows.select(member).distinct().join(found, member, "left").select(member, F.coalesce("root", member).alias("root"))
 
 
-def component_ids(members: DataFrame, member: str = "student_key", most: int = 1_000_000) -> DataFrame:
+def component_ids(members: DataFrame, member: str = "student_key") -> DataFrame:
     """member, root, component_id: 16 hexadecimal digits of the hash of the sorted
-    members. A component's names are gathered in one row, so one of more than
-    ``most`` members is an error."""
-    require(members.groupBy("root").count().where(F.col("count") > most).isEmpty(), "COMPONENT_TOO_LARGE")
-    ids = members.groupBy("root").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(member).cast("string"))), "|"), 256), 1, 16).alias("component_id"))
-    return members.join(ids, "root")
+    members, joined by a bar, for components of any size."""
+    name = F.col(member).cast("string")
+    ids = ordered_sha256(members.select("root", name.alias("m")), ["root"], [F.col("m")], "m", "|")
+    return members.join(ids.select("root", F.substring("sha256", 1, 16).alias("component_id")), "root")
 
 
 def pools(members: DataFrame, seed: int) -> DataFrame:
@@ -65,10 +64,10 @@ def risk_score(text: Column) -> Column:
     return out
 
 
-def stratified_sample(turns: DataFrame, assigned: DataFrame, seed: int, member: str = "student_key", text: str = "question") -> DataFrame:
+def stratified_sample(turns: DataFrame, assigned: DataFrame, seed: int, member: str = "student_key", text: str = "question", place: str | None = None) -> DataFrame:
     """Selected turns with both probabilities and the design weight (none for the
-    purposive risk pool)."""
-    rows = turns.join(assigned, member).withColumn("score", F.when(F.col("pool") == "risk", risk_score(F.col(text))).otherwise(0)).withColumn("u", uniform(F.lit(str(seed)), F.lit("turn"), F.col("turn_id")))
+    purposive risk pool). ``place``: a column to order candidates by, in place of a hash."""
+    rows = turns.join(assigned, member).withColumn("score", F.when(F.col("pool") == "risk", risk_score(F.col(text))).otherwise(0)).withColumn("u", F.col(place) if place else uniform(F.lit(str(seed)), F.lit("turn"), F.col("turn_id")))
     population = rows.groupBy("pool", "term").agg(F.count("*").alias("population"))  # a row for each pool and term
     by, most = Window.partitionBy("pool", "term").orderBy(F.col("score").desc(), "u", "turn_id"), max(n for _, n in POOLS.values())
     # the filter right above the place lets every task drop what cannot be among the first

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import columns as C
 from turnloom.functions.spec import Aggregation, MetricSpec
 from turnloom.operators import agreement as A
-from turnloom.operators import allocate, causal, dialogue, ledger, ranks, resample, sampling, scoring
+from turnloom.operators import allocate, causal, dialogue, ledger, ranks, resample, sampling, scoring, streams
 from turnloom.plans import adapters as D
 from turnloom.sources.tables import table
 
@@ -208,6 +208,12 @@ def stratified_sample(spark, sf):
     return rounded(sampling.stratified_sample(q, sampling.pools(sampling.components(q), SEED), SEED))
 
 
+def seeded_split(spark, sf):
+    """The sample as the published seeded loop draws it."""
+    q = _questions(spark, sf)
+    return rounded(streams.seeded_sample(q, sampling.components(q), SEED))
+
+
 def parse_review_top15(spark, sf):
     p = dialogue.parse(D.transcripts(spark, sf)).withColumn("anomaly", F.col("status") != "format_ok_pending_review").withColumn("term", (F.col("conv_id") % 4).cast("string"))
     return sampling.top_for_review(p, "term", "anomaly", "conv_id", "2045").select("term", "conv_id", "status", "place")
@@ -258,6 +264,15 @@ def observed_bootstrap(spark, sf):
     return rounded(resample.observed_bootstrap(metrics(spark, sf), _members(spark, sf), replicates=MEAN_REPLICATES, seed=SEED))
 
 
+def seeded_observed(spark, sf):
+    """The same, by the published stream, over components of equal questions; a student
+    without a question is a component of one."""
+    found = sampling.component_ids(sampling.components(_questions(spark, sf))).select("student_key", "component_id")
+    m = metrics(spark, sf)
+    members = m.select("student_key").distinct().join(found, "student_key", "left").select("student_key", F.coalesce("component_id", F.concat(F.lit("alone-"), "student_key")).alias("root"))
+    return rounded(resample.observed_bootstrap(m, members, replicates=MEAN_REPLICATES, seed=SEED, draw=streams.seeded_draws))
+
+
 def noise_kernel(spark, sf):
     return rounded(resample.kernel(D.turns(spark, sf), MASSES))
 
@@ -350,8 +365,8 @@ def readiness(spark, sf):
 QUERIES = {f.__name__: f for f in (
     student_summary, conversation_ctq, dhi_symmetric, dhi_asymmetric, dhi_legacy, agent_breadth, aiv_v2, aiv_concave, aiv_bounds, aiv_legacy, metrics_with_inventory, scheme_compare, indicator_spearman,
     student_ranks, top_quartile_fixed, agreement_weighted, agreement_three_tier, missingness_4way, label_freeze, adjudication_conflicts, adjudicated_labels, exclusion_cascade, reconcile_usage, parse_status,
-    parse_turns, question_texts, dup_components, component_labels, pool_assignment, stratified_sample, parse_review_top15, panel_audit, panel_balance, panel_overlap, did_fit, did_strata, did_bias_bounds, did_replicates, did_bootstrap,
-    observed_bootstrap, noise_kernel, noise_sensitivity, rank_stability, allocation_options, allocation_optimal, allocation_frontier, ledger_spend, ledger_snapshot, plan_reserve, csv_guard, session_windows, readiness)}
+    parse_turns, question_texts, dup_components, component_labels, pool_assignment, stratified_sample, seeded_split, parse_review_top15, panel_audit, panel_balance, panel_overlap, did_fit, did_strata, did_bias_bounds, did_replicates, did_bootstrap,
+    observed_bootstrap, seeded_observed, noise_kernel, noise_sensitivity, rank_stability, allocation_options, allocation_optimal, allocation_frontier, ledger_spend, ledger_snapshot, plan_reserve, csv_guard, session_windows, readiness)}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
