@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import uniform
+from turnloom.functions.spec import require
 from turnloom.operators.ordering import numbered
 
 
@@ -24,6 +25,19 @@ def strata(panel: DataFrame) -> DataFrame:
     return panel.groupBy("stratum").agg(F.count_if(treated()).alias("n1"), F.count_if(~treated()).alias("n0"), F.sum(F.when(treated(), change())).alias("d1"), F.sum(F.when(~treated(), change())).alias("d0"))
 
 
+def covariate_strata(panel: DataFrame, names: list[str], covariates: str = "covariates") -> DataFrame:
+    """``panel`` with stratum: ``stratum_1`` and so on, in the order of the values of
+    ``names`` in the map ``covariates`` (a missing value comes first). The distinct tuples
+    are numbered over range partitions; rows meet their number by a join on the tuple."""
+    require(len(names) > 0 and len(set(names)) == len(names), "INVALID_COVARIATES")
+    cells = [F.try_element_at(covariates, F.lit(c)) for c in names]
+    keyed = panel.withColumn("_tuple", F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]), {"ignoreNullFields": "false"}))
+    tuples = keyed.select("_tuple", *[c.alias(f"_c{i}") for i, c in enumerate(cells)]).distinct()
+    order = [F.col(f"_c{i}").asc_nulls_first() for i in range(len(names))]
+    ids = numbered(tuples, [], order, "_no").select("_tuple", F.concat(F.lit("stratum_"), (F.col("_no") + 1).cast("string")).alias("stratum"))
+    return keyed.drop("stratum").join(ids, "_tuple").drop("_tuple")
+
+
 def audit(panel: DataFrame, low: float, high: float) -> DataFrame:
     """Blocking codes with the number of rows, clusters or strata behind each."""
     rows = panel.agg(

@@ -137,6 +137,12 @@ ORACLES = {
     "source_students": f"""WITH {T} SELECT turn_id AS qid, CASE WHEN turn_id % 4 > 0 AND turn_id % 9 = 1 THEN NULL WHEN turn_id % 4 > 0 THEN student_key WHEN turn_id % 9 = 1 THEN student_key + 1 END AS source_student,
       CASE WHEN turn_id % 4 = 0 AND turn_id % 9 <> 1 THEN 'unmapped_question' WHEN turn_id % 4 > 0 AND turn_id % 9 = 1 THEN 'ambiguous_question' END AS reason FROM turns WHERE turn_id % 3 = 1""",
     "identity_values": "SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey || '.50' WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN 'A-' || c_custkey ELSE c_custkey::VARCHAR END AS id FROM customer",
+    "covariate_strata": f"""WITH {P}, c AS (SELECT p.*, c_mktsegment AS segment, (c_nationkey % 5)::VARCHAR AS region, CASE WHEN c_custkey % 13 <> 0 THEN floor(c_acctbal / 4000)::BIGINT::VARCHAR END AS balance FROM panel p JOIN customer ON c_custkey = student_key),
+      d AS (SELECT *, dense_rank() OVER (ORDER BY segment, region, balance NULLS FIRST) AS no, post_score - pre_score AS d FROM c)
+      SELECT 'stratum_' || no AS stratum, segment, region, balance, count(*) FILTER (treated = 1) AS n1, count(*) FILTER (treated = 0) AS n0, round(avg(d) FILTER (treated = 1), 4) AS treated_change, round(avg(d) FILTER (treated = 0), 4) AS control_change FROM d GROUP BY ALL""",
+    "score_percentiles": f"""WITH {ST}, v AS (SELECT term, 'level' AS what, level::DOUBLE AS v FROM turns WHERE level IS NOT NULL UNION ALL SELECT term, 'gap', turn_id * 37 % 1009 / 8.0::DOUBLE FROM turns UNION ALL SELECT term, 'score', v FROM (SELECT term, round({score(PRIMARY, False)}, 9) AS v FROM students) WHERE v IS NOT NULL),
+      s AS (SELECT term, what, list_sort(list(v)) AS l, count(*) AS n FROM v GROUP BY ALL), q AS (SELECT *, unnest([0.0, 0.025, 0.25, 0.5, 0.975, 1.0]::DOUBLE[]) AS share FROM s)
+      SELECT term, what, share, n, round(l[floor(share * (n - 1))::BIGINT + 1] + (share * (n - 1) - floor(share * (n - 1))) * (l[ceil(share * (n - 1))::BIGINT + 1] - l[floor(share * (n - 1))::BIGINT + 1]), 8) AS interpolated, round(l[floor(share * (n - 1))::BIGINT + 1], 8) AS "order" FROM q""",
     "simulated_effects": f"""WITH {P}, d AS (SELECT simulation, stratum, treated, post_score + treated * 5000.0::DOUBLE + 2000 * {normal('')} + 500 * {normal('student_key')} - pre_score AS d FROM panel, range(20) s(simulation)),
       x AS (SELECT simulation, stratum, count(*) FILTER (treated = 1) AS n1, sum(d) FILTER (treated = 1) AS d1, sum(d) FILTER (treated = 0) AS d0, avg(d) FILTER (treated = 1) - avg(d) FILTER (treated = 0) AS gap, count(*) FILTER (treated = 0) AS n0 FROM d GROUP BY ALL)
       SELECT simulation, round(sum(n1 * gap) / sum(n1), 4) AS estimate, round(sum(d1) / sum(n1) - sum(d0) / sum(n0), 4) AS unadjusted FROM x GROUP BY 1""",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.columns import feature_bound, uniform
 from turnloom.functions.spec import BALANCED, INDICATORS, Aggregation, legacy_schemes, weight_stability_bound
-from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, legacy, resample, scoring, workflow
+from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, legacy, resample, scoring, selection, workflow
 from turnloom.plans import adapters as D
 from turnloom.plans.queries import KEYS, SEED, _members, metrics, pilot, rounded
 from turnloom.sources.files import identity
@@ -219,6 +219,35 @@ def identity_values(spark, sf):
     return c.select(F.col("k").alias("row_id"), identity(raw).alias("id"))
 
 
+COVARIATES = ["segment", "region", "balance"]
+
+
+def covariate_panel(spark, sf) -> DataFrame:
+    """The complete panel with a map of three covariates, one of them not always known."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("student_key"), F.col("c_mktsegment").alias("segment"), (F.col("c_nationkey") % 5).cast("string").alias("region"), F.floor(F.col("c_acctbal") / 4000).cast("string").alias("balance"))
+    known = F.when(every(13, "student_key"), F.create_map(F.lit("segment"), "segment", F.lit("region"), "region")).otherwise(F.create_map(F.lit("segment"), "segment", F.lit("region"), "region", F.lit("balance"), "balance"))
+    return D.panel(spark, sf, True).drop("stratum").join(c.select("student_key", known.alias("covariates")), "student_key")
+
+
+def covariate_strata(spark, sf):
+    """Strata of the tuples of three covariates, with their arms and changes."""
+    p = causal.covariate_strata(covariate_panel(spark, sf), COVARIATES)
+    tuples = p.groupBy("stratum").agg(*[F.min(F.try_element_at("covariates", F.lit(c))).alias(c) for c in COVARIATES])
+    s = causal.strata(p).join(tuples, "stratum")
+    return rounded(s.select("stratum", *COVARIATES, "n1", "n0", (F.col("d1") / F.when(F.col("n1") > 0, F.col("n1"))).alias("treated_change"), (F.col("d0") / F.when(F.col("n0") > 0, F.col("n0"))).alias("control_change")), 4)
+
+
+SHARES = [0.0, 0.025, 0.25, 0.5, 0.975, 1.0]
+
+
+def score_percentiles(spark, sf):
+    """Percentiles of raw levels, conversation lengths and scores of a term, both kinds."""
+    t, m = D.turns(spark, sf), metrics(spark, sf)
+    values = t.select("term", F.lit("level").alias("what"), F.col("level").cast("double").alias("v")).unionByName(t.select("term", F.lit("gap").alias("what"), (F.col("turn_id") * 37 % 1009 / 8.0).alias("v"))).unionByName(m.select("term", F.lit("score").alias("what"), F.round("aiv", 9).alias("v")))
+    one, two = (selection.percentiles(values, ["term", "what"], "v", SHARES, kind).withColumnRenamed("value", kind) for kind in ("interpolated", "order"))
+    return rounded(one.join(two.drop("n"), ["term", "what", "share"]))
+
+
 def simulated_effects(spark, sf):
     """Point estimates over the panel with a known effect added, once a simulation."""
     p = workflow.injected_panels(D.panel(spark, sf, True), 20, 5000.0, spread=2000.0)
@@ -285,4 +314,4 @@ def mapping_counts(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     panel_blockers, panel_import_faults, panel_warnings, did_subgroups, did_threshold, student_export, roster_gaps, term_rollup, legacy_scheme_means, stability_bounds, annotation_faults, prediction_faults,
-    review_labels, label_faults, gold_overlap, gold_pairs, accepted_records, request_projection, set_states, probe_status, source_students, identity_values, simulated_effects, allocation_whatifs, roots_of_noise, question_build, legacy_metrics, legacy_rounds, sampled_students, mapping_counts)}
+    review_labels, label_faults, gold_overlap, gold_pairs, accepted_records, request_projection, set_states, probe_status, source_students, identity_values, simulated_effects, allocation_whatifs, roots_of_noise, question_build, legacy_metrics, legacy_rounds, covariate_strata, score_percentiles, sampled_students, mapping_counts)}
