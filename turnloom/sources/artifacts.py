@@ -43,9 +43,13 @@ class ArtifactStore:
         require(spark.sparkContext.master.startswith("local"), "SHARED_FOLDER_NOT_SET")
         return f"file://{staged or self._at(name)}/rows"
 
-    def _at(self, name: str) -> Path:
+    @staticmethod
+    def checked(name: str) -> str:
         require(bool(re.fullmatch(r"[a-z_]+-[0-9a-f]{64}", name)), "INVALID_ARTIFACT_ID")
-        return self.root / name
+        return name
+
+    def _at(self, name: str) -> Path:
+        return self.root / self.checked(name)
 
     def put(self, kind: str, payload, inputs: list[str] = (), config=None, table: DataFrame | None = None) -> str:
         for i in inputs:
@@ -71,10 +75,13 @@ class ArtifactStore:
             shutil.rmtree(staged, ignore_errors=True)
         return name
 
-    def get(self, name: str, kind: str | None = None) -> dict:
+    def _body(self, name: str) -> dict:
         place = self._at(name) / "manifest.json"
         require(place.exists(), "ARTIFACT_NOT_FOUND", name)
-        body = strict_json(place.read_text(encoding="utf-8"))
+        return strict_json(place.read_text(encoding="utf-8"))
+
+    def get(self, name: str, kind: str | None = None) -> dict:
+        body = self._body(name)
         content = {k: body[k] for k in ("kind", "payload", "inputs", "config", "rows")}
         require(name == f"{body['kind']}-{fingerprint(content)}", "ARTIFACT_CORRUPT", name)
         require(kind is None or body["kind"] == kind, "WRONG_ARTIFACT_KIND", name)
