@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.columns import uniform
+from turnloom.functions.text import casefold
 from turnloom.operators.components import connected_components
 from turnloom.operators.digests import ordered_sha256
 
@@ -15,19 +16,6 @@ POOLS = {"development": (0.15, 30), "audit": (0.65, 120), "risk": (0.20, 30)}
 RISK_WORDS = ("直接", "答案", "生成", "高级", "创造", "批判")
 
 
-# Characters whose full case folding is longer than one character or
-# is not their lower case; what else Unicode lists is far outside question texts.
-FOLDED = {"ß": "ss", "ẞ": "ss", "ς": "σ", "ſ": "s", "ŉ": "ʼn", "ǰ": "ǰ", "ΐ": "ΐ", "ΰ": "ΰ", "և": "եւ", "µ": "μ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-
-
-def casefold(text: Column) -> Column:
-    """Full case folding for the characters of FOLDED, lower case for all others."""
-    out = text
-    for sign, folded in FOLDED.items():
-        out = F.replace(out, F.lit(sign), F.lit(folded))
-    return F.replace(F.lower(out), F.lit("ς"), F.lit("σ"))
-
-
 def normal(text: Column) -> Column:
     """Letters, digits and underscores, folded."""
     return casefold(F.regexp_replace(text, "[^\\p{L}\\p{N}_]", ""))

@@ -143,6 +143,13 @@ ORACLES = {
     "score_percentiles": f"""WITH {ST}, v AS (SELECT term, 'level' AS what, level::DOUBLE AS v FROM turns WHERE level IS NOT NULL UNION ALL SELECT term, 'gap', turn_id * 37 % 1009 / 8.0::DOUBLE FROM turns UNION ALL SELECT term, 'score', v FROM (SELECT term, round({score(PRIMARY, False)}, 9) AS v FROM students) WHERE v IS NOT NULL),
       s AS (SELECT term, what, list_sort(list(v)) AS l, count(*) AS n FROM v GROUP BY ALL), q AS (SELECT *, unnest([0.0, 0.025, 0.25, 0.5, 0.975, 1.0]::DOUBLE[]) AS share FROM s)
       SELECT term, what, share, n, round(l[floor(share * (n - 1))::BIGINT + 1] + (share * (n - 1) - floor(share * (n - 1))) * (l[ceil(share * (n - 1))::BIGINT + 1] - l[floor(share * (n - 1))::BIGINT + 1]), 8) AS interpolated, round(l[floor(share * (n - 1))::BIGINT + 1], 8) AS "order" FROM q""",
+    "lineage_audit": """WITH RECURSIVE k AS (SELECT DISTINCT event_id AS k FROM events),
+      i AS (SELECT k AS a, k // 2 AS b FROM k WHERE k > 0 UNION SELECT k, k // 3 FROM k WHERE k > 2 AND k % 5 = 0 UNION SELECT k, -k - 1 FROM k WHERE k > 0 AND k % 89 = 0
+            UNION SELECT k, CASE WHEN k % 200 = 2 THEN k - 2 ELSE k + 1 END FROM k WHERE k >= 600 AND k % 200 < 3),
+      r AS (SELECT a, b FROM i UNION SELECT r.a, i.b FROM r JOIN i ON r.b = i.a),
+      c AS (SELECT DISTINCT a FROM r WHERE a = b),
+      s AS (SELECT r.a, count(*) FILTER (k.k IS NOT NULL AND r.a <> r.b) AS up, count(*) FILTER (k.k IS NULL) AS lost, count(*) FILTER (r.a = r.b) AS own, count(c.a) AS loops FROM r LEFT JOIN k ON k.k = r.b LEFT JOIN c ON c.a = r.b GROUP BY 1)
+      SELECT k AS artifact, coalesce(up, 0) AS n_upstream, coalesce(lost, 0) AS missing, coalesce(own, 0) > 0 AS cyclic, coalesce(lost, 0) = 0 AND coalesce(loops, 0) = 0 AS verified FROM k LEFT JOIN s ON s.a = k""",
     "simulated_effects": f"""WITH {P}, d AS (SELECT simulation, stratum, treated, post_score + treated * 5000.0::DOUBLE + 2000 * {normal('')} + 500 * {normal('student_key')} - pre_score AS d FROM panel, range(20) s(simulation)),
       x AS (SELECT simulation, stratum, count(*) FILTER (treated = 1) AS n1, sum(d) FILTER (treated = 1) AS d1, sum(d) FILTER (treated = 0) AS d0, avg(d) FILTER (treated = 1) - avg(d) FILTER (treated = 0) AS gap, count(*) FILTER (treated = 0) AS n0 FROM d GROUP BY ALL)
       SELECT simulation, round(sum(n1 * gap) / sum(n1), 4) AS estimate, round(sum(d1) / sum(n1) - sum(d0) / sum(n0), 4) AS unadjusted FROM x GROUP BY 1""",

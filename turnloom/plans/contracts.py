@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.columns import feature_bound, uniform
 from turnloom.functions.spec import BALANCED, INDICATORS, Aggregation, legacy_schemes, weight_stability_bound
-from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, legacy, resample, scoring, selection, workflow
+from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, legacy, lineage, resample, scoring, selection, workflow
 from turnloom.plans import adapters as D
 from turnloom.plans.queries import KEYS, SEED, _members, metrics, pilot, rounded
 from turnloom.sources.files import identity
@@ -268,6 +268,22 @@ def allocation_whatifs(spark, sf):
     return rounded(out)
 
 
+def manifest_inputs(spark, sf) -> DataFrame:
+    """A manifest for each event: made from that of half its number, some from another
+    too, a few from one that is not there, and a few in a ring."""
+    k = F.col("k")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("k"))
+    two = F.when(every(5), F.floor(k / 3).cast("long"))
+    lost = F.when(every(89), -k - 1)
+    ring = F.when((k >= 600) & (k % 200 < 3), F.when(k % 200 == 2, k - 2).otherwise(k + 1))
+    inputs = F.array_compact(F.array(F.when(k > 0, F.floor(k / 2).cast("long")), F.when(k > 2, two), F.when(k > 0, lost), ring))
+    return e.select(k.alias("artifact"), F.explode_outer(inputs).alias("input"))
+
+
+def lineage_audit(spark, sf):
+    return lineage.audit(manifest_inputs(spark, sf))
+
+
 def roots_of_noise(spark, sf):
     """Students of each component with labels: what a draw of components moves."""
     base = resample.in_components(scoring.students(D.turns(spark, sf), D.SPEC).where("labeled_turns > 0"), _members(spark, sf))
@@ -314,4 +330,4 @@ def mapping_counts(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     panel_blockers, panel_import_faults, panel_warnings, did_subgroups, did_threshold, student_export, roster_gaps, term_rollup, legacy_scheme_means, stability_bounds, annotation_faults, prediction_faults,
-    review_labels, label_faults, gold_overlap, gold_pairs, accepted_records, request_projection, set_states, probe_status, source_students, identity_values, simulated_effects, allocation_whatifs, roots_of_noise, question_build, legacy_metrics, legacy_rounds, covariate_strata, score_percentiles, sampled_students, mapping_counts)}
+    review_labels, label_faults, gold_overlap, gold_pairs, accepted_records, request_projection, set_states, probe_status, source_students, identity_values, simulated_effects, allocation_whatifs, roots_of_noise, question_build, legacy_metrics, legacy_rounds, covariate_strata, score_percentiles, lineage_audit, sampled_students, mapping_counts)}

@@ -279,6 +279,8 @@ ORACLES = {
     "allocation_frontier": plan_sql(f""", pt AS (SELECT cost, lower_six, lower_three, min((na, nb)) AS z FROM good GROUP BY ALL), pp AS (SELECT cost, lower_six, lower_three, z[1] AS na, z[2] AS nb FROM pt)
       SELECT {PLAN} FROM pp p WHERE NOT EXISTS (SELECT 1 FROM pp q WHERE q.cost <= p.cost AND q.lower_six >= p.lower_six AND q.lower_three >= p.lower_three AND (q.cost < p.cost OR q.lower_six > p.lower_six OR q.lower_three > p.lower_three))"""),
     "ledger_spend": f"""WITH {ATTEMPTS} SELECT (1.25::DECIMAL(38,12) + sum(CASE WHEN status = 'submitted_unknown' THEN 0.5::DECIMAL(38,12) ELSE ((i * 2 + o * 8)::DECIMAL(20,6) * 0.000001::DECIMAL(10,6))::DECIMAL(38,12) END))::VARCHAR AS spent, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens FROM att""",
+    "ledger_versions": f"""WITH {ATTEMPTS}, o AS (SELECT *, CASE status WHEN 'validated' THEN 1 WHEN 'validation_failed' THEN 2 ELSE 3 END AS added FROM att)
+      SELECT version::INT AS version, (1.25::DECIMAL(38,12) + sum(CASE WHEN status = 'submitted_unknown' THEN 0.5::DECIMAL(38,12) ELSE ((i * 2 + o * 8)::DECIMAL(20,6) * 0.000001::DECIMAL(10,6))::DECIMAL(38,12) END))::VARCHAR AS spent, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens FROM o JOIN range(1, 4) v(version) ON added <= version GROUP BY 1""",
     "ledger_snapshot": f"""WITH {ATTEMPTS}, p AS (SELECT request_hash, coalesce(min(attempt) FILTER (status = 'validated'), max(attempt)) AS attempt FROM att GROUP BY 1)
       SELECT c_custkey::VARCHAR AS request_hash, p.attempt, coalesce(a.status, 'not_attempted') AS status FROM customer LEFT JOIN p ON p.request_hash = c_custkey::VARCHAR LEFT JOIN att a ON a.request_hash = p.request_hash AND a.attempt = p.attempt""",
     "plan_reserve": "SELECT item_id, sha256(text) AS request_hash, (((strlen(text) * 2 + 1600)::DECIMAL(20,6) * 0.000001::DECIMAL(10,6))::DECIMAL(38,12))::VARCHAR AS reserved FROM benchmark",

@@ -11,7 +11,8 @@ from turnloom.functions.spec import Aggregation, MetricSpec
 from turnloom.operators import agreement as A
 from turnloom.operators import allocate, causal, dialogue, ledger, ranks, resample, sampling, scoring, streams
 from turnloom.plans import adapters as D
-from turnloom.sources.tables import table
+from turnloom.sources.commits import TableLog
+from turnloom.sources.tables import new_folder, table
 
 KEYS = ["term", "student_key"]
 SEED, MASSES = 2045, [0.0, 0.1, 0.2, 0.3]
@@ -335,6 +336,15 @@ def ledger_spend(spark, sf):
     return s.select(F.col("spent").cast("string").alias("spent"), "input_tokens", "output_tokens")
 
 
+def ledger_versions(spark, sf):
+    """Spend after each version of a shared table of attempts: one commit a status."""
+    a, log = _attempts(spark, sf), TableLog(spark, new_folder(spark, "ledger"))
+    for s in ("validated", "validation_failed", "submitted_unknown"):
+        log.append(a.where(F.col("status") == s))
+    each = [ledger.spend(log.rows(v), "1.25").select(F.lit(v).alias("version"), F.col("spent").cast("string").alias("spent"), "input_tokens", "output_tokens") for v in (1, 2, 3)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def ledger_snapshot(spark, sf):
     a = _attempts(spark, sf)
     requests = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("request_hash"))
@@ -366,7 +376,7 @@ QUERIES = {f.__name__: f for f in (
     student_summary, conversation_ctq, dhi_symmetric, dhi_asymmetric, dhi_legacy, agent_breadth, aiv_v2, aiv_concave, aiv_bounds, aiv_legacy, metrics_with_inventory, scheme_compare, indicator_spearman,
     student_ranks, top_quartile_fixed, agreement_weighted, agreement_three_tier, missingness_4way, label_freeze, adjudication_conflicts, adjudicated_labels, exclusion_cascade, reconcile_usage, parse_status,
     parse_turns, question_texts, dup_components, component_labels, pool_assignment, stratified_sample, seeded_split, parse_review_top15, panel_audit, panel_balance, panel_overlap, did_fit, did_strata, did_bias_bounds, did_replicates, did_bootstrap,
-    observed_bootstrap, seeded_observed, noise_kernel, noise_sensitivity, rank_stability, allocation_options, allocation_optimal, allocation_frontier, ledger_spend, ledger_snapshot, plan_reserve, csv_guard, session_windows, readiness)}
+    observed_bootstrap, seeded_observed, noise_kernel, noise_sensitivity, rank_stability, allocation_options, allocation_optimal, allocation_frontier, ledger_spend, ledger_versions, ledger_snapshot, plan_reserve, csv_guard, session_windows, readiness)}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import json
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions.columns import csv_safe
 from turnloom.functions.spec import ContractError
+from turnloom.functions.text import hmac_sha256
 
 
 def strict_json(text: str):
@@ -113,8 +112,4 @@ def required_identity(c: Column) -> Column:
 
 def pseudonym(key: bytes, term: Column, who: Column) -> Column:
     """Keyed pseudonym within a term: no link between terms without the key."""
-    @F.pandas_udf(T.StringType())
-    def digest(t: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series(["S-" + hmac.new(key, f"{a}\0{b}".encode(), hashlib.sha256).hexdigest()[:20] if a is not None and b is not None else None for a, b in zip(t, w, strict=True)])
-
-    return digest(term, who)
+    return F.concat(F.lit("S-"), F.substring(hmac_sha256(key, F.concat(term.cast("string"), F.lit("\0"), who.cast("string")).cast("binary")), 1, 20))

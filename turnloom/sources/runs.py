@@ -93,5 +93,5 @@ def register_run(spark: SparkSession, store: ArtifactStore, folder: str, manifes
     require(all(r.n <= counts[r.term] for r in seen), "POPULATION_COUNT_BELOW_RECORDS")
     payload = {"population": counts, "sampling": strict_json(inside(folder, "sampling.json").read_text(encoding="utf-8")), "files": {n: manifest[n] for n in NEEDED}}
     rows = turns.drop("label").withColumn("text_hash", F.sha2(F.concat_ws("\u0000", "question", "prior_context"), 256))
-    with writer_lock(str(store.root)):
+    with store.lock() if hasattr(store, "lock") else writer_lock(str(store.root)):
         return store.put("dataset", payload, table=rows)
