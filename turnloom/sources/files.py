@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from turnloom.functions.columns import csv_safe
 from turnloom.functions.spec import ContractError
 from turnloom.functions.text import hmac_sha256
+from turnloom.sources.json_lines import read_strict
 
 
 def strict_json(text: str):
@@ -62,7 +63,9 @@ def fingerprint(value) -> str:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """The objects of JSON lines; repeated keys, numbers that are not finite and anything
+    that is no object of the schema are errors."""
+    return read_strict(spark, path, schema)
 
 
 def finite_rows(df: DataFrame) -> DataFrame:
