@@ -283,6 +283,9 @@ def test_files(spark, tmp_path):
     files.write_csv(df, f"{tmp_path}/c", ["b", "a"])
     got = {r.b: r.a for r in files.read_csv(spark, f"{tmp_path}/c", "b int, a string").collect()}
     assert got == {1: "'=1+1", 2: "'  @x", 3: "fine", 4: None}
+    assert all(p.read_bytes().startswith("\ufeffb,a".encode()) for p in (tmp_path / "c").glob("*.csv"))
+    (tmp_path / "plain.csv").write_text("b,a\n7,x\n")
+    assert files.read_csv(spark, f"{tmp_path}/plain.csv", "b int, a string").first().b == 7
     files.write_jsonl(df, f"{tmp_path}/j")
     assert files.read_jsonl(spark, f"{tmp_path}/j", df.schema).count() == 4
     (tmp_path / "~$x.txt").write_text("no")

@@ -20,6 +20,7 @@ TIMES = {"baseline_time": "2024-01-10T00:00:00Z", "covariates_time": "2024-01-10
 def timed(panel, **times):
     for name, value in (TIMES | times).items():
         panel = panel.withColumn(name, F.lit(value))
+    panel = panel.withColumn("term", F.lit("t")).withColumn("covariates", F.create_map(F.lit("stratum"), "stratum"))
     return panel.withColumn("treatment_time", F.when(F.col("treated") == 1, "2024-02-01T00:00:00+00:00"))
 
 
@@ -38,7 +39,7 @@ def test_study(spark):
 def test_study_minds_the_times(spark):
     panel = W.simulated_panels(spark, 1, 5.0).drop("simulation")
     protocol = W.Protocol(**FROZEN)
-    assert "TIME_ZERO_UNVERIFIED" in W.study(panel, protocol)["blockers"]
+    assert {"TIME_ZERO_UNVERIFIED", "TERM_MISMATCH", "COVARIATE_SCHEMA_MISMATCH"} <= set(W.study(panel, protocol)["blockers"])
     late = W.study(timed(panel, baseline_time="2024-02-01T01:00:00+01:00"), protocol)
     assert late["status"] == "blocked" and late["blockers"] == ["BASELINE_NOT_PRETREATMENT"]
     other = timed(panel).withColumn("term", F.lit("u")).withColumn("covariates", F.create_map(F.lit("age"), F.lit("x")))
@@ -47,11 +48,16 @@ def test_study_minds_the_times(spark):
 
 def test_admission(spark):
     records = spark.createDataFrame([("a", W.READY), ("b", W.READY), ("c", "needs_review")], "record_id string, status string")
-    yes = spark.createDataFrame([("a", "accepted")], "record_id string, decision string")
+    yes = spark.createDataFrame([("a", "accepted", "read it")], "record_id string, decision string, reason string")
     assert [r[0] for r in W.admit(records, yes).collect()] == ["a"]
     assert sorted(r[0] for r in W.admit(records, yes, yes.select("record_id")).collect()) == ["a", "b"]
-    no = spark.createDataFrame([("a", "rejected")], "record_id string, decision string")
-    for decisions, sample, code in ((no, no.select("record_id"), "PARSE_SAMPLE_FAILURE"), (yes, records.select("record_id"), "PARSE_SAMPLE_INCOMPLETE"), (spark.createDataFrame([("c", "accepted")], yes.schema), None, "REPARSE_REQUIRED"), (yes.union(yes), None, "INVALID_PARSE_REVIEW_IDS")):
+    no = spark.createDataFrame([("a", "rejected", "no")], yes.schema)
+    assert W.admit(records, no.withColumn("record_id", F.lit("c")), no.limit(0).select("record_id")).count() == 2
+    odd = [(("a", "maybe", "x"), "INVALID_PARSE_DECISION"), (("a", None, "x"), "INVALID_PARSE_DECISION"), (("a", "accepted", " "), "PARSE_REASON_REQUIRED"), (("a", "accepted", None), "PARSE_REASON_REQUIRED"), (("c", "rejected", "x"), "NO_ADMITTED_RECORDS")]
+    for row, code in odd:
+        with pytest.raises(ContractError, match=code):
+            W.admit(records, spark.createDataFrame([row], yes.schema))
+    for decisions, sample, code in ((no, no.select("record_id"), "PARSE_SAMPLE_FAILURE"), (yes, records.select("record_id"), "PARSE_SAMPLE_INCOMPLETE"), (spark.createDataFrame([("c", "accepted", "x")], yes.schema), None, "REPARSE_REQUIRED"), (yes.union(yes), None, "INVALID_PARSE_REVIEW_IDS")):
         with pytest.raises(ContractError, match=code):
             W.admit(records, decisions, sample)
 

@@ -104,19 +104,25 @@ def study(panel: DataFrame, protocol: Protocol, replicates: int = 500, seed: int
 
 
 def admit(records: DataFrame, decisions: DataFrame, sample: DataFrame | None = None) -> DataFrame:
-    """Ids of the admitted records (record_id, status): those accepted one by one
-    and, where a review sample is given and none of its well-formed records was
+    """Ids of the admitted records (record_id, status): those accepted one by one, with
+    a reason, and, where a review sample is given and none of its well-formed records was
     rejected, all other well-formed ones."""
     both = decisions.join(records.select("record_id", F.col("status").alias("parsed")), "record_id", "left")
     bad = both.agg(F.count_if(F.col("parsed").isNull()).alias("unknown"), F.count_if((F.col("decision") == "accepted") & (F.col("parsed") != READY)).alias("malformed"), (F.count("*") - F.count_distinct("record_id")).alias("repeated"), F.count_if((F.col("decision") == "rejected") & (F.col("parsed") == READY)).alias("failures")).first()
     require(not bad.unknown and not bad.repeated, "INVALID_PARSE_REVIEW_IDS")
+    odd = decisions.agg(F.count_if(~F.coalesce(F.col("decision").isin("accepted", "rejected"), F.lit(False))).alias("other"), F.count_if(F.trim(F.coalesce("reason", F.lit(""))) == "").alias("silent")).first()
+    require(not odd.other, "INVALID_PARSE_DECISION")
+    require(not odd.silent, "PARSE_REASON_REQUIRED")
     require(not bad.malformed, "REPARSE_REQUIRED")
     accepted = decisions.where("decision = 'accepted'").select("record_id")
     if sample is None:
+        require(not accepted.isEmpty(), "NO_ADMITTED_RECORDS")
         return accepted
     require(sample.join(decisions, "record_id", "left_anti").isEmpty(), "PARSE_SAMPLE_INCOMPLETE")
     require(not bad.failures, "PARSE_SAMPLE_FAILURE")
-    return accepted.union(records.where(F.col("status") == READY).select("record_id")).distinct()
+    every = accepted.union(records.where(F.col("status") == READY).select("record_id")).distinct()
+    require(not every.isEmpty(), "NO_ADMITTED_RECORDS")
+    return every
 
 
 def probe_pairs(labels: DataFrame) -> DataFrame:
@@ -126,6 +132,22 @@ def probe_pairs(labels: DataFrame) -> DataFrame:
     return p.select("pair", "base", "attack", status.alias("status"), (F.col("attack") - F.col("base")).alias("label_delta"))
 
 
+def simulated_panels(spark: SparkSession, simulations: int, effect: float, violation: float = 0.0, seed: int = 2045) -> DataFrame:
+    """Panels with a known effect: two strata, unbalanced arms, 36 clusters of two
+    an arm, normal noise of clusters (sd 2) and members (sd .5)."""
+    sizes = [(arm, s, n, pre, trend) for arm in (0, 1) for s, n, pre, trend in (("low", 24 - 12 * arm, 30.0, 2.0), ("high", 12 + 12 * arm, 60.0, 8.0))]
+    cells = spark.createDataFrame(sizes, "treated int, stratum string, n int, pre_score double, trend double")
+    rows = spark.range(simulations).withColumnRenamed("id", "simulation").crossJoin(F.broadcast(cells)).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("member", F.explode(F.array(F.lit(0), F.lit(1))))
+    cluster = F.concat_ws("-", "treated", "stratum", "j")
+
+    def normal(*key):
+        u, v = (uniform(F.lit(str(seed)), F.lit(x), F.col("simulation"), cluster, *key) for x in ("u", "v"))
+        return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+
+    post = F.col("pre_score") + F.col("trend") + F.col("treated") * (effect + violation) + 2 * normal() + 0.5 * normal(F.col("member"))
+    return rows.select("simulation", F.concat_ws("-", cluster, "member").alias("student_key"), cluster.alias("cluster_id"), "treated", "stratum", "pre_score", post.alias("post_score"))
+
+
 def injected_panels(panel: DataFrame, simulations: int, effect: float, violation: float = 0.0, *, spread: float = 1.0, seed: int = 2045) -> DataFrame:
     """``panel`` once for each simulation, with a known effect (and a violation of equal
     trends) added to the treated's follow-up, and normal noise of clusters (standard

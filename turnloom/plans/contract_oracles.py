@@ -93,7 +93,11 @@ ORACLES = {
     "panel_blockers": f"""WITH {PANEL}, c AS ({" UNION ALL ".join(f"SELECT '{k}' AS code, count(*) AS n FROM h WHERE {v}" for k, v in BLOCKS.items())}
       UNION ALL SELECT 'MIXED_TREATMENT_CLUSTER', count(*) FROM (SELECT cluster_id FROM h GROUP BY 1 HAVING count(DISTINCT treated) > 1) UNION ALL SELECT 'NO_COMMON_SUPPORT', count(*) FROM (SELECT stratum FROM h GROUP BY 1 HAVING count(DISTINCT treated) < 2)
       UNION ALL SELECT unnest({list(OWN)}), 1) SELECT code, n FROM c WHERE n > 0""",
-    "panel_import_faults": f"WITH {PANEL} SELECT 'DUPLICATE_STUDENT' AS code, count(*) AS n FROM h WHERE k % 101 = 0 HAVING count(*) > 1",
+    "panel_import_faults": f"""WITH {PANEL}, n AS (SELECT *, length(stratum) + 7 * CASE WHEN k % 101 = 0 THEN 0 ELSE k END AS n, count(*) OVER (PARTITION BY student_key) AS many FROM h),
+      c AS (SELECT CASE WHEN n % 31 = 0 THEN 'INVALID_PANEL_ID' WHEN many > 1 THEN 'DUPLICATE_STUDENT' WHEN n % 29 = 0 THEN 'INVALID_TREATMENT' WHEN n % 23 = 0 OR n % 19 = 0 THEN 'CATEGORICAL_COVARIATES_REQUIRED' WHEN n % 17 = 0 THEN 'INVALID_NUMBER' WHEN n % 13 = 0 THEN 'TIME_WITHOUT_OFFSET' END AS code FROM n)
+      SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1""",
+    "json_faults": """SELECT event_id, code FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 'DUPLICATE_JSON_KEY' WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 'NON_FINITE_JSON_NUMBER'
+      WHEN event_id % 19 = 0 THEN 'INVALID_JSON' WHEN event_id % 23 = 0 THEN 'NOT_AN_OBJECT' END AS code FROM events) WHERE code IS NOT NULL""",
     "panel_warnings": f"""WITH ov AS ({OTHERS["panel_overlap"]}), ba AS ({OTHERS["panel_balance"]}), c AS (
       SELECT 'NO_COMMON_SUPPORT' AS code, count(*) FILTER (unsupported > 0) AS n FROM ov UNION ALL SELECT 'EXTREME_PROPENSITY', count(*) FILTER (propensity_min < 0.05 OR propensity_max > 0.95) FROM ov
       UNION ALL SELECT 'CONCENTRATED_CONTROL_CLUSTER', count(*) FILTER (max_control_cluster_share > 0.2) FROM ov UNION ALL SELECT 'BASELINE_IMBALANCE', count(*) FILTER (abs(smd_before) > 0.1) FROM ba

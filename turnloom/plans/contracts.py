@@ -14,6 +14,7 @@ from turnloom.functions.spec import BALANCED, INDICATORS, Aggregation, legacy_sc
 from turnloom.operators import agreement, allocate, causal, contracts, dialogue, export, ledger, legacy, lineage, resample, scoring, selection, workflow
 from turnloom.plans import adapters as D
 from turnloom.plans.queries import KEYS, SEED, _members, metrics, pilot, rounded
+from turnloom.sources import json_lines
 from turnloom.sources.files import identity
 from turnloom.sources.tables import table
 
@@ -50,7 +51,15 @@ def panel_blockers(spark, sf):
 
 
 def panel_import_faults(spark, sf):
-    return contracts.panel_faults(full_panel(spark, sf)).groupBy("code").agg(F.count("*").alias("n"))
+    """First broken rule of each row of an imported panel, with faults of all six kinds."""
+    p = full_panel(spark, sf)
+    n = F.length("stratum") + 7 * F.coalesce(F.substring("student_key", 2, 12).cast("long"), F.lit(0))
+    sown = p.withColumn("n", n).withColumns({
+        "cluster_id": F.when(F.col("n") % 31 == 0, " ").otherwise(F.col("cluster_id")), "treated": F.when(F.col("n") % 29 == 0, 2).otherwise(F.col("treated")),
+        "covariates": F.when(F.col("n") % 23 == 0, F.create_map(F.lit("segment"), F.lit(" "))).when(F.col("n") % 19 == 0, F.lit(None)).otherwise(F.col("covariates")),
+        "pre_score": F.when(F.col("n") % 17 == 0, float("inf")).otherwise(F.col("pre_score")), "followup_time": F.when(F.col("n") % 13 == 0, "2024-04-01T00:00:00").otherwise(F.col("followup_time")),
+    })
+    return contracts.panel_faults(sown.drop("n")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def panel_warnings(spark, sf):
@@ -182,7 +191,7 @@ def accepted_records(spark, sf):
     of the well-formed ones; then their turns."""
     records = _parsed(spark, sf)
     well = F.col("status") == workflow.READY
-    decided = records.where("record_id % 3 = 0").select("record_id", F.when(well, "accepted").otherwise("rejected").alias("decision"))
+    decided = records.where("record_id % 3 = 0").select("record_id", F.when(well, "accepted").otherwise("rejected").alias("decision"), F.lit("read").alias("reason"))
     ids = workflow.admit(records.select("record_id", "status"), decided, decided.where("record_id % 6 = 0").select("record_id"))
     return records.join(ids, "record_id", "left_semi").select("record_id", F.size("turns").alias("turns"))
 
@@ -268,6 +277,16 @@ def allocation_whatifs(spark, sf):
     return rounded(out)
 
 
+def json_faults(spark, sf):
+    """Lines of an event each, some with faults: what a strict reader says of them."""
+    k, n = F.col("event_id").cast("string"), F.col("event_id")
+    line = _case(
+        F.concat(F.lit('{"k":'), k, F.lit(',"v":{"w":[1,2.5e3],"t":"NaN \\" {"}}')), (n % 7 == 0, F.concat(F.lit('{"k":'), k, F.lit(',"v":1,"k":2}'))), (n % 11 == 0, F.concat(F.lit('{"k":'), k, F.lit(',"v":{"w":{"x":1,"x":2}}}'))),
+        (n % 13 == 0, F.concat(F.lit('{"k":'), k, F.lit(',"v":-Infinity}'))), (n % 17 == 0, F.concat(F.lit('{"k":'), k, F.lit(',"v":1e999}'))), (n % 19 == 0, F.concat(F.lit('{"k":'), k, F.lit("} {}"))), (n % 23 == 0, F.concat(F.lit("["), k, F.lit("]"))),
+    )
+    return table(spark, sf, "events").select("event_id", json_lines.fault(line).alias("code")).where("code IS NOT NULL")
+
+
 def manifest_inputs(spark, sf) -> DataFrame:
     """A manifest for each event: made from that of half its number, some from another
     too, a few from one that is not there, and a few in a ring."""
@@ -330,4 +349,4 @@ def mapping_counts(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     panel_blockers, panel_import_faults, panel_warnings, did_subgroups, did_threshold, student_export, roster_gaps, term_rollup, legacy_scheme_means, stability_bounds, annotation_faults, prediction_faults,
-    review_labels, label_faults, gold_overlap, gold_pairs, accepted_records, request_projection, set_states, probe_status, source_students, identity_values, simulated_effects, allocation_whatifs, roots_of_noise, question_build, legacy_metrics, legacy_rounds, covariate_strata, score_percentiles, lineage_audit, sampled_students, mapping_counts)}
+    review_labels, label_faults, gold_overlap, gold_pairs, accepted_records, request_projection, set_states, probe_status, source_students, identity_values, simulated_effects, allocation_whatifs, roots_of_noise, question_build, legacy_metrics, legacy_rounds, covariate_strata, score_percentiles, lineage_audit, json_faults, sampled_students, mapping_counts)}

@@ -91,7 +91,10 @@ def guard(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    guard(df.select(*fields)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Guarded cells below a header that begins with a byte order mark, by which
+    spreadsheets know UTF-8; ``read_csv`` takes files with and without one."""
+    marked = guard(df.select(*fields)).withColumnRenamed(fields[0], "\ufeff" + fields[0])
+    marked.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def inventory(spark: SparkSession, path: str, suffix: str) -> DataFrame:
