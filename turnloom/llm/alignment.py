@@ -49,7 +49,9 @@ from turnloom.llm.common import U64, cut, lean, mix, new_folder, packed, steps,
 from turnloom.llm.exchange import part_of
 
 #: Text bytes of a slice; questions in a part; links of a block; salts of a pair.
-SLICE_BYTES, EACH, LINKS, SALTS = 8 << 20, 2_000_000, 4_000_000, 16
+SLICE_BYTES, EACH, LINKS, SALTS = 4 << 20, 2_000_000, 2_000_000, 16
+#: Pieces whose groups are written out at once.
+PIECES = 200_000
 #: Bytes of a piece from which the library encodes it, whose time does not grow with the square.
 LONG = 2000
 # First two bytes of white space beyond ASCII.
@@ -298,12 +300,14 @@ def _slice(pair: Pair, rows: pa.Array, texts: pa.Array) -> tuple[pa.Table, pa.Ta
     doc = np.repeat(np.arange(len(real)), np.diff(at))
     bad = _sums(~got.fine[index], at) > 0
     whole = _sums(got.n_a[index], at), _sums(got.n_b[index], at), _sums(got.n_groups[index], at), _sums(got.n_links[index], at)
-    text, where = text_buffers(got.text.take(pa.array(index)))
-    view, ends = memoryview(np.ascontiguousarray(text)), where[at].tolist()
     sha, cols = [""] * n, [np.zeros(n, np.int64) for _ in whole]
-    for k, i in enumerate(real.tolist()):
-        if not bad[k]:
-            sha[i] = hashlib.sha256(view[ends[k] : ends[k + 1] - 1]).hexdigest()
+    place = real.tolist()
+    for x, y in steps(at, PIECES):  # documents of so many pieces: their groups' text is several times theirs
+        text, where = text_buffers(got.text.take(pa.array(index[at[x] : at[y]])))
+        view, ends = memoryview(np.ascontiguousarray(text)), where[at[x : y + 1] - at[x]].tolist()
+        for k in range(x, y):
+            if not bad[k]:
+                sha[place[k]] = hashlib.sha256(view[ends[k - x] : ends[k - x + 1] - 1]).hexdigest()
     for col, x in zip(cols, whole, strict=True):
         col[real] = np.where(bad, 0, x)
     # distinct pieces of a document, with their number
