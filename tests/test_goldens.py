@@ -117,6 +117,20 @@ def test_resolutions_must_cover(spark):
         A.adjudicate(a, b, fix.limit(0), "turn_id").collect()
 
 
+def test_quality_gates_by_group(spark):
+    rows = [("a", 1, 1, 1.0), ("a", 2, 3, 2.0), ("a", 3, None, 1.0), ("a", None, 2, 1.0), ("b", 4, 4, None), ("c", None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "term string, gold int, prediction int, weight double")
+    policy = {"min_n": 2, "min_coverage": 0.6, "min_linear_kappa": 0.1, "audit_unseen": True, "attested_by": "x"}
+    got = {r.term: r for r in A.quality_gates(df, ["term"], policy).collect()}
+    assert got["a"].passed and (got["a"].pairs, got["a"].gold_na, got["a"].prediction_na) == (2, 1, 1)
+    assert got["b"].reasons == ["insufficient_pairs", "missing_design_weights", "insufficient_linear_kappa"]
+    assert got["c"].reasons == ["insufficient_pairs", "insufficient_prediction_coverage", "insufficient_linear_kappa"] and got["c"].coverage == 0
+    assert A.quality_gates(df, ["term"], policy, "risk").where("passed").isEmpty()
+    for change, code in (({"min_n": 1}, "INVALID_MIN_N"), ({"attested_by": " "}, "ATTESTATION_REQUIRED"), ({"audit_unseen": 1}, "INVALID_AUDIT_ATTESTATION"), ({"more": 1}, "INVALID_QUALITY_POLICY")):
+        with pytest.raises(ContractError, match=code):
+            A.quality_gates(df, ["term"], policy | change)
+
+
 def test_quality_gate():
     policy = {"min_n": 10, "min_coverage": 0.9, "min_linear_kappa": None, "audit_unseen": True, "attested_by": "x"}
     assert A.quality_gate(8, 2, 0.9, True, policy)["reasons"] == ["quality_criteria_not_confirmed", "insufficient_pairs", "insufficient_prediction_coverage", "missing_design_weights"]

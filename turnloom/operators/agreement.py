@@ -88,6 +88,36 @@ def quality_gate(pairs: int, prediction_missing: int, linear_kappa: float | None
     return {"coverage": coverage, "reasons": [k for k, v in found.items() if v]}
 
 
+def policy_checked(policy: dict) -> dict:
+    """A policy of the quality gate; a limit of None is unconfirmed."""
+    require(set(policy) == {"min_n", "min_coverage", "min_linear_kappa", "audit_unseen", "attested_by"}, "INVALID_QUALITY_POLICY")
+    n = policy["min_n"]
+    require(n is None or (isinstance(n, int) and not isinstance(n, bool) and n >= 2), "INVALID_MIN_N")
+    for c, low in (("min_coverage", 0), ("min_linear_kappa", -1)):
+        require(policy[c] is None or finite(policy[c], low, 1) is not None, "INVALID_POLICY")
+    require(isinstance(policy["audit_unseen"], bool), "INVALID_AUDIT_ATTESTATION")
+    require(isinstance(policy["attested_by"], str) and bool(policy["attested_by"].strip()), "ATTESTATION_REQUIRED")
+    return policy
+
+
+def quality_gates(rows: DataFrame, within: list[str], policy: dict, pool: str = "audit") -> DataFrame:
+    """Whether the predictions of each group may be used. ``rows``: gold, prediction and
+    weight, each null where there is none. within, pairs, gold_na, prediction_na, coverage,
+    linear_kappa (of pairs with a weight), reasons (an array) and passed."""
+    p = policy_checked(policy)
+    both = F.col("gold").isNotNull() & F.col("prediction").isNotNull()
+    n = rows.groupBy(*within).agg(F.count_if(both).alias("pairs"), F.count_if(F.col("gold").isNull()).alias("gold_na"), F.count_if(F.col("gold").isNotNull() & F.col("prediction").isNull()).alias("prediction_na"), F.count_if(both & F.col("weight").isNotNull()).alias("weighted"))
+    kappa = agreement(rows.where(both & F.col("weight").isNotNull()), within).select(*within, "linear_kappa")
+    m = n.join(kappa, within, "left").withColumn("coverage", F.coalesce(F.try_divide(F.col("pairs"), F.col("pairs") + F.col("prediction_na")), F.lit(0.0)))
+    below = lambda c, key: F.lit(False) if p[key] is None else F.col(c) < p[key]
+    rules = {
+        "quality_criteria_not_confirmed": F.lit(None in (p["min_n"], p["min_coverage"], p["min_linear_kappa"])), "not_attested_independent_audit": F.lit(pool != "audit" or not p["audit_unseen"]), "insufficient_pairs": below("pairs", "min_n"),
+        "insufficient_prediction_coverage": below("coverage", "min_coverage"), "missing_design_weights": F.col("weighted") != F.col("pairs"), "insufficient_linear_kappa": F.col("linear_kappa").isNull() | below("linear_kappa", "min_linear_kappa"),
+    }
+    reasons = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
+    return m.withColumn("reasons", reasons).select(*within, "pairs", "gold_na", "prediction_na", "coverage", "linear_kappa", "reasons", (F.size("reasons") == 0).alias("passed"))
+
+
 def label_contract(label: Column, insufficient: Column, evidence: Column, question: Column) -> Column:
     """First broken rule of a labelled row, or null."""
     return (

@@ -289,3 +289,10 @@ ORACLES = {
       c AS (SELECT user_id, k, count(*) AS n, count(*) FILTER (event_type <> 'error') AS l FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS turns, max(n) AS longest, sum(l)::BIGINT AS labelled FROM c GROUP BY 1""",
     "readiness": f"WITH {T} SELECT term, agent_id, count(*) AS turns, count(DISTINCT student_key) AS students, min(turn_id) AS first, max(turn_id) AS last FROM turns GROUP BY ALL",
 }
+PRED_ROWS = f"WITH {PRED} SELECT term, count(*) FILTER (level IS NOT NULL AND prediction IS NOT NULL) AS pairs_, count(*) FILTER (level IS NULL) AS gold_na, count(*) FILTER (level IS NOT NULL AND prediction IS NULL) AS lost FROM pred GROUP BY 1"
+ORACLES["quality_gates"] = f"""WITH n AS ({PRED_ROWS}), k AS ({ORACLES["agreement_weighted"]}),
+  m AS (SELECT n.*, CASE WHEN n.term NOT LIKE '%b' THEN k.linear_kappa END AS kappa, CASE WHEN pairs_ + lost > 0 THEN pairs_ / (pairs_ + lost)::DOUBLE ELSE 0 END AS cov FROM n LEFT JOIN k USING (term)),
+  g AS (SELECT * FROM (VALUES ('lenient', 2, 0.5::DOUBLE, 0.0::DOUBLE, true), ('strict', 1000000000, 0.99, 0.99, true), ('open', NULL, NULL, NULL, false)) v(policy, a, b, c, unseen)),
+  r AS (SELECT *, concat_ws(',', CASE WHEN a IS NULL THEN 'quality_criteria_not_confirmed' END, CASE WHEN NOT unseen THEN 'not_attested_independent_audit' END, CASE WHEN pairs_ < a THEN 'insufficient_pairs' END, CASE WHEN cov < b THEN 'insufficient_prediction_coverage' END,
+    CASE WHEN term LIKE '%b' AND pairs_ > 0 THEN 'missing_design_weights' END, CASE WHEN kappa IS NULL OR kappa < c THEN 'insufficient_linear_kappa' END) AS reasons FROM m, g)
+  SELECT term, policy, pairs_ AS pairs, gold_na, lost AS prediction_na, round(cov, 8) AS coverage, kappa AS linear_kappa, reasons, reasons = '' AS passed FROM r"""

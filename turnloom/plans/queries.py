@@ -120,6 +120,22 @@ def agreement_weighted(spark, sf):
     return rounded(A.agreement(_pairs(spark, sf), ["term"]))
 
 
+#: Limits of the gate in three cases; those of the last are unconfirmed.
+GATES = {"lenient": (2, 0.5, 0.0, True), "strict": (10**9, 0.99, 0.99, True), "open": (None, None, None, False)}
+
+
+def quality_gates(spark, sf):
+    """The gate of each term under three policies; terms of a month's second half have no
+    design weights."""
+    p = predicted(spark, sf).select("term", F.col("level").alias("gold"), "prediction", F.when(~F.endswith(F.col("term"), F.lit("b")), F.col("weight").cast("double")).alias("weight"))
+    out = None
+    for name, (n, coverage, kappa, unseen) in GATES.items():
+        policy = {"min_n": n, "min_coverage": coverage, "min_linear_kappa": kappa, "audit_unseen": unseen, "attested_by": "auditor"}
+        part = A.quality_gates(p, ["term"], policy).withColumn("policy", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out.withColumn("reasons", F.array_join("reasons", ",")))
+
+
 def agreement_three_tier(spark, sf):
     return rounded(A.agreement(_pairs(spark, sf).withColumn("weight", F.lit(1.0)), ["term"], tiers=2).drop("linear_kappa", "macro_f1"))
 
@@ -374,7 +390,7 @@ def readiness(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     student_summary, conversation_ctq, dhi_symmetric, dhi_asymmetric, dhi_legacy, agent_breadth, aiv_v2, aiv_concave, aiv_bounds, aiv_legacy, metrics_with_inventory, scheme_compare, indicator_spearman,
-    student_ranks, top_quartile_fixed, agreement_weighted, agreement_three_tier, missingness_4way, label_freeze, adjudication_conflicts, adjudicated_labels, exclusion_cascade, reconcile_usage, parse_status,
+    student_ranks, top_quartile_fixed, agreement_weighted, quality_gates, agreement_three_tier, missingness_4way, label_freeze, adjudication_conflicts, adjudicated_labels, exclusion_cascade, reconcile_usage, parse_status,
     parse_turns, question_texts, dup_components, component_labels, pool_assignment, stratified_sample, seeded_split, parse_review_top15, panel_audit, panel_balance, panel_overlap, did_fit, did_strata, did_bias_bounds, did_replicates, did_bootstrap,
     observed_bootstrap, seeded_observed, noise_kernel, noise_sensitivity, rank_stability, allocation_options, allocation_optimal, allocation_frontier, ledger_spend, ledger_versions, ledger_snapshot, plan_reserve, csv_guard, session_windows, readiness)}
 
