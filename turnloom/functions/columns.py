@@ -75,11 +75,23 @@ def feature_bound(errors: list[Column], weights, agg: Aggregation) -> Column:
     return 100 * steepest(agg) * _sum([F.abs(e) * w for e, w in zip(errors, weights, strict=True)])
 
 
+def hashed(*parts) -> Column:
+    """The 13 hexadecimal digits that ``uniform`` is made of."""
+    key = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.substring(F.md5(key), 1, 13)
+
+
+def bar(t: Column) -> Column:
+    """``hashed(...) < bar(t)`` as texts if and only if ``uniform(...) < t``: rows that only
+    compare their number need not compute it."""
+    n = F.ceil(t * float(1 << 52))
+    return F.when(n >= 1 << 52, "g").otherwise(F.lower(F.lpad(F.hex(F.greatest(n, F.lit(0).cast("long"))), 13, "0")))
+
+
 def uniform(*parts) -> Column:
     """A uniform number in [0, 1) from a key: 52 bits of its MD5 digest, the same in
     any engine and whatever the order of rows."""
-    key = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return F.conv(hashed(*parts), 16, 10).cast("double") / float(1 << 52)
 
 
 def csv_safe(c: Column) -> Column:

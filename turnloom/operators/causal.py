@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from turnloom.functions.columns import uniform
 from turnloom.functions.spec import require
 from turnloom.operators.ordering import numbered
+from turnloom.sources.tables import partitions
 
 
 def treated() -> Column:
@@ -150,16 +151,34 @@ def fit(panel: DataFrame) -> DataFrame:
     return estimate(strata(panel)).crossJoin(sd).withColumn("standardized", F.when(F.col("baseline_sd") > 0, F.col("estimate") / F.col("baseline_sd")))
 
 
+def stretches(sizes: DataFrame, by: list[str], replicates: int, most: int) -> DataFrame:
+    """``sizes`` (by, n_units, ...) with replicate, first and many: the draws of each group and
+    replicate, in stretches of at most ``most``."""
+    each = sizes.withColumn("replicate", F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")))
+    each = each.withColumn("first", F.explode(F.expr(f"sequence(0L, n_units - 1, {most}L)")))
+    return each.withColumn("many", F.least(F.lit(most).cast("long"), F.col("n_units") - F.col("first")))
+
+
+def counted(picks: DataFrame, units: DataFrame, by: list[str]) -> DataFrame:
+    """by, replicate, times and the rest of ``units`` (by, slot, ...), from picks (by,
+    replicate, slot, times). Picks are dealt by slot once. They are many rows that come from
+    few: an estimate from before that would broadcast them, so the join is named."""
+    times = picks.repartition(*by, "slot").groupBy(*by, "replicate", "slot").agg(F.sum("times").alias("times"))
+    rest = [c for c in units.columns if c not in (*by, "slot")]
+    return times.join(units.hint("shuffle_hash"), [*by, "slot"]).select(*by, "replicate", *rest, "times")
+
+
 def draws(clusters: DataFrame, by: list[str], replicates: int, seed: int) -> DataFrame:
     """How often each cluster of each group ``by`` is drawn in each replicate: as many
     draws as clusters, each by a counter-based uniform number. Clusters are numbered
-    in order; a draw is a number until it has been counted."""
-    units = numbered(clusters.select(*by, "unit"), by, [F.col("unit")], "slot")
+    in order; a draw is a number until it has been counted. ``clusters`` (by, unit) may have
+    more columns, which stay."""
+    units = numbered(clusters, by, [F.col("unit")], "slot")
     sizes = units.groupBy(*by).agg(F.count("*").alias("n_units"))
-    slots = units.join(sizes, by).withColumn("replicate", F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")))
+    slots = stretches(sizes, by, replicates, 1 << 14)
+    slots = slots.repartition(partitions(slots.sparkSession), *by, "replicate", "first").select("*", F.explode(F.sequence("first", F.col("first") + F.col("many") - 1)).alias("slot"))
     pick = F.floor(uniform(F.lit(str(seed)), *[F.col(b) for b in by], F.col("replicate"), F.col("slot")) * F.col("n_units")).cast("long")
-    times = slots.select(*by, "replicate", pick.alias("slot")).groupBy(*by, "replicate", "slot").agg(F.count("*").alias("times"))
-    return times.join(units, [*by, "slot"]).select(*by, "replicate", "unit", "times")
+    return counted(slots.select(*by, "replicate", pick.alias("slot"), F.lit(1).cast("long").alias("times")), units, by)
 
 
 def bootstrap(panel: DataFrame, replicates: int = 200, seed: int = 2045, draw=None) -> DataFrame:

@@ -3,16 +3,17 @@ students, and rounds that draw students, perturb labels and rank anew."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.columns import uniform
+from turnloom.functions.columns import bar, hashed
 from turnloom.functions.spec import ContractError
 from turnloom.operators.causal import draws
 from turnloom.operators.ordering import numbered
-from turnloom.operators.ranks import order_statistic, top_share
-from turnloom.operators.resample import perturb
+from turnloom.operators.ranks import order_statistic, top_set
+from turnloom.operators.resample import moved, perturb
 from turnloom.operators.streams import seeded, seeded_draws
+from turnloom.sources.tables import cut, new_folder, partitions
 
 
 def record_metrics(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,23 +53,36 @@ def mapping_counts(mapping: DataFrame) -> DataFrame:
     return mapping.join(terms, "student_key").groupBy("term").agg(F.count("*").alias("records"), F.count_distinct("student_key").alias("students"), F.count_distinct(F.when(F.col("_t") > 1, F.col("student_key"))).alias("shared"))
 
 
-def _noisy(rows: DataFrame, drawn: DataFrame, mass: float, seed: int, key: str, tag: str, lies: DataFrame | None = None) -> DataFrame:
-    """Everybody's labels in every replicate, perturbed by the kernel of what the
-    replicate drew: an error goes to a neighbour in proportion to its count + 0.5.
-    ``lies`` (term, before, stride): where a replicate's numbers lie in a seeded stream,
-    in the order of student and ``key``."""
-    by = ["term", "replicate"]
-    n = drawn.withColumnRenamed("unit", "student_key").join(rows, ["term", "student_key"]).groupBy(*by).agg(F.array(*[F.sum(F.when(F.col("level") == k, F.col("times")).otherwise(0)) + 0.5 for k in range(1, 7)]).alias("n"))
-    level = F.col("level")
-    below = F.when(level > 1, F.try_element_at("n", F.greatest(level - 1, F.lit(1)))).otherwise(0.0)
-    above = F.when(level < 6, F.try_element_at("n", level + 1)).otherwise(0.0)
-    each = rows.join(F.broadcast(n), "term")  # a row for each term and replicate
-    u: Column = uniform(F.lit(str(seed)), F.lit(tag), F.col("replicate"), F.col(key))
-    if lies is not None:
-        at = numbered(rows.select("term", "student_key", key), ["term"], [F.col("student_key"), F.col(key)], "at")
-        placed = each.join(at, ["term", "student_key", key]).join(F.broadcast(lies), "term")  # a row for each term
-        each, u = seeded(placed.withColumn("at", F.col("replicate") * F.col("stride") + F.col("before") + F.col("at")), "at", seed), F.col("u")
-    return each.withColumn("level", perturb(level, u, F.lit(1 - mass), mass * below / (below + above))).drop("n")
+def _noisy(rows: DataFrame, used: DataFrame, drawn: DataFrame, mass: float, seed: int, key: str, tag: str, lies: DataFrame | None = None) -> DataFrame:
+    """Everybody's labels of ``used`` (some of ``rows``) in every replicate, perturbed by the
+    kernel of what the replicate drew of ``rows``: an error goes to a neighbour in proportion
+    to its count + 0.5. ``lies`` (term, before, stride): where a replicate's numbers lie in a
+    seeded stream, in the order of student and ``key``."""
+    own, levels = ["term", "student_key"], range(1, 7)
+    held = rows.groupBy(*own).agg(*[F.count_if(F.col("level") == k).alias(f"n{k}") for k in levels])
+    n = drawn.withColumnRenamed("unit", "student_key").join(held, own).groupBy("term", "replicate").agg(*[(F.sum(F.col(f"n{k}") * F.col("times")) + 0.5).alias(f"n{k}") for k in levels])
+    near = lambda k: F.col(f"n{k}") if k in levels else F.lit(0.0)
+    lower = F.array(*[F.struct(F.lit(k).alias("level"), (mass * near(k - 1) / (near(k - 1) + near(k + 1))).alias("lower")) for k in levels])
+    kernel = n.select("term", "replicate", F.explode(lower).alias("x")).select("term", "replicate", "x.*")
+    kernel = kernel.withColumn("bar", bar(F.lit(1 - mass) + F.col("lower")))
+    kernel = cut(kernel, new_folder(rows.sparkSession, "kernel"))  # six rows for each term and replicate
+    dealt = used.withColumn("level", F.col("level").cast("int")).repartition(partitions(rows.sparkSession), *own)
+    if lies is None:
+        h = hashed(F.lit(str(seed)), F.lit(tag), F.col("replicate"), F.col(key))
+        each = dealt.join(F.broadcast(kernel), ["term", "level"]).withColumn("_h", h)
+        return each.withColumn("level", moved(F.col("level"), F.col("_h") < bar(F.lit(1 - mass)), F.col("_h") < F.col("bar"))).drop("lower", "bar", "_h")
+    at = numbered(rows.select(*own, key), ["term"], [F.col("student_key"), F.col(key)], "at")
+    each = dealt.join(at, [*own, key]).join(F.broadcast(lies), "term").join(F.broadcast(kernel), ["term", "level"])  # a row for each term
+    each = seeded(each.withColumn("at", F.col("replicate") * F.col("stride") + F.col("before") + F.col("at")), "at", seed)
+    return each.withColumn("level", perturb(F.col("level"), F.col("u"), F.lit(1 - mass), F.col("lower"))).drop("lower", "bar")
+
+
+def _ends(turns: DataFrame) -> DataFrame:
+    """The first and the last turn of every conversation: all that ``ctq_metrics`` looks at."""
+    whole = Window.partitionBy("term", "student_key", "record_id")
+    at = F.col("turn_index")
+    both = turns.withColumns({"_a": F.min(at).over(whole), "_z": F.max(at).over(whole)})
+    return both.where((at == F.col("_a")) | (at == F.col("_z"))).drop("_a", "_z")
 
 
 def _stretches(records: DataFrame, turns: DataFrame) -> dict[str, DataFrame]:
@@ -92,20 +106,27 @@ def rounds(records: DataFrame, turns: DataFrame, replicates: int, seed: int, mas
     drawn) and stability (share of the observed top quarter by abl that stays). With
     ``replay`` all numbers come from one seeded generator, in the order of a loop over
     rounds, terms, draws and labels; else from hashes of keys."""
-    by = ["term", "replicate"]
+    by, folder = ["term", "replicate"], new_folder(records.sparkSession, "rounds")
+    records = cut(records.select("term", "student_key", "record_id", "level"), f"{folder}/records")
+    turns = cut(turns.select("term", "student_key", "record_id", "turn_id", "turn_index", "level"), f"{folder}/turns")
     lies = _stretches(records, turns) if replay else {}
     units = lambda df: df.select("term", F.col("student_key").alias("unit")).distinct()
     if replay:
         one, two = (seeded_draws(units(df), ["term"], replicates, seed, lies=lies[c]) for df, c in ((records, "record_draw"), (turns, "turn_draw")))
     else:
         one, two = draws(units(records), ["term"], replicates, seed), draws(units(turns), ["term"], replicates, seed + 1)
-    rec = record_metrics(_noisy(records, one, mass, seed, "record_id", "record", lies.get("record_noise")), [*by, "student_key"])
-    ctq = ctq_metrics(_noisy(turns, two, mass, seed, "turn_id", "turn", lies.get("turn_noise")), [*by, "student_key"])
+    # packed files are far smaller than their rows: neither is to be broadcast for its size
+    one, two = cut(one, f"{folder}/one").hint("merge"), cut(two, f"{folder}/two").hint("merge")
+    rec = record_metrics(_noisy(records, records, one, mass, seed, "record_id", "record", lies.get("record_noise")), [*by, "student_key"])
+    rec = cut(rec.withColumn("score", F.round("abl", 9)), f"{folder}/rec")
+    ctq = ctq_metrics(_noisy(turns, _ends(turns), two, mass, seed, "turn_id", "turn", lies.get("turn_noise")), [*by, "student_key"])
     mean = lambda df, drawn, cols: df.join(drawn.withColumnRenamed("unit", "student_key"), [*by, "student_key"]).groupBy(*by).agg(*[(F.sum(F.col(c) * F.col("times")) / F.sum("times")).alias(c) for c in cols])
-    top = lambda df, keys: top_share(df.withColumn("abl", F.round("abl", 9)), keys, "abl", 0.25).where("place <= size")
-    base = top(record_metrics(records, ["term", "student_key"]), ["term"]).select("term", "student_key", F.lit(1).alias("was"))
-    same = top(rec, by).select(*by, "student_key", "size").join(base, ["term", "student_key"], "left").groupBy(*by).agg((F.count("was") / F.max("size")).alias("stability"))
-    return mean(rec, one, ["abl", "hot"]).join(mean(ctq, two, ["ctq"]), by).join(same, by)
+    base = record_metrics(records, ["term", "student_key"]).withColumn("score", F.round("abl", 9))
+    base = top_set(base, ["term"], "score", 0.25).select("term", "student_key", F.lit(1).alias("was"))
+    same = top_set(rec.select(*by, "student_key", "score"), by, "score", 0.25).join(base, ["term", "student_key"], "left").groupBy(*by).agg((F.count("was") / F.max("size")).alias("stability"))
+    # a row for each term and replicate; the parts are written one after another
+    parts = [cut(p, f"{folder}/{name}") for name, p in (("same", same), ("means", mean(rec, one, ["abl", "hot"])), ("ctq", mean(ctq, two, ["ctq"])))]
+    return parts[1].join(parts[2], by).join(parts[0], by)
 
 
 def intervals(found: DataFrame) -> DataFrame:

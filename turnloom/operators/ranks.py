@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import columns as C
 from turnloom.functions.spec import INDICATORS, MetricSpec, schemes, weight_stability_bound
-from turnloom.operators.ordering import numbered, places
+from turnloom.operators.ordering import numbered, places, running
+from turnloom.sources.tables import cut, new_folder
 
 
 def with_places(df: DataFrame, cols: list[str], within: list[str]) -> DataFrame:
@@ -95,6 +96,20 @@ def top_share(df: DataFrame, by: list[str], score: str, share: float) -> DataFra
     return numbered(rows, by, [F.col(score).desc(), F.col("_tie")], "_n").join(sizes, by).withColumn("place", F.col("_n") + 1).drop("_n", "_tie")
 
 
+def top_set(df: DataFrame, by: list[str], score: str, share: float) -> DataFrame:
+    """The rows that ``top_share`` gives a place up to ``size``, with ``size``. The last score
+    comes from a histogram; only rows that have it are ordered. Reads ``df`` three times."""
+    rows = df.where(F.col(score).isNotNull())
+    seen = rows.groupBy(*by, score).agg(F.count("*").alias("_n"))
+    sizes = seen.groupBy(*by).agg(F.ceil(F.sum("_n") * share).alias("size"))
+    last = running(seen, by, [F.col(score).desc()], "_n", "_before").join(sizes, by).where("_before < size AND _before + _n >= size")
+    last = cut(last.select(*by, F.col(score).alias("_last"), (F.col("size") - F.col("_before")).alias("_room"), "size"), new_folder(df.sparkSession, "last"))
+    near = rows.join(F.broadcast(last), by)  # a row for each group
+    ties = near.where(F.col(score) == F.col("_last")).withColumn("_tie", F.sha2(F.col("student_key").cast("string"), 256))
+    ties = numbered(ties, by, [F.col("_tie")], "_at").where("_at < _room")
+    return near.where(F.col(score) > F.col("_last")).select(*df.columns, "size").unionByName(ties.select(*df.columns, "size"))
+
+
 def fixed_top_quartile(metrics: DataFrame) -> DataFrame:
     """Exactly ceil(n / 4) students of each term by ABL, ties by a hash of the key."""
     rows = top_share(metrics.select("term", "student_key", "abl"), ["term"], "abl", 0.25)

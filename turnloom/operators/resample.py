@@ -47,7 +47,11 @@ def kernel(turns: DataFrame, masses: list[float]) -> DataFrame:
 def perturb(level: Column, u: Column, stay: Column, lower: Column) -> Column:
     """Inverse distribution function over (stay, lower, upper); the last possible
     value takes what rounding leaves."""
-    return F.when(u < stay, level).when((level > 1) & ((u < stay + lower) | (level == 6)), level - 1).otherwise(level + 1)
+    return moved(level, u < stay, u < stay + lower)
+
+
+def moved(level: Column, stays: Column, lowers: Column) -> Column:
+    return F.when(stays, level).when((level > 1) & (lowers | (level == 6)), level - 1).otherwise(level + 1)
 
 
 def endpoints(turns: DataFrame) -> DataFrame:
