@@ -26,8 +26,7 @@ def observed_bootstrap(metrics: DataFrame, members: DataFrame, value: str = "hot
     rows = in_components(metrics.where(F.col(value).isNotNull()), members)
     sums = rows.groupBy("term", F.col("root").alias("unit")).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
     point = sums.groupBy("term").agg(F.sum("n").alias("students"), F.count("*").alias("components"), (F.sum("s") / F.sum("n")).alias("mean_change"))
-    drawn = draw(sums.select("term", "unit"), ["term"], replicates, seed).join(sums, ["term", "unit"])
-    means = drawn.groupBy("term", "replicate").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
+    means = draw(sums, ["term"], replicates, seed).groupBy("term", "replicate").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
     ci = means.groupBy("term").agg(F.collect_list("m").alias("m")).select("term", order_statistic(F.col("m"), 0.025).alias("low"), order_statistic(F.col("m"), 0.975).alias("high"))
     enough = F.col("components") >= 5
     return point.join(ci, "term", "left").select("term", "students", "components", "mean_change", F.when(enough, F.col("low")).alias("ci_low"), F.when(enough, F.col("high")).alias("ci_high"), F.when(~enough, "fewer_than_five_components").alias("ci_missing_reason"))

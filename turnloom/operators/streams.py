@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnloom.functions import twister
-from turnloom.operators import sampling
+from turnloom.operators import causal, sampling
 from turnloom.operators.ordering import numbered, running
-from turnloom.sources.tables import cut, new_folder
+from turnloom.sources.tables import cut, new_folder, partitions
 
 
 def seeded(df: DataFrame, index: str, seed: int, out: str = "u") -> DataFrame:
@@ -38,9 +38,10 @@ def seeded_draws(clusters: DataFrame, by: list[str], replicates: int, seed: int,
     group, in their order, once a replicate. Every group has a generator of its own with
     the same seed; with ``joint`` one generator goes through the groups, in their order,
     in every replicate. ``lies`` (by, before, stride) tells where in a replicate's stretch
-    of the stream a group's draws begin, and how long that stretch is."""
-    units = numbered(clusters.select(*by, "unit").distinct(), by, [F.col("unit")], "slot")
-    units = cut(units, new_folder(clusters.sparkSession, "units"))
+    of the stream a group's draws begin, and how long that stretch is. ``clusters`` (by, unit)
+    may have more columns, which stay."""
+    spark, folder = clusters.sparkSession, new_folder(clusters.sparkSession, "units")
+    units = cut(numbered(clusters.distinct(), by, [F.col("unit")], "slot"), f"{folder}/units")
     sizes = units.groupBy(*by).agg(F.count("*").alias("n_units"))
     if lies is not None:
         sizes = sizes.join(lies, by)
@@ -48,11 +49,29 @@ def seeded_draws(clusters: DataFrame, by: list[str], replicates: int, seed: int,
         sizes = running(sizes, [], [F.col(b) for b in by], "n_units", "before").withColumn("stride", F.sum("n_units").over(Window.partitionBy()))
     else:
         sizes = sizes.withColumn("before", F.lit(0).cast("long")).withColumn("stride", F.col("n_units"))
-    slots = units.join(sizes, by).withColumn("replicate", F.explode(F.expr(f"sequence(0L, {replicates - 1}L)")))
-    index = (F.col("replicate") * F.col("stride") + F.col("before") + F.col("slot")).cast("long")
-    drawn = seeded(slots.select(*by, "replicate", "n_units", index.alias("index")), "index", seed)
-    times = drawn.select(*by, "replicate", F.floor(F.col("u") * F.col("n_units")).cast("long").alias("slot")).groupBy(*by, "replicate", "slot").agg(F.count("*").alias("times"))
-    return times.join(units, [*by, "slot"]).select(*by, "replicate", "unit", "times")
+    sizes = cut(sizes, f"{folder}/sizes")
+    index = (F.col("replicate") * F.col("stride") + F.col("before") + F.col("first")).cast("long")
+    each = causal.stretches(sizes, by, replicates, 1 << 17).select(*by, "replicate", "n_units", "many", index.alias("index"))
+    # stretches are rows until a task draws them: about a million numbers a task, next to one another
+    many = 1 + (replicates * (sizes.agg(F.sum("n_units")).first()[0] or 0) >> 20)
+    placed = each.repartitionByRange(min(many, 8 * partitions(spark)), "index").sortWithinPartitions("index")
+    types = T.StructType([*each.schema.fields[: len(by) + 1], T.StructField("slot", T.LongType()), T.StructField("times", T.LongType())])
+    return causal.counted(placed.mapInArrow(_picked(len(by), seed), types), units, by)
+
+
+def _picked(by: int, seed: int):
+    """Of stretches (by, replicate, n_units, many, index), in order: the slots they pick."""
+
+    def run(batches):
+        stream = twister.Uniforms(seed)
+        for b in batches:
+            for row, (size, many, index) in enumerate(zip(*(c.to_pylist() for c in b.columns[by + 1 :]), strict=True)):
+                u = stream.take(np.arange(index, index + many))
+                slot, times = np.unique(np.floor(u * size).astype(np.int64), return_counts=True)
+                same = [pa.repeat(c[row], len(slot)) for c in b.columns[: by + 1]]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(slot), pa.array(times)], [*b.schema.names[: by + 1], "slot", "times"])
+
+    return run
 
 
 def seeded_pools(members: DataFrame, seed: int) -> DataFrame:
