@@ -9,7 +9,7 @@ from turnloom.functions import columns as C
 from turnloom.functions.columns import uniform
 from turnloom.functions.spec import MetricSpec, finite, require
 from turnloom.operators.causal import draws
-from turnloom.operators.ranks import order_statistic, top_share
+from turnloom.operators.ranks import order_statistic, top_set
 from turnloom.sources.tables import cut, new_folder
 
 
@@ -141,9 +141,11 @@ def noise_sensitivity(turns: DataFrame, members: DataFrame, spec: MetricSpec, ma
 def ranking_stability(metrics: DataFrame, noisy: DataFrame, by: list[str], share: float = 0.25) -> DataFrame:
     """Mean overlap of the fixed-size top sets of replicates with the observed one, and
     the mean flip rate: of the students in either set, those in one only."""
-    top = lambda df, keys: top_share(df, keys, "abl", share).where("place <= size")
-    a = top(metrics, ["term"]).select("term", "student_key", F.lit(1).alias("was"))
-    b = top(noisy, ["term", *by]).select("term", *by, "student_key", "size")
+    folder = new_folder(metrics.sparkSession, "stability")
+    held = lambda df, keys, name: cut(df.select(*keys, "student_key", "abl"), f"{folder}/{name}")
+    top = lambda df, keys, name: top_set(held(df, keys, name), keys, "abl", share)
+    a = top(metrics, ["term"], "metrics").select("term", "student_key", F.lit(1).alias("was"))
+    b = top(noisy, ["term", *by], "noisy").select("term", *by, "student_key", "size")
     each = b.join(a, ["term", "student_key"], "left").groupBy("term", *by).agg(F.count("was").alias("same"), F.max("size").alias("k"))
     sizes = a.groupBy("term").agg(F.count("*").alias("observed"))
     union = F.col("k") + F.col("observed") - F.col("same")

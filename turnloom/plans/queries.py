@@ -12,7 +12,7 @@ from turnloom.operators import agreement as A
 from turnloom.operators import allocate, causal, dialogue, ledger, ranks, resample, sampling, scoring, streams
 from turnloom.plans import adapters as D
 from turnloom.sources.commits import TableLog
-from turnloom.sources.tables import new_folder, table
+from turnloom.sources.tables import new_folder, partitions, table
 
 KEYS = ["term", "student_key"]
 SEED, MASSES = 2045, [0.0, 0.1, 0.2, 0.3]
@@ -301,9 +301,13 @@ def noise_sensitivity(spark, sf):
 def rank_stability(spark, sf):
     """Top sets under label noise of mass .2."""
     t = D.turns(spark, sf)
-    noisy = t.where("level IS NOT NULL").withColumn("replicate", F.explode(F.expr(f"sequence(0L, {NOISE_REPLICATES - 1}L)")))
-    u = C.uniform(F.lit(str(SEED)), F.lit("noise"), F.col("replicate"), F.col("turn_id"))
-    noisy = noisy.join(F.broadcast(resample.kernel(t, [0.2])), ["term", "level"]).withColumn("level", resample.perturb(F.col("level"), u, F.col("stay"), F.col("lower")))
+    stay, both = F.col("stay"), F.col("stay") + F.col("lower")
+    kernel = resample.kernel(t, [0.2]).select("term", "level", C.bar(stay).alias("stays"), C.bar(both).alias("lowers"))
+    known = t.where("level IS NOT NULL").select(*KEYS, "turn_id", "level").join(F.broadcast(kernel), ["term", "level"])  # six rows for each term
+    known = known.repartition(partitions(spark), *KEYS)  # a hundred rows come from each
+    noisy = known.withColumn("replicate", F.explode(F.expr(f"sequence(0L, {NOISE_REPLICATES - 1}L)")))
+    noisy = noisy.withColumn("h", C.hashed(F.lit(str(SEED)), F.lit("noise"), F.col("replicate"), F.col("turn_id")))
+    noisy = noisy.withColumn("level", resample.moved(F.col("level"), F.col("h") < F.col("stays"), F.col("h") < F.col("lowers")))
     keys = ["term", "replicate", "student_key"]
     means = noisy.groupBy(*keys).agg(F.round(F.avg("level"), 9).alias("abl"))
     base = t.groupBy(*KEYS).agg(F.round(F.avg("level"), 9).alias("abl"))
